@@ -74,7 +74,7 @@ def canonical_lines(text: Column) -> Column:
     t = F.concat(F.lit(" "), F.replace(t, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    lines = F.transform(F.split(t, "\n"), F.trim)
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 

@@ -77,8 +77,8 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(24 * d)) % _U(WIDTH)).astype(np.int64) for d in range(DEPTH)]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch (DEPTH x WIDTH counters, whatever the input) and the number of texts with a word.
+def document_frequencies(docs: DataFrame) -> Corpus:
+    """The count-min sketch of document frequencies (DEPTH x WIDTH counters, whatever the input).
 
     Tasks emit pieces of their counters; these are added by piece and salt first, so no group grows with the tasks.
     """
@@ -86,11 +86,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, n = np.zeros((DEPTH, WIDTH), np.int64), 0
         for pdf in batches:
-            for t in pdf["text"]:
-                h, _ = shingles(t)
-                n += len(h) > 0
-                for d, at in enumerate(_slots(h)):
-                    np.add.at(sums[d], at, 1)
+            for a in range(0, len(pdf), 500):
+                found = [shingles(t)[0] for t in pdf["text"].iloc[a : a + 500]]
+                n += sum(len(h) > 0 for h in found)
+                for d, at in enumerate(_slots(np.concatenate(found))):
+                    sums[d] += np.bincount(at, minlength=WIDTH)
         if n:
             flat = sums.reshape(-1, PIECE)
             salt = int(flat.sum()) % 64
@@ -109,24 +109,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     sums = np.zeros((DEPTH * WIDTH // PIECE, PIECE), np.int64)
     for r in rows:
         sums[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(sums, 2**31 - 1).astype(np.int32).reshape(DEPTH, WIDTH), int(rows[0]["n"]) if rows else 0
+    return Corpus(np.minimum(sums, 2**31 - 1).astype(np.int32).reshape(DEPTH, WIDTH), int(rows[0]["n"]) if rows else 0)
 
 
-def weights(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+class Corpus:
+    """Document frequencies: counters, the mean noise in each row of them, and the number of texts."""
+
+    def __init__(self, counts: np.ndarray, texts: int):
+        self.counts, self.texts, self.noise = counts, texts, counts.sum(1, dtype=np.int64) / WIDTH
+
+
+def weights(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the shingles, and their idf steps (0 to STEPS)."""
     df = np.full(len(h), np.inf)
     for d, at in enumerate(_slots(h)):
-        noise = sketch[d].sum(dtype=np.int64) / WIDTH if d not in _noise.get(id(sketch), {}) else _noise[id(sketch)][d]
-        _noise.setdefault(id(sketch), {})[d] = noise
-        df = np.minimum(df, sketch[d][at] - noise)
-    rare = 1 - np.log(np.maximum(1, np.round(df))) / np.log(max(n, 2))
+        df = np.minimum(df, corpus.counts[d][at] - corpus.noise[d])
+    rare = 1 - np.log(np.maximum(1, np.round(df))) / np.log(max(corpus.texts, 2))
     step = np.clip(np.round(rare * STEPS), 0, STEPS).astype(np.int64)
     return tf * (1 + DAMP * step / STEPS), step
 
 
-_noise: dict[int, dict[int, float]] = {}
-
-
 def _draw(log_w: float, r: np.ndarray, log_c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = np.floor(np.float32(log_w) / r + beta)
     return log_c - r * (t - beta + 1), t.astype(np.int32)
@@ -137,9 +139,9 @@ def _drawn(tf: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     return _draw(np.log(tf * (1 + DAMP * step / STEPS)), _R, _LOG_C, _BETA)
 
 
-def signature(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
+def signature(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
     """A key for each band, from SAMPLES consistent samples (shingle, t) of a text's weighted shingles."""
-    step = weights(h, tf, sketch, n)[1]
+    step = weights(h, tf, corpus)[1]
     j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
     low, who, what = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
     every = np.arange(SAMPLES)
@@ -163,9 +165,9 @@ def signature(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> np.n
     return _mix((sample * _MUL[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1).astype(np.uint64) * _MUL[SHINGLE]).view(np.int64)
 
 
-def similarity(a: tuple, b: tuple, sketch: np.ndarray, n: int) -> float:
+def similarity(a: tuple, b: tuple, corpus: Corpus) -> float:
     """Weighted Jaccard similarity of two texts' shingles."""
-    wa, wb = weights(*a, sketch, n)[0], weights(*b, sketch, n)[0]
+    wa, wb = weights(*a, corpus)[0], weights(*b, corpus)[0]
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(wa[ia], wb[ib]).sum()
     return float(both / (wa.sum() + wb.sum() - both)) if both else 0.0
@@ -176,9 +178,9 @@ def signed(docs: DataFrame, shared) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sketch, n = shared.value
+        corpus = shared.value
         for s in texts:
-            yield pd.Series([signature(h, tf, sketch, n) if len(h) else None for h, tf in map(shingles, s)])
+            yield pd.Series([signature(h, tf, corpus) if len(h) else None for h, tf in map(shingles, s)])
 
     df = docs.filter("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"), bands("text").alias("bands"))
     return written(df.filter(F.col("bands").isNotNull()), "signed")
@@ -192,10 +194,10 @@ def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
 
     @F.pandas_udf("double")
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sketch, n = shared.value
+        corpus = shared.value
         kept = lru_cache(64)(shingles)  # leaders come again and again
         for left, right in batches:
-            yield pd.Series([similarity(shingles(x), kept(y), sketch, n) for x, y in zip(left, right, strict=True)], dtype=float)
+            yield pd.Series([similarity(shingles(x), kept(y), corpus) for x, y in zip(left, right, strict=True)], dtype=float)
 
     df = df.select("a", "b", compare("text_a", "text_b").alias("sim"))
     return written(df.groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
@@ -231,17 +233,14 @@ def components(edges: DataFrame) -> DataFrame:
     """id and the smallest id of its component, for every id in the edges (a, b), by large-star and small-star rounds."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
 
-    def star(both: DataFrame, low: DataFrame) -> DataFrame:
-        return both.join(low, "u")
-
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = star(both.filter("v > u"), low).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = star(down, low).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         edges = written(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

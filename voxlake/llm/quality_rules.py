@@ -126,9 +126,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns."""
+    """The rows of `docs` that the rules keep, with all their columns.
+
+    Rows are written once with their measures: a filter pushed below the measures would take them again.
+    """
     names = {c: F.col(c) for c in docs.columns}
     df = measure(docs.select(F.struct(*names).alias("_q_row"), "text", "lang", "source")).drop("text")
-    df = df.withColumns(_ratios()).withColumn("base_failed", base_failed())
-    slim = written(df.drop("_q_row"), "quality")
-    return judge(df, thresholds(slim)).filter("kept").select("_q_row.*")
+    df = written(df.withColumns(_ratios()).withColumn("base_failed", base_failed()), "quality")
+    return judge(df, thresholds(df)).filter("kept").select("_q_row.*")
