@@ -20,7 +20,7 @@ from .common import written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Ratio, and how far beyond its fence a value may lie: a spread of zero must not reject the first that differs.
-RATIOS = {"symbol_ratio": 0.05, "caps_ratio": 0.15, "dup_line_ratio": 0.25, "repeat_ratio": 0.1, "mean_word_chars": 2.0}
+RATIOS = {"symbol_ratio": 0.05, "caps_ratio": 0.15, "dup_line_ratio": 0.4, "repeat_ratio": 0.2, "mean_word_chars": 2.0}
 #: Ratios of which too little is as odd as too much.
 TWO_SIDED = ("mean_word_chars",)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
