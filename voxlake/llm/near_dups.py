@@ -21,7 +21,7 @@ columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,20 +30,21 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHINGLE, BANDS, ROWS, TABLE = 5, 16, 4, 4096
+SHINGLE, BANDS, ROWS, TABLE = 5, 20, 5, 2048
 SAMPLES = BANDS * ROWS
 WIDTH, DEPTH, STEPS, DAMP = 1 << 19, 2, 16, 0.2
 PIECE = 1 << 13
-LEADERS = 8
+LEADERS = 64
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _MUL = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | _U(1)
-_R = _rng.gamma(2, 1, (SAMPLES, TABLE)).astype(np.float32)
-_LOG_C = np.log(_rng.gamma(2, 1, (SAMPLES, TABLE))).astype(np.float32)
-_BETA = _rng.random((SAMPLES, TABLE)).astype(np.float32)
+assert ROWS <= SHINGLE  # the multipliers serve both
+_R = _rng.gamma(2, 1, (TABLE, SAMPLES)).astype(np.float32)
+_LOG_C = np.log(_rng.gamma(2, 1, (TABLE, SAMPLES))).astype(np.float32)
+_BETA = _rng.random((TABLE, SAMPLES)).astype(np.float32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,39 +130,38 @@ def weights(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> tuple[np.ndarray,
     return tf * (1 + DAMP * step / STEPS), step
 
 
-def _draw(log_w: float, r: np.ndarray, log_c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.floor(np.float32(log_w) / r + beta)
-    return log_c - r * (t - beta + 1), t.astype(np.int32)
+def _draw(log_w: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """ln a of the samples, a row for each shingle; log_w is a column."""
+    t = np.floor(log_w / _R[j] + _BETA[j])
+    return _LOG_C[j] - _R[j] * (t - _BETA[j] + 1)
 
 
-@lru_cache(2 * (STEPS + 1))
-def _drawn(tf: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    return _draw(np.log(tf * (1 + DAMP * step / STEPS)), _R, _LOG_C, _BETA)
+def _log_weight(tf: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return np.log(tf * (1 + DAMP * step / STEPS)).astype(np.float32)
+
+
+@cache
+def _usual() -> np.ndarray:
+    """ln a for every idf step and table row at tf = 1, so that most shingles need one look-up."""
+    return np.concatenate([_draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), np.arange(TABLE)) for s in range(STEPS + 1)])
 
 
 def signature(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
     """A key for each band, from SAMPLES consistent samples (shingle, t) of a text's weighted shingles."""
     step = weights(h, tf, corpus)[1]
     j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
-    low, who, what = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
-    every = np.arange(SAMPLES)
-    for a in range(0, len(h), 8192):
-        part = slice(a, a + 8192)
-        kinds, kind = np.unique(np.minimum(tf[part], 1 << 40) * 64 + step[part], return_inverse=True)
-        value, t = np.empty((SAMPLES, len(kind)), np.float32), np.empty((SAMPLES, len(kind)), np.int32)
-        for k, x in enumerate(kinds):
-            cols = np.flatnonzero(kind == k)
-            jj = j[part][cols]
-            if x < 192:
-                va, ta = _drawn(int(x) // 64, int(x) % 64)
-                value[:, cols], t[:, cols] = va[:, jj], ta[:, jj]
-            else:
-                value[:, cols], t[:, cols] = _draw(np.log((x // 64) * (1 + DAMP * (x % 64) / STEPS)), _R[:, jj], _LOG_C[:, jj], _BETA[:, jj])
-        at = value.argmin(1)
-        best = value[every, at]
+    low, who = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
+    for a in range(0, len(h), 4096):
+        part = slice(a, a + 4096)
+        value = _usual().take(step[part] * TABLE + j[part], axis=0)
+        if (often := np.flatnonzero(tf[part] > 1)).size:
+            value[often] = _draw(_log_weight(tf[part][often], step[part][often])[:, None], j[part][often])
+        best = value.min(0)
         less = best < low
-        low, who, what = np.where(less, best, low), np.where(less, at + a, who), np.where(less, t[every, at], what)
-    sample = _mix(h[who] + what.astype(np.uint64) * _MUL[0]).reshape(BANDS, ROWS)
+        low, who = np.where(less, best, low), np.where(less, value.argmin(0) + a, who)
+    every = np.arange(SAMPLES)
+    t = np.floor(_log_weight(tf[who], step[who]) / _R[j[who], every] + _BETA[j[who], every]).astype(np.int64)
+    sample = _mix(h[who] + t.astype(np.uint64) * _MUL[0]).reshape(BANDS, ROWS)
     return _mix((sample * _MUL[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1).astype(np.uint64) * _MUL[SHINGLE]).view(np.int64)
 
 

@@ -147,18 +147,22 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
     within = run - np.repeat(run[starts] - share[starts], np.diff(np.append(starts, len(head))))
     within[np.append(starts[1:], len(head)) - 1] = 1.0
     key = head + np.minimum(within, 1.0)
+    edge0 = np.searchsorted(head, np.arange(nodes + 1))
     # backward: all occurrences at once
     here, base, put = (node0 + size)[kind], node0[kind], begin - node0[kind]
     alive, got, got_at = np.arange(len(kind)), [], []
     while len(alive):
         e = np.searchsorted(key, here[alive] + draw[here[alive] + put[alive] - 1])
+        e = np.clip(e, edge0[here[alive]], edge0[here[alive] + 1] - 1)  # a draw next to 0 or 1 is rounded away
         here[alive] = tail[e]
         got.append(piece[e])
         got_at.append(tail[e] + put[alive])
         alive = alive[here[alive] > base[alive]]
-    got, got_at = np.concatenate(got), np.concatenate(got_at)
-    order = np.argsort(got_at, kind="stable")
-    got, got_at = got[order], got_at[order]
+    ids_at = np.full(n, np.iinfo(np.int64).min)  # a code begins one piece at most
+    for where_, ids_ in zip(got_at, got, strict=True):
+        ids_at[where_] = ids_
+    got_at = np.flatnonzero(ids_at != np.iinfo(np.int64).min)
+    got = ids_at[got_at]
     if (odd := np.flatnonzero(got < 0)).size:
         spelled = [p.fallback(-1 - int(x)) for x in got[odd]]
         times = np.ones(len(got), np.int64)
@@ -171,7 +175,7 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
 
 def _uniform(seed: np.uint64, low: int, high: int) -> np.ndarray:
     """A number in (0, 1) for each position, from seed and position alone."""
-    x = _mix(_mix(np.arange(low, high, dtype=np.uint64) + _U(1)) ^ seed)
+    x = _mix(_mix(np.arange(low, high, dtype=np.uint64) + _U(_BASE)) ^ seed)
     return ((x >> _U(11)).astype(np.float64) + 0.5) / 2**53
 
 
