@@ -193,6 +193,8 @@ def costs(page: list[Block], odds: dict[str, float]) -> list[float]:
         learned = sum(odds.get(f, 0.0) for f in figures(b))
         if not odds:
             learned = 1.0 if b.links < len(b.text) / 2 and b.text.count(" ") > 9 else -1.0
+        if not b.links and b.text[-1] in ".!?" and b.text.count(" ") > 8:
+            learned = max(learned, 0.5)  # running text is content unless a name says otherwise
         out.append(max(-CLIP, min(CLIP, learned)) + (GOOD if b.hint > 0 else BAD if b.hint < 0 else 0.0))
     return out
 

@@ -243,6 +243,6 @@ def decode(column: Column, model: str) -> Column:
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         text = np.array(pieces(model, 1.0).text, object)
         for rows in batches:
-            yield pa.array([None if r is None else b"".join(text[r.values.to_numpy()])[1:].decode("utf-8", "replace") for r in rows], pa.string())
+            yield pa.array([None if not r.is_valid else b"".join(text[r.values.to_numpy()])[1:].decode("utf-8", "replace") for r in rows], pa.string())
 
     return udf(column)
