@@ -162,7 +162,9 @@ def read_chunks(spark, path: str, files: DataFrame, chunk_bytes: int = 1 << 16,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PA.types, strict=True)], schema=_PA)
 
-    return files.select("file").distinct().mapInArrow(task, CHUNK_TABLE)
+    names = files.select("file").distinct()
+    # a task for each archive: the names are a few bytes, so Spark would read them all in one
+    return names.repartition(max(1, min(names.count(), 100_000))).mapInArrow(task, CHUNK_TABLE)
 
 
 def records(chunks: DataFrame) -> DataFrame:
