@@ -5,10 +5,11 @@
    is on purpose: with plain idf a large group of near copies makes its own shared shingles worthless and falls apart.
 2. ICWS draws `BANDS * ROWS` samples from each text's weighted set: the k-th samples of two texts agree with the
    probability of their weighted Jaccard similarity. Random numbers come from fixed tables indexed by shingle hash.
-3. Equal texts collapse to the one with the smallest id. In each band bucket every text is compared with the bucket's
-   smallest id, not with every other one. Those left over are compared with further leaders, a few a round. Weighted
-   Jaccard distance is a metric, so a leader skips only texts whose distances to the first leader prove them apart: no link
-   within a bucket is lost, and a bucket of copies costs one comparison a text.
+3. Equal texts collapse to the one with the smallest id. Texts that share a band bucket with another get a sketch of `WIDE`
+   further samples. In blocks of at most `BLOCK` texts of a bucket, every text is paired with the earlier one that its
+   sketch agrees with most; what is verified joins groups. Then every pair of a bucket whose texts are in different groups
+   and whose sketches agree as those of a link do (to `SIGMAS` standard deviations) is verified as well. Pairs within a
+   group change no class, so a bucket of copies is not expanded into all its pairs.
 4. Candidates are verified by exact weighted Jaccard similarity on whole texts; links give classes by large-star/small-star.
 
 Words are lower-cased and split at ASCII white space; a text of fewer words than a shingle is one shingle.
@@ -25,7 +26,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -34,7 +35,7 @@ SHINGLE, BANDS, ROWS, TABLE = 5, 20, 5, 2048
 SAMPLES = BANDS * ROWS
 WIDTH, DEPTH, STEPS, DAMP = 1 << 19, 2, 16, 0.2
 PIECE = 1 << 13
-LEADERS = 64
+WIDE, BLOCK, SIGMAS = 512, 512, 4
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,9 +43,6 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _MUL = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | _U(1)
 assert ROWS <= SHINGLE  # the multipliers serve both
-_R = _rng.gamma(2, 1, (TABLE, SAMPLES)).astype(np.float32)
-_LOG_C = np.log(_rng.gamma(2, 1, (TABLE, SAMPLES))).astype(np.float32)
-_BETA = _rng.random((TABLE, SAMPLES)).astype(np.float32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,41 +128,60 @@ def weights(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> tuple[np.ndarray,
     return tf * (1 + DAMP * step / STEPS), step
 
 
-def _draw(log_w: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """ln a of the samples, a row for each shingle; log_w is a column."""
-    t = np.floor(log_w / _R[j] + _BETA[j])
-    return _LOG_C[j] - _R[j] * (t - _BETA[j] + 1)
+class Sampler:
+    """`n` consistent samples of weighted sets; random numbers come from fixed tables."""
+
+    def __init__(self, n: int):
+        rng = np.random.Generator(np.random.PCG64([20240229, n]))
+        self.n = n
+        self.r = rng.gamma(2, 1, (TABLE, n)).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2, 1, (TABLE, n))).astype(np.float32)
+        self.beta = rng.random((TABLE, n)).astype(np.float32)
+        # ln a for every idf step and table row at tf = 1, so that most shingles need one look-up
+        every = np.arange(TABLE)
+        self.usual = np.concatenate([self._draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), every) for s in range(STEPS + 1)])
+
+    def _draw(self, log_w: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """ln a of the samples, a row for each shingle; log_w is a column."""
+        t = np.floor(log_w / self.r[j] + self.beta[j])
+        return self.log_c[j] - self.r[j] * (t - self.beta[j] + 1)
+
+    def samples(self, h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
+        """Hashes of the samples (shingle, t) of a text's weighted shingles."""
+        step = weights(h, tf, corpus)[1]
+        j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
+        low, who = np.full(self.n, np.inf, np.float32), np.zeros(self.n, np.int64)
+        for a in range(0, len(h), 1024):
+            part = slice(a, a + 1024)
+            value = self.usual.take(step[part] * TABLE + j[part], axis=0)
+            if (often := np.flatnonzero(tf[part] > 1)).size:
+                value[often] = self._draw(_log_weight(tf[part][often], step[part][often])[:, None], j[part][often])
+            best = value.min(0)
+            less = best < low
+            low, who = np.where(less, best, low), np.where(less, value.argmin(0) + a, who)
+        every = np.arange(self.n)
+        t = np.floor(_log_weight(tf[who], step[who]) / self.r[j[who], every] + self.beta[j[who], every]).astype(np.int64)
+        return _mix(h[who] + t.astype(np.uint64) * _MUL[0])
 
 
 def _log_weight(tf: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.log(tf * (1 + DAMP * step / STEPS)).astype(np.float32)
 
 
-@cache
-def _usual() -> np.ndarray:
-    """ln a for every idf step and table row at tf = 1, so that most shingles need one look-up."""
-    return np.concatenate([_draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), np.arange(TABLE)) for s in range(STEPS + 1)])
+sampler = cache(Sampler)
 
 
 def signature(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
-    """A key for each band, from SAMPLES consistent samples (shingle, t) of a text's weighted shingles."""
-    step = weights(h, tf, corpus)[1]
-    j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
-    low, who = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
-    for a in range(0, len(h), 4096):
-        part = slice(a, a + 4096)
-        value = _usual().take(step[part] * TABLE + j[part], axis=0)
-        if (often := np.flatnonzero(tf[part] > 1)).size:
-            value[often] = _draw(_log_weight(tf[part][often], step[part][often])[:, None], j[part][often])
-        best = value.min(0)
-        less = best < low
-        low, who = np.where(less, best, low), np.where(less, value.argmin(0) + a, who)
-    every = np.arange(SAMPLES)
-    t = np.floor(_log_weight(tf[who], step[who]) / _R[j[who], every] + _BETA[j[who], every]).astype(np.int64)
-    sample = _mix(h[who] + t.astype(np.uint64) * _MUL[0]).reshape(BANDS, ROWS)
+    """A key for each band, from SAMPLES samples."""
+    sample = sampler(SAMPLES).samples(h, tf, corpus).reshape(BANDS, ROWS)
     return _mix((sample * _MUL[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1).astype(np.uint64) * _MUL[SHINGLE]).view(np.int64)
 
 
+def sketch(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> bytes:
+    """A byte of each of WIDE samples."""
+    return sampler(WIDE).samples(h, tf, corpus).astype(np.uint8).tobytes()
+
+
 def similarity(a: tuple, b: tuple, corpus: Corpus) -> float:
     """Weighted Jaccard similarity of two texts' shingles."""
     wa, wb = weights(*a, corpus)[0], weights(*b, corpus)[0]
@@ -195,7 +212,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
     @F.pandas_udf("double")
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         corpus = shared.value
-        kept = lru_cache(64)(shingles)  # leaders come again and again
+        kept = lru_cache(64)(shingles)  # pairs of a text come one after the other
         for left, right in batches:
             yield pd.Series([similarity(shingles(x), kept(y), corpus) for x, y in zip(left, right, strict=True)], dtype=float)
 
@@ -203,30 +220,95 @@ def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
     return written(df.groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
 
 
-def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFrame:
-    """Pairs (a, b) of similarity `least` or more among the texts that share a bucket; `buckets` has key and id."""
-    first = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+def sketched(buckets: DataFrame, docs: DataFrame, shared) -> DataFrame:
+    """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), marks (band keys, then the sketch)."""
+    first = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     pool = written(buckets.join(first, "key"), "pool")
-    seen = verified(pool.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), docs, shared)
-    found = seen.filter(F.col("sim") >= least)
-    pool = pool.filter("id <> lead").join(seen.select(F.col("a").alias("id"), F.col("b").alias("lead"), "sim"), ["id", "lead"], "left")
-    pool = pool.select("key", "id", (1 - F.coalesce("sim", F.lit(0.0))).alias("far"))
-    pool = pool.withColumn("open", F.col("far") > 1 - least)
-    while True:
-        pool = pool.join(pool.filter("open").select("key").distinct(), "key", "left_semi")
-        pool = written(pool, "pool")
-        order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        leads = pool.filter("open").withColumn("nth", order).filter(F.col("nth") <= LEADERS)
-        leads = leads.select("key", F.col("id").alias("lead"), F.col("far").alias("lead_far"))
-        if leads.isEmpty():
-            return found.select("a", "b")
-        met = pool.join(leads, "key").filter((F.col("id") != F.col("lead")) & (F.abs(F.col("far") - F.col("lead_far")) <= 1 - least + 1e-9))
-        pairs = met.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
-        good = verified(pairs, docs, shared).filter(F.col("sim") >= least)
-        found = found.unionByName(good)
-        near = met.join(good, (F.greatest("id", "lead") == F.col("a")) & (F.least("id", "lead") == F.col("b")), "left_semi").select("key", "id")
-        done = leads.select("key", F.col("lead").alias("id")).unionByName(near).distinct().withColumn("done", F.lit(True))
-        pool = pool.join(done, ["key", "id"], "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
+
+    @F.pandas_udf("binary")
+    def marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        corpus = shared.value
+        for s in texts:
+            yield pd.Series([signature(h, tf, corpus).tobytes() + sketch(h, tf, corpus) for h, tf in map(shingles, s)], dtype=object)
+
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "text")
+    texts = texts.join(pool.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    texts = written(texts.select("id", "digest", marks("text").alias("marks")), "sketches")
+    return pool.join(texts, ["id", "digest"]).select("key", "id", "n", "lead", "marks")
+
+
+def _agreeing(group: pd.DataFrame, need: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of a block whose sketches agree in `need` samples: for each text the best earlier one, or all of different roots and sides."""
+    raw = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), -1)
+    bands, wide = np.ascontiguousarray(raw[:, : 8 * BANDS]).view(np.int64), np.ascontiguousarray(raw[:, 8 * BANDS :])
+    ids, roots, sides, key = group["id"].to_numpy(), group["root"].to_numpy(), group["side"].to_numpy(), group["key"].iloc[0]
+    found = []
+    for i in range(1, len(group)):
+        other = roots[:i] != roots[i]
+        if every:
+            other &= (sides[:i] != sides[i]) | (sides[i] == 2)
+        if not other.any():
+            continue
+        same = np.where(other, (wide[:i] == wide[i]).sum(1), -1)
+        if not every:
+            if same[j := int(same.argmax())] >= need:
+                found.append((ids[i], ids[j]))
+            continue
+        for j in np.flatnonzero(same >= need):
+            shared = bands[j] == bands[i]
+            if bands[i][shared.argmax()] == key:  # a pair of several buckets counts in its first
+                found.append((ids[i], ids[j]))
+    return found
+
+
+def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
+    """Pairs (a, b) of texts of a block (key, left, right), a > b; blocks are of bounded size, and read one after the other."""
+    need = int(WIDE * least - SIGMAS * (WIDE * least * (1 - least)) ** 0.5)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            at = pdf[["key", "left", "right"]].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1])
+            rest = pdf.iloc[cuts[-1] :]
+            yield frame([x for a, b in zip(cuts, cuts[1:]) for x in _agreeing(pdf.iloc[a:b], need, every)])
+        if rest is not None and len(rest):
+            yield frame(_agreeing(rest, need, every))
+
+    def frame(found: list) -> pd.DataFrame:
+        x = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": x.max(1, initial=-(2**63)), "b": x.min(1, initial=2**63 - 1)})
+
+    at = ["key", "left", "right"]
+    return blocks.repartition(*at).sortWithinPartitions(*at, "id").mapInPandas(pairs, "a long, b long")
+
+
+def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFrame:
+    """Links (a, b) of similarity `least` or more that join all texts which such links among bucket members join; `buckets` has key, id and digest."""
+    pool = written(sketched(buckets, docs, shared), "pool")
+    of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+
+    # a block of every text, the lead in each of its bucket's blocks
+    home = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), of(F.col("n")) - 1)).otherwise(F.array(part(of(F.col("n")))))
+    blocks = pool.select("key", "id", F.col("id").alias("root"), F.lit(0).alias("side"), "marks", F.explode(home).alias("left")).withColumn("right", F.col("left"))
+    found = verified(agreeing(blocks, least, False).distinct(), docs, shared).filter(F.col("sim") >= least).select("a", "b")
+
+    # the rest: between the group of a bucket's smallest root and the others (side 0 against 1), and among the others (side 2, or blocks of them)
+    pool = pool.join(components(found).withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
+    sizes = pool.groupBy("key").agg(F.min("root").alias("main")).join(pool.select("key", "root"), "key")
+    sizes = sizes.groupBy("key", "main").agg(F.count_if(F.col("root") == F.col("main")).alias("mains"), F.count_if(F.col("root") != F.col("main")).alias("others"))
+    pool = pool.join(sizes.filter("others > 0"), "key")
+    mains, others = of(F.col("mains")), of(F.col("others"))
+    mine = part(others)
+    main_blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct((-1 - part(mains)).alias("left"), k.alias("right"), F.lit(0).alias("side")))
+    to_mains = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: F.struct((-1 - k).alias("left"), mine.alias("right"), F.lit(1).alias("side")))
+    to_others = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least(k, mine).alias("left"), F.greatest(k, mine).alias("right"), F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side")))
+    at = F.explode(F.when(F.col("root") == F.col("main"), main_blocks).otherwise(F.concat(to_mains, to_others))).alias("at")
+    blocks = pool.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
+    more = verified(agreeing(blocks, least, True).distinct(), docs, shared).filter(F.col("sim") >= least).select("a", "b")
+    return found.unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +337,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     shared = spark.sparkContext.broadcast(document_frequencies(docs))  # DEPTH * WIDTH counters
     rows = signed(docs, shared)
     reps = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "digest")
     # rows that share a doc_id are linked through it
     copies = rows.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
     copies = written(copies.select("doc_id", "rep"), "copies")
