@@ -200,7 +200,7 @@ def signed(docs: DataFrame, shared) -> DataFrame:
             yield pd.Series([signature(h, tf, corpus) if len(h) else None for h, tf in map(shingles, s)])
 
     df = docs.filter("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"), bands("text").alias("bands"))
-    return written(df.filter(F.col("bands").isNotNull()), "signed")
+    return written(df, "signed").filter(F.col("bands").isNotNull())  # a filter before the writing would run the function twice
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
