@@ -203,11 +203,10 @@ def signed(docs: DataFrame, shared) -> DataFrame:
     return written(df, "signed").filter(F.col("bands").isNotNull())  # a filter before the writing would run the function twice
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
-    """a, b and the weighted Jaccard similarity of the candidate pairs."""
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    df = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    df = df.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """a, b and the weighted Jaccard similarity of the candidate pairs; `texts` has id and text."""
+    df = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    df = df.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     @F.pandas_udf("double")
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -220,8 +219,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shared) -> DataFrame:
     return written(df.groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
 
 
-def sketched(buckets: DataFrame, docs: DataFrame, shared) -> DataFrame:
-    """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), marks (band keys, then the sketch)."""
+def sketched(buckets: DataFrame, docs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), marks (band keys, then the sketch); their texts."""
     first = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     pool = written(buckets.join(first, "key"), "pool")
 
@@ -233,8 +232,8 @@ def sketched(buckets: DataFrame, docs: DataFrame, shared) -> DataFrame:
 
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "text")
     texts = texts.join(pool.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    texts = written(texts.select("id", "digest", marks("text").alias("marks")), "sketches")
-    return pool.join(texts, ["id", "digest"]).select("key", "id", "n", "lead", "marks")
+    texts = written(texts.withColumn("marks", marks("text")), "sketches")
+    return pool.join(texts.drop("text"), ["id", "digest"]).select("key", "id", "n", "lead", "marks"), texts
 
 
 def _agreeing(group: pd.DataFrame, need: int, every: bool) -> list[tuple[int, int]]:
@@ -286,14 +285,15 @@ def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
 
 def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFrame:
     """Links (a, b) of similarity `least` or more that join all texts which such links among bucket members join; `buckets` has key, id and digest."""
-    pool = written(sketched(buckets, docs, shared), "pool")
+    pool, texts = sketched(buckets, docs, shared)
+    pool = written(pool, "pool")
     of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
 
     # a block of every text, the lead in each of its bucket's blocks
     home = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), of(F.col("n")) - 1)).otherwise(F.array(part(of(F.col("n")))))
     blocks = pool.select("key", "id", F.col("id").alias("root"), F.lit(0).alias("side"), "marks", F.explode(home).alias("left")).withColumn("right", F.col("left"))
-    found = verified(agreeing(blocks, least, False).distinct(), docs, shared).filter(F.col("sim") >= least).select("a", "b")
+    found = verified(agreeing(blocks, least, False).distinct(), texts, shared).filter(F.col("sim") >= least).select("a", "b")
 
     # the rest: between the group of a bucket's smallest root and the others (side 0 against 1), and among the others (side 2, or blocks of them)
     pool = pool.join(components(found).withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
@@ -307,7 +307,7 @@ def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFram
     to_others = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least(k, mine).alias("left"), F.greatest(k, mine).alias("right"), F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side")))
     at = F.explode(F.when(F.col("root") == F.col("main"), main_blocks).otherwise(F.concat(to_mains, to_others))).alias("at")
     blocks = pool.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
-    more = verified(agreeing(blocks, least, True).distinct(), docs, shared).filter(F.col("sim") >= least).select("a", "b")
+    more = verified(agreeing(blocks, least, True).distinct(), texts, shared).filter(F.col("sim") >= least).select("a", "b")
     return found.unionByName(more)
 
 
