@@ -34,13 +34,15 @@ from .common import written
 SHINGLE, BANDS, ROWS, TABLE = 5, 20, 5, 2048
 SAMPLES = BANDS * ROWS
 WIDTH, DEPTH, STEPS, DAMP = 1 << 19, 2, 16, 0.2
-PIECE = 1 << 13
+PIECE, CACHED = 1 << 13, 1 << 18
 WIDE, BLOCK, SIGMAS = 512, 512, 4
+CHUNK = 1024  # shingles whose samples are drawn at once; a power of two
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
+_FACTOR = 1 + DAMP * np.arange(STEPS + 1) / STEPS
 _MUL = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | _U(1)
 assert ROWS <= SHINGLE  # the multipliers serve both
 
@@ -51,25 +53,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 1 to n of a fixed odd number, and those of its inverse from 0."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 2**64)))
+    return up, np.concatenate([[_U(1)], down])
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a text and their counts."""
     b = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
-    inside = ~_SPACE[b]
-    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = ~_SPACE[b]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sizes = ends - starts
-    power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
-    at = np.flatnonzero(inside)
-    values = _BYTE[b[at]] * power[at - np.repeat(starts, sizes)]
-    words = _mix(np.add.reduceat(values, np.concatenate([[0], sizes.cumsum()[:-1]])))
+    # a word's hash is a difference of running sums, moved to power 1
+    up, down = _powers(CACHED) if len(b) <= CACHED else _powers.__wrapped__(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
+    words = _mix((total[ends] - total[starts]) * down[starts])
     n = len(words)
     if n < SHINGLE:
         h = (words * _MUL[:n]).sum(dtype=np.uint64, keepdims=True) + _U(n) * _MUL[SHINGLE]
     else:
         h = sum(words[k : n - SHINGLE + 1 + k] * _MUL[k] for k in range(SHINGLE))
-    return np.unique(_mix(h), return_counts=True)
+    h = np.sort(_mix(h))
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.diff(np.append(at, len(h)))
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -112,20 +125,18 @@ def document_frequencies(docs: DataFrame) -> Corpus:
 
 
 class Corpus:
-    """Document frequencies: counters, the mean noise in each row of them, and the number of texts."""
+    """The idf steps (0 to STEPS) of every counter of document frequencies, the mean noise in each row taken off."""
 
     def __init__(self, counts: np.ndarray, texts: int):
-        self.counts, self.texts, self.noise = counts, texts, counts.sum(1, dtype=np.int64) / WIDTH
+        df = counts - counts.sum(1, dtype=np.int64, keepdims=True) / WIDTH
+        rare = 1 - np.log(np.maximum(1, np.round(df))) / np.log(max(texts, 2))
+        self.steps = np.clip(np.round(rare * STEPS), 0, STEPS).astype(np.uint8)
 
 
 def weights(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the shingles, and their idf steps (0 to STEPS)."""
-    df = np.full(len(h), np.inf)
-    for d, at in enumerate(_slots(h)):
-        df = np.minimum(df, corpus.counts[d][at] - corpus.noise[d])
-    rare = 1 - np.log(np.maximum(1, np.round(df))) / np.log(max(corpus.texts, 2))
-    step = np.clip(np.round(rare * STEPS), 0, STEPS).astype(np.int64)
-    return tf * (1 + DAMP * step / STEPS), step
+    """Weights of the shingles, and their idf steps (that of the smallest counter)."""
+    step = np.maximum.reduce([steps[at] for steps, at in zip(corpus.steps, _slots(h), strict=True)]).astype(np.int64)
+    return tf * _FACTOR[step], step
 
 
 class Sampler:
@@ -137,35 +148,37 @@ class Sampler:
         self.r = rng.gamma(2, 1, (TABLE, n)).astype(np.float32)
         self.log_c = np.log(rng.gamma(2, 1, (TABLE, n))).astype(np.float32)
         self.beta = rng.random((TABLE, n)).astype(np.float32)
-        # ln a for every idf step and table row at tf = 1, so that most shingles need one look-up
+        # the order of ln a for every idf step and table row at tf = 1, so that most shingles need one look-up
         every = np.arange(TABLE)
         self.usual = np.concatenate([self._draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), every) for s in range(STEPS + 1)])
 
     def _draw(self, log_w: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """ln a of the samples, a row for each shingle; log_w is a column."""
+        """The samples' order, a row for each shingle, as integers whose last bits are free; log_w is a column."""
         t = np.floor(log_w / self.r[j] + self.beta[j])
-        return self.log_c[j] - self.r[j] * (t - self.beta[j] + 1)
+        bits = (self.log_c[j] - self.r[j] * (t - self.beta[j] + 1)).astype(np.float32).view(np.int32)
+        return (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))) & np.int32(~(CHUNK - 1))
 
     def samples(self, h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
         """Hashes of the samples (shingle, t) of a text's weighted shingles."""
         step = weights(h, tf, corpus)[1]
         j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
-        low, who = np.full(self.n, np.inf, np.float32), np.zeros(self.n, np.int64)
-        for a in range(0, len(h), 1024):
-            part = slice(a, a + 1024)
+        low, who = np.full(self.n, np.iinfo(np.int32).max, np.int32), np.zeros(self.n, np.int64)
+        for a in range(0, len(h), CHUNK):
+            part = slice(a, a + CHUNK)
             value = self.usual.take(step[part] * TABLE + j[part], axis=0)
             if (often := np.flatnonzero(tf[part] > 1)).size:
                 value[often] = self._draw(_log_weight(tf[part][often], step[part][often])[:, None], j[part][often])
+            value |= np.arange(len(value), dtype=np.int32)[:, None]  # the least value has its row in the last bits
             best = value.min(0)
-            less = best < low
-            low, who = np.where(less, best, low), np.where(less, value.argmin(0) + a, who)
+            less = (best & ~(CHUNK - 1)) < low
+            low, who = np.where(less, best & ~(CHUNK - 1), low), np.where(less, (best & (CHUNK - 1)) + a, who)
         every = np.arange(self.n)
         t = np.floor(_log_weight(tf[who], step[who]) / self.r[j[who], every] + self.beta[j[who], every]).astype(np.int64)
         return _mix(h[who] + t.astype(np.uint64) * _MUL[0])
 
 
 def _log_weight(tf: np.ndarray, step: np.ndarray) -> np.ndarray:
-    return np.log(tf * (1 + DAMP * step / STEPS)).astype(np.float32)
+    return np.log(tf * _FACTOR[step]).astype(np.float32)
 
 
 sampler = cache(Sampler)
