@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK, LITERAL = 0x2581, 0x120000
-SLICE = 1 << 20
+SLICE, SOME = 1 << 20, 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -44,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """The pieces of a model by hash and length, their log weights, and what each decodes to."""
+    """The pieces of a model by hash and length (after a mark for each start of a hash that some piece has), their log weights, and what each decodes to."""
 
     def __init__(self, model: str, alpha: float):
         from sentencepiece import SentencePieceProcessor
@@ -68,7 +68,9 @@ class Pieces:
             c = np.array([[ord(x) for x in p] for p, _ in own], np.uint64)
             h = (_mix(c) * _powers(size)[0][:size]).sum(1, dtype=np.uint64)
             order = np.argsort(h)
-            self.tables[size] = (h[order], np.array([i for _, i in own])[order])
+            some = np.zeros(1 << SOME, bool)
+            some[h >> _U(64 - SOME)] = True
+            self.tables[size] = (some, h[order], np.array([i for _, i in own])[order])
             hashes |= {(size, int(x)) for x in h}
         if len(hashes) != len(plain):
             raise ValueError("two pieces share a hash")
@@ -105,9 +107,11 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
     at, node, left = begin[one][unit] + local, node0[unit] + local, size[unit] - local
     tails, heads, ids = [], [], []
     single = np.zeros(len(at), bool)
-    for length, (hashes, names) in p.tables.items():
+    for length, (some, hashes, names) in p.tables.items():
         k = np.flatnonzero(left >= length)
         h = (total[at[k] + length] - total[at[k]]) * down[at[k]]
+        maybe = np.flatnonzero(some[h >> _U(64 - SOME)])
+        k, h = k[maybe], h[maybe]
         slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         ok = hashes[slot] == h
         tails.append(node[k[ok]])
@@ -152,8 +156,11 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
     here, base, put = (node0 + size)[kind], node0[kind], begin - node0[kind]
     alive, got, got_at = np.arange(len(kind)), [], []
     while len(alive):
-        e = np.searchsorted(key, here[alive] + draw[here[alive] + put[alive] - 1])
-        e = np.clip(e, edge0[here[alive]], edge0[here[alive] + 1] - 1)  # a draw next to 0 or 1 is rounded away
+        drawn, e = here[alive] + draw[here[alive] + put[alive] - 1], edge0[here[alive]]
+        on = np.flatnonzero(key[e] < drawn)
+        while len(on):  # as often as a position has pieces at most
+            e[on] += 1
+            on = on[key[e[on]] < drawn[on]]
         here[alive] = tail[e]
         got.append(piece[e])
         got_at.append(tail[e] + put[alive])
@@ -241,8 +248,13 @@ def decode(column: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        text = np.array(pieces(model, 1.0).text, object)
+        spelled = pa.array(pieces(model, 1.0).text, pa.large_binary())
         for rows in batches:
-            yield pa.array([None if not r.is_valid else b"".join(text[r.values.to_numpy()])[1:].decode("utf-8", "replace") for r in rows], pa.string())
+            flat = spelled.take(rows.flatten())
+            _, starts, data = flat.buffers()
+            sizes = rows.value_lengths().fill_null(0).to_numpy()
+            at = np.frombuffer(starts, np.int64)[np.concatenate([[0], sizes.cumsum()])]
+            data = memoryview(data or b"")
+            yield pa.array([str(data[a + 1 : b], "utf-8", "replace") if r else None for a, b, r in zip(at[:-1], at[1:], rows.is_valid().to_pylist(), strict=True)], pa.string())
 
     return udf(column)
