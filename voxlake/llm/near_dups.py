@@ -158,20 +158,30 @@ class Sampler:
         bits = (self.log_c[j] - self.r[j] * (t - self.beta[j] + 1)).astype(np.float32).view(np.int32)
         return (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))) & np.int32(~(CHUNK - 1))
 
-    def samples(self, h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
-        """Hashes of the samples (shingle, t) of a text's weighted shingles."""
+    def samples(self, found: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus) -> np.ndarray:
+        """Hashes of the samples (shingle, t) of texts' weighted shingles, a row for each text; none is empty."""
+        h, tf = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.cumsum([len(x) for x, _ in found])
         step = weights(h, tf, corpus)[1]
         j = ((h ^ (h >> _U(32))) % _U(TABLE)).astype(np.int64)
-        low, who = np.full(self.n, np.iinfo(np.int32).max, np.int32), np.zeros(self.n, np.int64)
-        for a in range(0, len(h), CHUNK):
-            part = slice(a, a + CHUNK)
-            value = self.usual.take(step[part] * TABLE + j[part], axis=0)
-            if (often := np.flatnonzero(tf[part] > 1)).size:
-                value[often] = self._draw(_log_weight(tf[part][often], step[part][often])[:, None], j[part][often])
-            value |= np.arange(len(value), dtype=np.int32)[:, None]  # the least value has its row in the last bits
-            best = value.min(0)
-            less = (best & ~(CHUNK - 1)) < low
-            low, who = np.where(less, best & ~(CHUNK - 1), low), np.where(less, (best & (CHUNK - 1)) + a, who)
+        row, often, local = step * TABLE + j, np.flatnonzero(tf > 1), np.arange(CHUNK, dtype=np.int32)[:, None]
+        who, a = np.empty((len(found), self.n), np.int64), 0
+        for k, end in enumerate(ends):
+            low = None
+            for c in range(a, end, CHUNK):
+                d = min(c + CHUNK, end)
+                value = self.usual.take(row[c:d], axis=0)
+                if (more := often[slice(*np.searchsorted(often, (c, d)))]).size:
+                    value[more - c] = self._draw(_log_weight(tf[more], step[more])[:, None], j[more])
+                value |= local[: d - c]  # the least value has its row in the last bits
+                best = value.min(0)
+                at, best = (best & (CHUNK - 1)) + c, best & ~(CHUNK - 1)
+                if low is None:
+                    low, who[k] = best, at
+                else:
+                    less = best < low
+                    low, who[k] = np.where(less, best, low), np.where(less, at, who[k])
+            a = end
         every = np.arange(self.n)
         t = np.floor(_log_weight(tf[who], step[who]) / self.r[j[who], every] + self.beta[j[who], every]).astype(np.int64)
         return _mix(h[who] + t.astype(np.uint64) * _MUL[0])
@@ -184,15 +194,25 @@ def _log_weight(tf: np.ndarray, step: np.ndarray) -> np.ndarray:
 sampler = cache(Sampler)
 
 
+def signatures(found: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus) -> np.ndarray:
+    """A key for each band, from SAMPLES samples, of each text."""
+    sample = sampler(SAMPLES).samples(found, corpus).reshape(-1, BANDS, ROWS)
+    return _mix((sample * _MUL[:ROWS]).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1).astype(np.uint64) * _MUL[SHINGLE]).view(np.int64)
+
+
 def signature(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> np.ndarray:
-    """A key for each band, from SAMPLES samples."""
-    sample = sampler(SAMPLES).samples(h, tf, corpus).reshape(BANDS, ROWS)
-    return _mix((sample * _MUL[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1).astype(np.uint64) * _MUL[SHINGLE]).view(np.int64)
+    return signatures([(h, tf)], corpus)[0]
+
+
+def sketches(found: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus) -> np.ndarray:
+    """A byte of each of WIDE samples of each text."""
+    return sampler(WIDE).samples(found, corpus).astype(np.uint8)
 
 
-def sketch(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> bytes:
-    """A byte of each of WIDE samples."""
-    return sampler(WIDE).samples(h, tf, corpus).astype(np.uint8).tobytes()
+def _in_groups(texts: pd.Series) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The shingles of the texts, some texts at a time."""
+    for a in range(0, len(texts), 64):
+        yield [shingles(t) for t in texts.iloc[a : a + 64]]
 
 
 def similarity(a: tuple, b: tuple, corpus: Corpus) -> float:
@@ -210,7 +230,12 @@ def signed(docs: DataFrame, shared) -> DataFrame:
     def bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         corpus = shared.value
         for s in texts:
-            yield pd.Series([signature(h, tf, corpus) if len(h) else None for h, tf in map(shingles, s)])
+            keys = []
+            for found in _in_groups(s):
+                full = [x for x in found if len(x[0])]
+                some = iter(signatures(full, corpus) if full else ())
+                keys += [next(some) if len(x[0]) else None for x in found]
+            yield pd.Series(keys, dtype=object)
 
     df = docs.filter("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"), bands("text").alias("bands"))
     return written(df, "signed").filter(F.col("bands").isNotNull())  # a filter before the writing would run the function twice
@@ -241,7 +266,7 @@ def sketched(buckets: DataFrame, docs: DataFrame, shared) -> tuple[DataFrame, Da
     def marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         corpus = shared.value
         for s in texts:
-            yield pd.Series([signature(h, tf, corpus).tobytes() + sketch(h, tf, corpus) for h, tf in map(shingles, s)], dtype=object)
+            yield pd.Series([a.tobytes() + b.tobytes() for found in _in_groups(s) for a, b in zip(signatures(found, corpus), sketches(found, corpus), strict=True)], dtype=object)
 
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "text")
     texts = texts.join(pool.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
