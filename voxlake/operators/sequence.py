@@ -116,3 +116,27 @@ def siblings(df: DataFrame, key: str, name: str, derived: Column, n: int = 5) ->
     pairs = base.join(other, F.col(name) == F.col("_n")).filter(F.col(key) != F.col("sibling")).drop("_n")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("sibling"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") < n)
+
+
+def following(df: DataFrame, group: str, order: str, value: str, shard_rows: int = 4096) -> DataFrame:
+    """`df` with `next`: `value` of the row that follows within the group, in order of a numeric column; last rows go.
+
+    As lead over a window by group, but a group is dealt by ranges of `order` into shards of about `shard_rows` rows. The
+    last row of a shard takes the first value of the group's next shard. The bounds are collected, so all uses of them agree.
+    """
+    most = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    k = max(1, -(-most // shard_rows))
+    cuts = F.array(*(F.lit(i / k) for i in range(1, k))) if k > 1 else F.array(F.lit(0.0))
+    found = df.groupBy(group).agg(F.percentile_approx(order, cuts, max(10000, 20 * k)).alias("b")).collect()
+    kind = df.schema[group].dataType.simpleString()
+    bounds = df.sparkSession.createDataFrame([(r[0], i, sorted({*(r["b"] or [])})) for i, r in enumerate(found)], f"_of {kind}, _g int, _bounds array<{df.schema[order].dataType.simpleString()}>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(k.bit_length()))))
+    shard = F.aggregate(steps, F.lit(0), lambda at, n: F.when((at + n <= F.size("_bounds")) & (F.get("_bounds", at + n - 1) <= F.col(order)), at + n).otherwise(at))
+    rows = df.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_of"))).withColumn("_shard", shard).drop("_of", "_bounds")
+    firsts = rows.groupBy("_g", "_shard").agg(F.min(order).alias("_first"))
+    firsts = firsts.select("_g", "_shard", F.lead("_first").over(Window.partitionBy("_g").orderBy("_shard")).alias("_after")).filter("_after is not null")
+    heads = rows.select(F.col("_g").alias("_hg"), F.col(order).alias("_ho"), F.struct(F.col(value).alias("v")).alias("_head"))
+    heads = F.broadcast(firsts).join(heads, (F.col("_g") == F.col("_hg")) & (F.col("_after") == F.col("_ho"))).groupBy("_g", "_shard").agg(F.first("_head").alias("_head"))
+    own = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_g", "_shard").orderBy(order))
+    out = rows.withColumn("_own", own).join(heads, ["_g", "_shard"], "left").withColumn("_next", F.coalesce("_own", "_head"))
+    return out.filter("_next is not null").select(*df.columns, F.col("_next.v").alias("next"))

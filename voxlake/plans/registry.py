@@ -610,14 +610,21 @@ _ST = f"""{_PAIRS}, st AS (SELECT doc_id, a, b, list_transform(range(1, greatest
   WHEN translate(a[i], '{ACCENTS}', '{PLAIN}') = translate(b[i], '{ACCENTS}', '{PLAIN}') THEN 'tone_wrong' ELSE 'wrong' END) AS s FROM pr WHERE b IS NOT NULL)"""
 
 
-def _status(v):
-    nxt = F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id"))
-    p = v("documents").select("doc_id", F.substring("text", 1, 12).alias("a"), F.substring(nxt, 1, 10).alias("b")).filter("b is not null")
+def _status(v, whole: bool = True):
+    """Statuses of whole texts; else of the first 12 characters against 10, which the SQL of n1_status and n2_score compares."""
+    cut = lambda x, n: c(x) if whole else F.substring(x, 1, n)
+    p = v("documents").select("doc_id", "lang", cut("text", 12).alias("a"), cut("text", 10).alias("heard"))
+    p = seq.following(p, "lang", "doc_id", "heard").select("doc_id", "a", c("next").alias("b")).filter("b is not null")
     ch = text.characters
     return p.withColumn("s", scoring.align_status(ch(plain(c("a"))), ch(c("a")), ch(plain(c("b"))), ch(c("b"))))
 
 
 @query("n1_status", f"WITH {_ST} SELECT doc_id, array_to_string(s, ',') AS s FROM st")
+def _(v):
+    return _status(v, False).select("doc_id", F.array_join("s", ",").alias("s"))
+
+
+@query("n1_status_whole")
 def _(v):
     return _status(v).select("doc_id", F.array_join("s", ",").alias("s"))
 
@@ -628,6 +635,11 @@ sx AS (SELECT *, CASE WHEN length(b) = 0 THEN 0 ELSE greatest(0, trunc(pron * 0.
 
 
 @query("n2_score", f"WITH {_SC} SELECT doc_id, pron, tone, score FROM sx")
+def _(v):
+    return _status(v, False).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
+
+
+@query("n2_score_whole")
 def _(v):
     return _status(v).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
 
