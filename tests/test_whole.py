@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from voxlake.operators import sequence
+from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
 
@@ -42,3 +42,22 @@ def test_alignment_of_whole_texts(spark, tmp_path):
     assert run("n2_score_whole") == {i: score(*p) for i, p in pairs.items()}
     got = run("n3_feedback")
     assert got[0] == ("excellent tone: ó",) and got[1] == ("good wrong: can",) and len(got) == 6
+
+
+def test_sections_reach_the_last_page(spark, tmp_path):
+    pages = [(p, pdf) for pdf, last in (("a", 1234), ("b", 90), ("c", 700)) for p in range(0, last + 1, 7 if pdf == "a" else 1)]
+    spark.createDataFrame([(p, pdf, "x\ny") for p, pdf in pages], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    last = {pdf: max(p for p, x in pages if x == pdf) for _, pdf in pages}
+    want = sorted((pdf, p, k, p - 100 * k) for p, pdf in pages for k in range(last[pdf] // 100 + 1) if 100 * k <= p <= min(100 * k + 150, last[pdf]))
+    got = QUERIES["j7_sections_whole"](spark, str(tmp_path)).select("pdf", "page", "section", "page_index").collect()
+    assert sorted(tuple(r) for r in got) == want and max(r["page"] for r in got) > 1200
+
+
+def test_sections_by_buckets(spark):
+    rng = random.Random(2)
+    pages = [(rng.choice("ab"), rng.randrange(-50, 900)) for _ in range(80)]
+    spans = [(rng.choice("ab"), s := rng.randrange(-90, 900), s + rng.randrange(-20, 400)) for _ in range(40)]
+    last = {"a": 800, "b": 600}
+    want = sorted((f, p, s, p - s) for f, p in pages for g, s, e in spans if f == g and s <= p <= min(e, last[f]))
+    got = relational.pages_in_sections(spark.createDataFrame(pages, "pdf string, page long"), spark.createDataFrame(spans, "pdf string, start_page long, end_page long"), spark.createDataFrame([*last.items()], "pdf string, last_page long"))
+    assert sorted((r["pdf"], r["page"], r["start_page"], r["page_index"]) for r in got.collect()) == want

@@ -165,10 +165,16 @@ def mentions(pages: DataFrame, cards: DataFrame, strip: str = ",.", k: int = 12)
     return met.unionByName(p.join(short, F.contains("_t", "_c")).select("page_id", "card_id")).distinct()
 
 
-def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame) -> DataFrame:
-    """Pages with the sections of their file that hold them, and the index of the page in its section."""
-    s = sections.join(last, "pdf").withColumn("stop", F.least("end_page", "last_page"))
-    return pages.join(s, "pdf").filter("page between start_page and stop").withColumn("page_index", F.col("page") - F.col("start_page")).drop("stop", "last_page")
+def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame, width: int = 100) -> DataFrame:
+    """Pages with the sections of their file that hold them, and the index of the page in its section.
+
+    Joined by file and bucket of `width` pages, so a page meets only the sections near it.
+    """
+    s = sections.join(last, "pdf").withColumn("stop", F.least("end_page", "last_page")).filter("start_page <= stop")
+    bucket = lambda x: F.floor(F.col(x) / width)
+    s = s.withColumn("_bucket", F.explode(F.sequence(bucket("start_page"), bucket("stop"))))
+    df = pages.withColumn("_bucket", bucket("page")).join(s, ["pdf", "_bucket"]).filter("page between start_page and stop")
+    return df.withColumn("page_index", F.col("page") - F.col("start_page")).drop("stop", "last_page", "_bucket")
 
 
 def cascade_delete(parent: DataFrame, children: list[tuple[DataFrame, str]], keys: DataFrame, key: str) -> list[DataFrame]:

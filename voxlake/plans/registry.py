@@ -215,15 +215,25 @@ def _(v):
     return rel.mentions(v("documents").select(c("doc_id").alias("page_id"), "text"), v("benchmark").select(c("item_id").alias("card_id"), "text"))
 
 
-@query("j7_sections", "WITH l AS (SELECT pdf, max(page) AS last_page FROM lines_v GROUP BY pdf) SELECT p.pdf, p.page, s.k AS section, p.page - s.k * 100 AS page_index FROM (SELECT DISTINCT pdf, page FROM lines_v) p JOIN (SELECT pdf, unnest(range(0, 5)) AS k FROM l) s USING (pdf) JOIN l USING (pdf) WHERE p.page BETWEEN s.k * 100 AND least(s.k * 100 + 150, last_page)")
-def _(v):
+def _sections(v, top):
+    """Sections of 150 pages, 100 apart, up to number `top` of a file's last page."""
     pages = v("lines_v").select("pdf", "page").distinct()
     last = pages.groupBy("pdf").agg(F.max("page").alias("last_page"))
-    sections = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), lit(4).cast("long"))).alias("section"))
+    sections = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), top(c("last_page")).cast("long"))).alias("section"))
     sections = sections.withColumns({"start_page": c("section") * 100, "end_page": c("section") * 100 + 150})
     return rel.pages_in_sections(pages, sections, last).select("pdf", "page", "section", "page_index")
 
 
+@query("j7_sections", "WITH l AS (SELECT pdf, max(page) AS last_page FROM lines_v GROUP BY pdf) SELECT p.pdf, p.page, s.k AS section, p.page - s.k * 100 AS page_index FROM (SELECT DISTINCT pdf, page FROM lines_v) p JOIN (SELECT pdf, unnest(range(0, 5)) AS k FROM l) s USING (pdf) JOIN l USING (pdf) WHERE p.page BETWEEN s.k * 100 AND least(s.k * 100 + 150, last_page)")
+def _(v):
+    return _sections(v, lambda last: lit(4))  # the SQL ends there too
+
+
+@query("j7_sections_whole")
+def _(v):
+    return _sections(v, lambda last: F.floor(last / 100))
+
+
 @query("j8_gloss", "SELECT p.p_partkey, b.gloss FROM part p LEFT JOIN (SELECT p_name, min(p_brand) AS gloss FROM part WHERE p_size < 25 GROUP BY 1) b USING (p_name)")
 def _(v):
     d = v("part").filter("p_size < 25").groupBy("p_name").agg(F.min("p_brand").alias("gloss"))
