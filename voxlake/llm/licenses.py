@@ -1,6 +1,6 @@
 """Licence scans by canonical digest: texts are normalised, digested, and hash-joined to the digests of known licences.
 
-Canonical form: lower case; everything but letters, digits and line ends becomes one blank; copyright lines go;
+Canonical form: lower case; everything but letters, digits and line ends becomes one blank; copyright statements go;
 equivalent spellings become one; lines are joined by a blank. A whole text is joined by its digest; every line of it is
 looked up too, since a notice is often one line of a longer text. No fuzzy matching: one different word is no match.
 
@@ -13,6 +13,9 @@ are not looked at.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +68,32 @@ SPELLINGS = [
     ("v2", "version 2"),
     ("v3", "version 3"),
 ]
+#: A line that is a copyright statement: with (c), a year or an owner, not prose that happens to be wrapped before the word.
+PROSE = "also|and|are|claims|disclaimer|doctrines|for|holders?|if|in|infringement|interests?|is|laws?|licen[sc]es?|like|lines?|notices?|of|on|or|owners?|ownership|patent|permissions?|protection|statements?|the (software|program|library|work)|those|to|treaty"
+STATEMENT = rf"^(copyright (?!({PROSE})( |$)).*|c [0-9]{{4}}( .*)?|[0-9]{{4}} copyright( .*)?|all rights reserved( (?!permission |redistribution ).*)?)$"
+#: The SQL's pattern. It drops each line that begins with the word, so the two agree only on texts without such prose lines.
 COPYRIGHT = r"^(copyright|c [0-9]{4}|[0-9]{4} copyright|all rights reserved)( |$)"
 
 
+#: Licences whose entire text is in license_texts/, besides the two in KNOWN.
+ENTIRE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0"]
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """(licence, text) of each entire text: also without its title, with other bullets, without the appendix on its use."""
+    texts = [(i, t) for i, t in KNOWN if t.startswith(f"{i} License\n")]
+    texts += [(i, pkgutil.get_data(__package__, f"license_texts/{i}.txt").decode()) for i in ENTIRE]
+    out = []
+    for i, t in texts:
+        out += [(i, t)]
+        if i in ("MIT", "ISC") or i.startswith("BSD"):
+            bare = t.partition("\n")[2]
+            out += [(i, bare)] + [(i, re.sub(r"(?m)^[0-9]\. ", "* ", x)) for x in (t, bare)]
+        if (end := t.find("END OF TERMS AND CONDITIONS")) >= 0:
+            out += [(i, t[:end]), (i, t[:end] + "END OF TERMS AND CONDITIONS")]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """Array of a text's canonical lines, without empty and copyright ones."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
@@ -75,21 +101,26 @@ def canonical_lines(text: Column) -> Column:
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(STATEMENT))
 
 
 def digest(lines: Column) -> Column:
-    return F.md5(F.array_join(lines, " "))
+    """md5 of the joined lines; spellings of two words are looked for again, since a line may end between them."""
+    t = F.concat(F.lit(" "), F.array_join(lines, " "), F.lit(" "))
+    for old, new in SPELLINGS:
+        if " " in old:
+            t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.md5(F.trim(t))
 
 
-def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """known_digest and license_id of a fixed list of (licence, text)."""
-    df = spark.createDataFrame(known, "license_id string, known string")
+def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """known_digest and license_id of a fixed list of (licence, text), by default the notices and entire texts."""
+    df = spark.createDataFrame(KNOWN + entire_texts() if known is None else known, "license_id string, known string")
     df = df.select(digest(canonical_lines(F.col("known"))).alias("known_digest"), "license_id")
     return df.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_digest, license_id (of the whole text, else null), n_license_lines and line_licenses of every row.
 
     `line_licenses` are the distinct licences of its lines, sorted, joined by commas.
