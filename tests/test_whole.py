@@ -6,7 +6,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from voxlake.llm import licenses
+from voxlake.llm import html_text, licenses
 from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
@@ -79,3 +79,8 @@ def test_sections_by_buckets(spark):
     want = sorted((f, p, s, p - s) for f, p in pages for g, s, e in spans if f == g and s <= p <= min(e, last[f]))
     got = relational.pages_in_sections(spark.createDataFrame(pages, "pdf string, page long"), spark.createDataFrame(spans, "pdf string, start_page long, end_page long"), spark.createDataFrame([*last.items()], "pdf string, last_page long"))
     assert sorted((r["pdf"], r["page"], r["start_page"], r["page_index"]) for r in got.collect()) == want
+
+
+def test_capitals_of_a_whole_block():
+    block = html_text.Block("x " * 1000 + "LOUD " * 1000, 0, "p", (), 0)
+    assert "upper high" in html_text.figures(block)

@@ -150,7 +150,7 @@ def blocks(page: str | None) -> list[Block]:
 def figures(b: Block) -> list[str]:
     """The names of what holds for a block."""
     n, share = b.text.count(" ") + 1, b.links / len(b.text)
-    upper = sum(c.isupper() for c in b.text[:2000]) / min(len(b.text), 2000)
+    upper = sum(c.isupper() for c in b.text) / len(b.text)
     return [
         "words " + ("1" if n < 3 else "3" if n < 8 else "8" if n < 20 else "20" if n < 60 else "60"),
         "links " + ("none" if not share else "some" if share < 0.4 else "most"),
