@@ -1,12 +1,9 @@
 """Queries whose SQL stops at a part of their input, or that have none, against plain versions over the whole of it."""
 
 import random
-import re
-import textwrap
 
 from pyspark.sql import functions as F
 
-from voxlake.llm import html_text, licenses
 from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
@@ -47,21 +44,6 @@ def test_alignment_of_whole_texts(spark, tmp_path):
     assert got[0] == ("excellent tone: ó",) and got[1] == ("good wrong: can",) and len(got) == 6
 
 
-def test_entire_licences_wrapped_anew(spark):
-    names, texts = [], []
-    for name, text in licenses.entire_texts():
-        for width in (25, 40, 60, 61, 63, 70, 72, 76, 79, 80, 100):
-            parts = re.split(r"\n\s*\n", text)  # lines of a statement or a title stay as they are
-            parts = [p if re.search(r"(?i)copyright +(\(c\)|\[yyyy)|^ *all rights", p) else textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in parts]
-            names.append(name)
-            texts.append("Copyright (c) 2020 Me & Co.\nCopyright Someone Else\nAll rights reserved.\n\n" + "\n\n".join(parts))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r["license_id"] for r in licenses.scan(df).orderBy("doc_id").collect()]
-    assert got == names and {*names} == {"MIT", "ISC", *licenses.ENTIRE}
-    one = "copyright notice and this permission notice appear in all copies."
-    assert [bool(re.search(licenses.STATEMENT, x.strip("."))) for x in (one, "copyright holders be liable", "copyright the software and", "copyright c 2020 me", "copyright 2020", "copyright me", "c 2020 me")] == [False] * 3 + [True] * 4
-
-
 def test_sections_reach_the_last_page(spark, tmp_path):
     pages = [(p, pdf) for pdf, last in (("a", 1234), ("b", 90), ("c", 700)) for p in range(0, last + 1, 7 if pdf == "a" else 1)]
     spark.createDataFrame([(p, pdf, "x\ny") for p, pdf in pages], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -79,8 +61,3 @@ def test_sections_by_buckets(spark):
     want = sorted((f, p, s, p - s) for f, p in pages for g, s, e in spans if f == g and s <= p <= min(e, last[f]))
     got = relational.pages_in_sections(spark.createDataFrame(pages, "pdf string, page long"), spark.createDataFrame(spans, "pdf string, start_page long, end_page long"), spark.createDataFrame([*last.items()], "pdf string, last_page long"))
     assert sorted((r["pdf"], r["page"], r["start_page"], r["page_index"]) for r in got.collect()) == want
-
-
-def test_capitals_of_a_whole_block():
-    block = html_text.Block("x " * 1000 + "LOUD " * 1000, 0, "p", (), 0)
-    assert "upper high" in html_text.figures(block)
