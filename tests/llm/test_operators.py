@@ -89,6 +89,71 @@ def test_quality_model(spark, odd, empty):
         assert quality_model.passages(x).shape == (1, quality_model.FEATURES)
 
 
+def test_quality_model_equals_plain_passes():
+    """Forward pass by loops over passages, and gradients by differences."""
+    rng = np.random.default_rng(8)
+    bags = [rng.random((n, quality_model.FEATURES)).astype(np.float32) for n in (1, 3, 7, 2)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+    h, g = quality_model.HIDDEN, quality_model.GATE
+    p = {"W": rng.normal(size=(quality_model.FEATURES, h)), "b": rng.normal(size=h), "V": rng.normal(size=(h, g)), "G": rng.normal(size=(h, g)), "w": rng.normal(size=g), "c": rng.normal(size=h), "d": rng.normal(size=1)}
+    fixed = {"mean": rng.random(quality_model.FEATURES), "std": rng.random(quality_model.FEATURES) + 1}
+
+    def plain(bag):
+        codes = [np.tanh(((x - fixed["mean"]) / fixed["std"]) @ p["W"] + p["b"]) for x in bag]
+        e = [sum(w * math.tanh(t) / (1 + math.exp(-s)) for w, t, s in zip(p["w"], c @ p["V"], c @ p["G"], strict=True)) for c in codes]
+        a = [math.exp(x) / sum(map(math.exp, e)) for x in e]
+        return 1 / (1 + math.exp(-(sum(x * c for x, c in zip(a, codes, strict=True)) @ p["c"] + p["d"][0])))
+
+    assert np.allclose(quality_model.scores(p | fixed, bags), [plain(b) for b in bags])
+    _, grad = quality_model.gradients(p, fixed, bags, labels)
+    for k in p:
+        for at in list(np.ndindex(p[k].shape))[:: max(1, p[k].size // 9)]:
+            loss = []
+            for move in (1e-6, -1e-6):
+                q = {n: v.copy() for n, v in p.items()}
+                q[k][at] += move
+                loss.append(quality_model.gradients(q, fixed, bags, labels)[0])
+            assert abs((loss[0] - loss[1]) / 2e-6 - grad[k][at]) < 1e-6
+
+
+def test_quality_of_very_long_and_clashing_input(spark, empty):
+    df = docs(spark, ["word " * 200_000, EN, "", None]).withColumns({"score": F.lit("x"), "label": F.col("doc_id").cast("int") % 2, "bag": F.lit(1)})
+    model = quality_model.fit(df)
+    assert len(df.select(quality_model.score(F.col("text"), model).alias("s")).filter("s between 0 and 1").collect()) == 4
+    assert quality_model.fit(docs(spark, [EN, EN]).withColumn("label", F.lit(1))) == {"constant": 1.0}
+    assert empty.select(quality_model.score(F.col("text"), model)).count() == 0
+
+
+def test_language_of_slices_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(400))
+    whole = language_id.gram_counts(text)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        got = language_id.gram_counts(text)
+        assert np.array_equal(got[0], whole[0]) and np.array_equal(got[1], whole[1])
+    profiles = language_id.fit(docs(spark, ["abc"] * 4, ["b", "a", "b", "a"]))
+    assert language_id.predictor(profiles)("abc") == ("a", 1.0)
+
+
+def test_language_equals_plain_distance(spark):
+    texts = [EN * 3, DE * 2, "un gato y el perro de la casa con nosotros aquí", EN[:30] + DE[:40], "zq xj", "the"]
+    profiles = language_id.fit(docs(spark, texts[:3], ["en", "de", "es"]), size=50)
+
+    def plain_grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        found = Counter(c for w in words for c in w) + Counter(f" {w} "[i : i + 2] for w in words for i in range(len(w) + 1)) + Counter(f" {w} "[i : i + 3] for w in words for i in range(len(w)))
+        code = lambda g: sum(ord(c) << (21 * i) for i, c in enumerate(g))
+        return [g for _, g in sorted((-n, code(g)) for g, n in found.items())][:50]
+
+    assert profiles == {lang: plain_grams(t) for lang, t in zip(("en", "de", "es"), texts, strict=False)}
+    for t in texts:
+        mine = plain_grams(t)
+        far = {lang: sum(abs(p.index(g) - i) if g in p else 50 for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=lambda x: far[x])
+        assert language_id.predictor(profiles, 50)(t) == (best, 1 - far[best] / (50 * len(mine)))
+
+
 def test_language(spark, odd, empty):
     texts = [EN * 3, DE * 3] * 20
     profiles = language_id.fit(docs(spark, texts, ["en", "de"] * 20))
@@ -188,6 +253,28 @@ def test_piece_samples_follow_their_weights():
     assert all(abs(got[w] / n - x / total) < 0.03 for w, x in ways.items())
 
 
+def test_pieces_do_not_depend_on_batches_or_slices(monkeypatch):
+    p = piece_sampling.pieces(MODEL, 1.0)
+    rng = np.random.default_rng(9)
+    words = (EN + DE + "¡áé! 漢字 ▁ unbelievable 1234").split()
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(300)]
+    keys = [int(x) for x in rng.integers(-(2**63), 2**63, 300)]
+
+    def run(size):
+        out = []
+        for a in range(0, len(texts), size):
+            parts = [[] for _ in texts[a : a + size]]
+            for row, ids in piece_sampling._encoded(p, keys[a : a + size], texts[a : a + size], 0):
+                parts[row] += ids.tolist()
+            out += parts
+        return out
+
+    want = run(10_000)
+    assert run(1) == want and run(7) == want
+    monkeypatch.setattr(piece_sampling, "SLICE", 50)  # texts longer than a slice
+    assert run(10_000) == want and run(1) == want
+
+
 def plain_measures(text):
     w = (text or "").split()
     where = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -229,8 +316,8 @@ of text, with <b>bold</b> words.<p>Short.</p><aside>See also</aside><div class="
 
 def test_main_text(spark):
     df = pages(spark, [(i, "u", x, "p", 1) for i, x in enumerate([PAGE] * 30 + [None, "", "plain text, without any tag at all, that goes on for a while here."])])
-    odds = html_text.fit(df)
-    got = [r["text"] for r in html_text.extract(df, odds).orderBy("page_id").collect()]
+    model = html_text.fit(df)
+    got = [r["text"] for r in html_text.extract(df, model).orderBy("page_id").collect()]
     assert got[0] == "Title & more\nFirst line of text, with bold words.\nShort.\nOne item" and got[30:32] == ["", ""] and got[32]
     assert html_text.extract(df.limit(0), html_text.fit(df.limit(0))).count() == 0
 
@@ -250,13 +337,22 @@ def test_boundaries_equal_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
         tops = sorted(set(rng.integers(0, 60, 9).tolist()))
-        bins = [(t, int(n), int(n) * t) for t, n in zip(tops, rng.integers(1, 9, len(tops)), strict=True)]
+        bins = [(t, int(n)) for t, n in zip(tops, rng.integers(1, 9, len(tops)), strict=True)]
 
         def waste(ends):
-            return sum(n * min(e for e in ends if e >= t) - s for t, n, s in bins)  # noqa: B023
+            return sum(n * (min(e for e in ends if e >= t) - t) for t, n in bins)  # noqa: B023
 
         best = min(waste((*e, tops[-1])) for k in range(3) for e in itertools.combinations(tops[:-1], k))
         assert waste(packing.best_boundaries(bins, 3)) == best
+    bins = [(int(t), int(n)) for t, n in zip(np.unique(rng.integers(0, 10**7, 3000)), rng.integers(1, 10**6, 3000), strict=False)]  # lengths far apart, all pairs by the plain rule
+    top, n = (np.array(x) for x in zip(*bins, strict=True))
+    rows, tokens = (np.concatenate([[0], x.cumsum()]) for x in (n, n * top))
+    cost = np.full(len(bins) + 1, 2**61)
+    cost[0] = 0
+    for _ in range(4):
+        cost = np.array([0, *(min(cost[j], (cost[:j] + top[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])).min()) for j in range(1, len(cost)))])
+    ends = np.array(packing.best_boundaries(bins, 4))
+    assert (n * (ends[np.searchsorted(ends, top)] - top)).sum() == cost[-1]
 
 
 def test_packing(spark, odd, empty):
@@ -270,6 +366,11 @@ def test_packing(spark, odd, empty):
     for b in {k[0] for k in full}:
         sizes = [full[b, i] for i in range(max(k[1] for k in full if k[0] == b) + 1)]
         assert len(set(sizes[:-1])) <= 1
+    clash = df.withColumns({c: F.lit("x") for c in ("bucket", "batch", "shard", "i", "offset")} | {"n_tokens": F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") - 3)})
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.pack(clash, F.col("n_tokens")).collect()}
+    assert got == {i: max(0, i - 3) if i % 5 else 0 for i in range(500)}
+    same = docs(spark, ["a b"]).crossJoin(spark.range(400).select(F.lit(1).alias("one"))).drop("one")
+    assert [r["n"] for r in packing.pack(same, budget=40, shard_rows=50).groupBy("batch").agg(F.count("*").alias("n")).collect()] == [20] * 20
     assert packing.pack(odd, budget=100).count() == 13 and packing.pack(empty).count() == 0
 
 

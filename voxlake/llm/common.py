@@ -34,5 +34,15 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
+def hashed(key: str) -> Column:
+    """63 bits of a hash of a column."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def sampled(key: str, share: float | Column) -> Column:
+    """Whether a row is in a sample of that share of all rows, by 63 bits of a hash: any share of any table can be told."""
+    return hashed(key) <= (F.least(F.lit(1.0), share) * float(2**63) if isinstance(share, Column) else F.lit(min(2**63 - 1, int(share * 2**63))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 SLICE = 1 << 20
 
 
@@ -32,11 +34,18 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (three 21-bit code points) of a text's n-grams, and how often each occurs; long texts go by slices."""
+    """Codes (three 21-bit code points) of a text's n-grams, and how often each occurs.
+
+    Long texts go by slices, which end at a character that is no letter, so that the counts are those of the whole text.
+    """
     text = text.lower()
-    codes, counts = [], []
-    for at in range(0, len(text), SLICE):
-        c = np.frombuffer(text[max(0, at - 2) : at + SLICE].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    codes, counts, at = [], [], 0
+    while at < len(text):
+        end = at + SLICE
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        c = np.frombuffer(text[at:end].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        at = end
         letter = _letters()[c]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
@@ -74,7 +83,7 @@ def fit(labelled: DataFrame, per_lang: int = 3000, size: int = 400) -> dict[str,
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_lang / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = rows.filter(sampled("doc_id", share[F.col("lang")]))
     grams = chosen.select("lang", "text").mapInPandas(_count_grams, "lang string, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -1,9 +1,10 @@
 """Sampled SentencePiece segmentation: forward filtering, backward sampling over the lattice of pieces, and decoding.
 
 A piece of rank r weighs (1 + r) ** -alpha (a Zipf law over the model's own order, since a BPE model has ranks and no
-probabilities). The forward pass sums the weights of all segmentations up to each position; the backward pass draws, from
+probabilities). The model is a file that the driver has; Spark ships it to the executors. The forward pass sums the weights of all segmentations up to each position; the backward pass draws, from
 the end, each last piece with its share of that sum, so segmentations are exact samples. Every draw is a hash of the seed,
-the row key and the position, so a row's segmentation is the same on every run, partitioning and retry.
+the row key and the position, and shares are rounded to integers (steps of 2 ** -31, at least one), whose sums are exact: a
+row's segmentation is the same on every run, partitioning, batch size and retry.
 
 No piece has a blank after another character, so the lattice falls into units (blanks and the word after them). A task
 builds the lattice of each distinct unit once, for all of them side by side, and samples all occurrences together. Texts
@@ -17,12 +18,14 @@ with one key and one text get one segmentation; a null key counts as a key of it
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK, LITERAL = 0x2581, 0x120000
@@ -91,7 +94,7 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of the codes `c` and the code each begins at; `first` marks where a unit must begin, `draw` has a random number from 0 to 1 for each code's end."""
+    """Piece ids of the codes `c` and the code each begins at; `first` marks where a unit must begin, `draw` has 31 random bits for each code's end."""
     n = len(c)
     begin = np.flatnonzero(first | (np.concatenate([[False], c[:-1] != BLANK]) & (c == BLANK)))
     end = np.append(begin[1:], n)
@@ -145,22 +148,23 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
         if len(e):
             new = np.flatnonzero(np.concatenate([[True], head[e][1:] != head[e][:-1]]))
             forward[head[e[new]]] = np.logaddexp.reduceat(forward[tail[e]] + log[e], new)
-    share = np.exp(forward[tail] + log - forward[head])
-    starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-    run = share.cumsum()
-    within = run - np.repeat(run[starts] - share[starts], np.diff(np.append(starts, len(head))))
-    within[np.append(starts[1:], len(head)) - 1] = 1.0
-    key = head + np.minimum(within, 1.0)
+    # shares as integers: sums of them are exact, so what stands elsewhere in the batch moves no draw
+    share = np.maximum(np.rint(np.exp(forward[tail] + log - forward[head]) * 2**31).astype(np.int64), 1)
+    run = np.concatenate([[0], share.cumsum()])
     edge0 = np.searchsorted(head, np.arange(nodes + 1))
+    before = run[edge0]  # of all pieces of earlier nodes
+    total = np.diff(before)
     # backward: all occurrences at once
     here, base, put = (node0 + size)[kind], node0[kind], begin - node0[kind]
     alive, got, got_at = np.arange(len(kind)), [], []
     while len(alive):
-        drawn, e = here[alive] + draw[here[alive] + put[alive] - 1], edge0[here[alive]]
-        on = np.flatnonzero(key[e] < drawn)
+        at_ = here[alive]
+        # a 31-bit draw picks a point below the node's total, which is a little over 2 ** 31 at most
+        point, e = before[at_] + (draw[at_ + put[alive] - 1] * total[at_] >> 31), edge0[at_]
+        on = np.flatnonzero(run[e + 1] <= point)
         while len(on):  # as often as a position has pieces at most
             e[on] += 1
-            on = on[key[e[on]] < drawn[on]]
+            on = on[run[e[on] + 1] <= point[on]]
         here[alive] = tail[e]
         got.append(piece[e])
         got_at.append(tail[e] + put[alive])
@@ -180,10 +184,16 @@ def _sample(p: Pieces, c: np.ndarray, first: np.ndarray, draw: np.ndarray) -> tu
     return got, got_at
 
 
+def shipped(model: str) -> str:
+    """The model's name among the files that Spark sends to the executors."""
+    SparkSession.active().sparkContext.addFile(model)
+    return os.path.basename(model)
+
+
 def _uniform(seed: np.uint64, low: int, high: int) -> np.ndarray:
-    """A number in (0, 1) for each position, from seed and position alone."""
+    """31 random bits for each position, from seed and position alone."""
     x = _mix(_mix(np.arange(low, high, dtype=np.uint64) + _U(_BASE)) ^ seed)
-    return ((x >> _U(11)).astype(np.float64) + 0.5) / 2**53
+    return (x >> _U(33)).astype(np.int64)
 
 
 def _encoded(p: Pieces, keys: list[int], texts: list[str | None], seed: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,10 +232,10 @@ def _encoded(p: Pieces, keys: list[int], texts: list[str | None], seed: int) ->
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """`key`, `text` and `pieces` (array of piece ids) of every row of `docs`."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), shipped(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model, alpha)
+        p = pieces(SparkFiles.get(name), alpha)
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
@@ -245,10 +255,11 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
 def decode(column: Column, model: str) -> Column:
     """The text of an array of piece ids."""
+    name = shipped(model)
 
     @F.arrow_udf("string")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = pa.array(pieces(model, 1.0).text, pa.large_binary())
+        spelled = pa.array(pieces(SparkFiles.get(name), 1.0).text, pa.large_binary())
         for rows in batches:
             flat = spelled.take(rows.flatten())
             _, starts, data = flat.buffers()

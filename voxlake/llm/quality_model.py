@@ -5,8 +5,9 @@ character classes, word shapes and repetition, and encoded by a dense layer; gat
 gate) weighs the passages; the weighted mean representation is scored by a logistic output. Only document labels are
 needed: what makes a document bad may be one passage of it.
 
-The model is fitted on the driver from about `sample` labelled documents at most, chosen by hash of the id: a documented
-bound, for the classifier only. Every document is scored over its whole text, in batches, in Spark tasks.
+The model is fitted on the driver, in `STEPS` steps whatever the input, from about `sample` labelled documents at most, chosen
+by hash of the id, and `most` passages of each at most, evenly spread over its whole text: documented bounds, for the
+classifier only (together some 80 MB). Every document is scored over its whole text and all its passages, in Spark tasks.
 
 Defined cases: a null or empty text is one passage without words and is scored like any other; null labels are not learned
 from, and of several labels of an id the lowest counts; without labels of both kinds all scores are the share of label 1
@@ -22,8 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 PASSAGE_WORDS = 80
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 16, 8, 200, 256, 0.01, 1e-4
+HIDDEN, GATE, STEPS, BATCH, RATE, DECAY = 16, 8, 800, 256, 0.01, 1e-4
 _KINDS = 12
 _U = np.uint64
 _MIX = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -91,34 +94,41 @@ def _forward(m: dict, x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> dic
     return {"h": h, "t": t, "s": s, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["d"], -30, 30)))}
 
 
+def gradients(p: dict, fixed: dict, bags: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict]:
+    """Mean log loss of bags, and its gradient for each parameter."""
+    x, sizes = np.concatenate(bags).astype(np.float64), np.array([len(b) for b in bags])
+    starts, bag = np.concatenate([[0], sizes.cumsum()[:-1]]), np.repeat(np.arange(len(bags)), sizes)
+    f = _forward(p | fixed, x, starts, bag)
+    ds = (f["p"] - labels) / len(bags)
+    dz = (ds[:, None] * p["c"])[bag]
+    da = (dz * f["h"]).sum(1)
+    de = f["a"] * (da - _sums(f["a"] * da, starts)[bag])
+    du = de[:, None] * p["w"]
+    dt, dg = du * f["s"] * (1 - f["t"] ** 2), du * f["t"] * f["s"] * (1 - f["s"])
+    dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["G"].T) * (1 - f["h"] ** 2)
+    xs = (x - fixed["mean"]) / fixed["std"]
+    loss = -float(np.mean(labels * np.log(f["p"]) + (1 - labels) * np.log(1 - f["p"])))
+    return loss, {"W": xs.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "G": f["h"].T @ dg, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum(keepdims=True)}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> dict:
-    """Parameters of encoder, gated attention and output, by Adam on the log loss."""
+    """Parameters of encoder, gated attention and output, by `STEPS` steps of Adam on the log loss of `BATCH` bags each."""
     if len(set(labels.tolist())) < 2:
         return {"constant": float(labels.mean()) if len(labels) else 0.5}
     rng, every = np.random.default_rng(seed), np.concatenate(bags).astype(np.float64)
     norm = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"W": norm(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": norm(HIDDEN, GATE), "G": norm(HIDDEN, GATE), "w": norm(GATE), "c": norm(HIDDEN), "d": np.zeros(1)}
     fixed = {"mean": every.mean(0), "std": every.std(0) + 1e-2}
-    m1, m2, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
-    for _ in range(EPOCHS if len(bags) < 2000 else EPOCHS // 4):
-        for rows in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // BATCH)):
-            x, sizes = np.concatenate([bags[i] for i in rows]).astype(np.float64), np.array([len(bags[i]) for i in rows])
-            starts, bag = np.concatenate([[0], sizes.cumsum()[:-1]]), np.repeat(np.arange(len(rows)), sizes)
-            f = _forward(p | fixed, x, starts, bag)
-            ds = (f["p"] - labels[rows]) / len(rows)
-            dz = (ds[:, None] * p["c"])[bag]
-            da = (dz * f["h"]).sum(1)
-            de = f["a"] * (da - _sums(f["a"] * da, starts)[bag])
-            du = de[:, None] * p["w"]
-            dt, dg = du * f["s"] * (1 - f["t"] ** 2), du * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["G"].T) * (1 - f["h"] ** 2)
-            xs = (x - fixed["mean"]) / fixed["std"]
-            grad = {"W": xs.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "G": f["h"].T @ dg, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum(keepdims=True)}
-            step += 1
-            for k in p:
-                g = grad[k] + DECAY * p[k]
-                m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
-                p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+    m1, m2, order = {k: 0.0 for k in p}, {k: 0.0 for k in p}, np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(bags)):
+            order = rng.permutation(len(bags))
+        rows, order = order[:BATCH], order[BATCH:]
+        _, grad = gradients(p, fixed, [bags[i] for i in rows], labels[rows])
+        for k in p:
+            g = grad[k] + DECAY * p[k]
+            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
+            p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     return p | fixed
 
 
@@ -133,15 +143,14 @@ def scores(model: dict, bags: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(labelled: DataFrame, sample: int = 4000) -> dict:
-    """The model from `labelled` (doc_id, text, label), of which about `sample` rows at most are used."""
+def fit(labelled: DataFrame, sample: int = 4000, most: int = 256) -> dict:
+    """The model from `labelled` (doc_id, text, label): about `sample` rows and `most` passages of each at most are used."""
     n = labelled.select("doc_id").count()
-    share = int(1_000_000 * min(1.0, sample / max(n, 1)))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    chosen = labelled.filter(sampled("doc_id", sample / max(n, 1)))
 
     @F.pandas_udf("binary")
     def bag(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: passages(t).tobytes())
+        return texts.map(lambda t: (x := passages(t))[:: -(-len(x) // most)].tobytes())
 
     rows = sorted(chosen.select("doc_id", F.col("label").cast("int"), bag("text").alias("bag")).collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["label"] for r in rows], float))

@@ -50,7 +50,7 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_piece_sampling(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     df = piece_sampling.encode(table(spark, sf_dir, "documents"), model)
     back = piece_sampling.decode(F.col("pieces"), model)
-    return df.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), back.eqNullSafe(F.col("text")).alias("lossless"))
+    return df.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), back.eqNullSafe(F.col("text")).alias("lossless"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
