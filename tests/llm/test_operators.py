@@ -76,6 +76,45 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["random", "clusters", "equal", "line"])
+def test_cover_tree_invariants_and_pruning(kind):
+    rng = np.random.default_rng(11)
+    x = {"random": rng.normal(size=(500, 16)), "equal": np.ones((300, 3)), "line": rng.random((700, 1)) * [[1, 2]]}.get(kind, rng.normal(size=(20, 8))[rng.integers(0, 20, 900)] + rng.normal(size=(900, 8)) * 0.02)
+    t = topk.Tree(np.floor(256 * x).astype(np.int64), rng.permutation(len(x)))
+    pts, below = t.points.astype(float), {}
+    for k in reversed(range(len(t.center))):
+        kids = range(t.first[k], t.last[k])
+        below[k] = [t.center[k]] if not kids else [i for c in kids for i in below[c]]
+        d = np.linalg.norm(pts[below[k]] - pts[t.center[k]], axis=1)
+        assert d.max() <= t.radius[k] and np.linalg.norm(pts[below[k]], axis=1).max() <= t.top[k]
+        if kids:
+            assert t.center[kids[0]] == t.center[k] and t.new[kids].tolist() == [False] + [True] * (len(kids) - 1)
+            assert max(t.radius[c] for c in kids) <= t.radius[k] / 2  # covering
+            near = [np.linalg.norm(pts[t.center[a]] - pts[t.center[b]]) for a, b in itertools.combinations(kids, 2)]
+            assert t.radius[k] == 0 or min(near) > t.radius[k] / (2 + 1e-6)  # separation
+    assert sorted(below[0]) == list(range(len(x)))
+    q, scored = topk.Tree(t.points[::20], t.ids[::20]), [0]
+    got = topk.search(q, t, 5, scored)
+    want = [(int(i), int(j), -s) for i, v in zip(q.ids, q.points, strict=True) for s, j in sorted((-int(v @ w), int(j)) for w, j in zip(t.points, t.ids, strict=True) if j != i)[:5]]
+    assert sorted(got) == sorted(want)
+    share = scored[0] / (len(q.ids) * len(t.ids))
+    print(kind, "pairs scored", share)
+    assert share < 0.3 if kind in ("clusters", "line") else share <= 1
+
+
+def test_top_k_of_huge_scores_and_clashing_columns(spark):
+    rows = [(i, [float(3e12 * (i - 3)), 1e12]) for i in range(7)] + [(50, [2.0**40, 3.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, dim int, part int, is_query string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, 5).collect()}
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {}
+    for q in (0, 50):
+        best = sorted((-clamp(sum(a * b for a, b in zip(v[q], w, strict=True))), i) for i, w in v.items() if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+
+
 def test_quality_model(spark, odd, empty):
     good, bad = [EN * (1 + i % 7) for i in range(120)], [EN * (i % 3) + "BUY!! NOW!! *** $$$ " * 9 for i in range(60)]
     df = docs(spark, good + bad).withColumn("label", (F.col("doc_id") < 120).cast("int"))
