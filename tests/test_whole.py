@@ -61,3 +61,17 @@ def test_sections_by_buckets(spark):
     want = sorted((f, p, s, p - s) for f, p in pages for g, s, e in spans if f == g and s <= p <= min(e, last[f]))
     got = relational.pages_in_sections(spark.createDataFrame(pages, "pdf string, page long"), spark.createDataFrame(spans, "pdf string, start_page long, end_page long"), spark.createDataFrame([*last.items()], "pdf string, last_page long"))
     assert sorted((r["pdf"], r["page"], r["start_page"], r["page_index"]) for r in got.collect()) == want
+
+
+def test_mentions_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab\n😀,.") for _ in range(n))
+    pages = [(i, word(rng.randrange(0, 400))) for i in range(60)] + [(60, None), (61, ""), (0, "ab" * 90)]
+    cards = [(i, word(n)) for i, n in enumerate([0, 1, 1, 2, 3, 4, 5, 6, 7, 9, 13, 20] * 3)] + [(90, None), (91, ",."), (92, "ab")]
+    cards += [(100 + i, rng.choice(pages[:60])[1][at : at + n]) for i, (at, n) in enumerate((a, n) for a in (0, 3, 17, 100) for n in (7, 15, 31, 63, 64, 126, 127, 128, 200))]
+    clean = lambda t: (t or "").replace(",", "").replace(".", "")
+    want = {(p, c) for p, t in pages for c, x in cards if clean(x) and clean(x) in clean(t)}
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = relational.mentions(frame(pages, "page_id"), frame(cards, "card_id")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 300
+    assert relational.mentions(frame(pages, "page_id"), frame([], "card_id")).count() == 0

@@ -148,21 +148,25 @@ def accessible_folders(folders: DataFrame, members: DataFrame, users: DataFrame,
     return df.join(mine, "id")
 
 
-def mentions(pages: DataFrame, cards: DataFrame, strip: str = ",.", k: int = 12) -> DataFrame:
-    """(page_id, card_id) where a card's text occurs in a page's, without the characters of `strip`.
+def mentions(pages: DataFrame, cards: DataFrame, strip: str = ",.", widest: int = 64) -> DataFrame:
+    """(page_id, card_id) where a card's text occurs in a page's, without the characters of `strip`; empty cards never do.
 
-    Cards of `k` characters or more meet pages by their first k characters, among the page's own k-character pieces that begin
-    some card: the pieces are looked up by hash, and containment is tested only for those that meet. Shorter cards are tested
-    against every page.
+    A page is cut once into consecutive pieces of s characters. A card of 2 s - 1 or more holds one of them whole wherever it
+    lies, so its pieces of s at the offsets 0 to s - 1 are looked up among the page's, by hash. Cards use the largest power of two
+    for s up to `widest`; a page is cut for each s that some card uses (seven at most). Only hashes and ids are joined; the
+    texts meet once for each pair that shares a piece, to test it.
     """
     p = pages.select("page_id", F.translate("text", strip, "").alias("_t"))
     c = cards.select("card_id", F.translate("text", strip, "").alias("_c")).filter("_c <> ''")
-    long = c.filter(F.length("_c") >= k).withColumn("_k", F.substring("_c", 1, k))
-    gram = F.transform(F.sequence(F.lit(1), F.length("_t") - k + 1), lambda i: F.substring(F.col("_t"), i, F.lit(k)))
-    grams = p.filter(F.length("_t") >= k).select("page_id", "_t", F.explode(F.array_distinct(gram)).alias("_k"))
-    met = grams.join(long, "_k").filter(F.contains("_t", "_c")).select("page_id", "card_id")
-    short = c.filter(F.length("_c") < k)
-    return met.unionByName(p.join(short, F.contains("_t", "_c")).select("page_id", "card_id")).distinct()
+    c = c.withColumn("_s", F.least(F.lit(widest), F.pow(F.lit(2), F.floor(F.log2((F.length("_c") + 1) / 2)))).cast("int"))
+    sizes = sorted(r["_s"] for r in c.select("_s").distinct().collect())
+    offsets = F.transform(F.sequence(F.lit(1), F.col("_s")), lambda i: F.xxhash64(F.col("_s"), F.substring("_c", i, F.col("_s"))))
+    of_cards = c.select("card_id", F.explode(F.array_distinct(offsets)).alias("_h"))
+    cut = lambda s: F.transform(F.regexp_extract_all("_t", F.lit(f"(?s).{{{s}}}"), F.lit(0)), lambda x: F.xxhash64(F.lit(s), x))
+    pieces = F.concat(*map(cut, sizes)) if sizes else F.array().cast("array<bigint>")
+    of_pages = p.select("page_id", F.explode(F.array_distinct(pieces)).alias("_h"))
+    met = of_pages.join(of_cards, "_h").select("page_id", "card_id").distinct()
+    return met.join(c, "card_id").join(p, "page_id").filter(F.contains("_t", "_c")).select("page_id", "card_id").distinct()
 
 
 def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame, width: int = 100) -> DataFrame:
