@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxlake.llm import html_text, language_id, licenses, near_dups, packing, piece_sampling, quality_model, quality_rules, queries, topk, warc
-from voxlake.llm.common import new_folder
+from voxlake.llm.common import join_hot, new_folder
 
 MODEL = queries.PIECE_MODEL
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string, n long"
@@ -213,32 +213,69 @@ def test_language_distance_by_hand():
 def plain_weights(texts):
     sets = [Counter(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) if len(t.split()) >= 5 else Counter([tuple(t.lower().split())] if t.split() else []) for t in texts]
     df = Counter(s for x in sets for s in x)
-    n = max(2, sum(bool(x) for x in sets))
-    idf = {s: 1 + near_dups.DAMP * round((1 - math.log(k) / math.log(n)) * near_dups.STEPS) / near_dups.STEPS for s, k in df.items()}
+    n = max(128, sum(bool(x) for x in sets))
+    idf = {s: 1 + round(max(0, min(1, math.log(n / k) / math.log(100))) * 16) / 16 for s, k in df.items()}
     return [{s: tf * idf[s] for s, tf in x.items()} for x in sets]
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = [" ".join(f"w{rng.integers(400)}" for _ in range(120)) for _ in range(12)]
-    texts = []
-    for b in base:
-        for _ in range(6):
-            w = b.split()
-            for _ in range(int(rng.integers(0, 5))):
-                w[int(rng.integers(len(w)))] = f"e{rng.integers(10**6)}"
-            texts.append(" ".join(w))
-    texts += [base[0], base[0], "", "a b", "A b", None, " "]
-    df = docs(spark, texts)
-    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()}
-    w = plain_weights([t or "" for t in texts])
-    root = list(range(len(texts)))
+def plain_classes(texts, least=0.8):
+    """The smallest index of each text's class over all pairs, and the pairs of different texts."""
+    w, root, linked = plain_weights([t or "" for t in texts]), list(range(len(texts))), []
     for i, j in itertools.combinations(range(len(texts)), 2):
         both = sum(min(w[i][s], w[j][s]) for s in w[i].keys() & w[j].keys())
-        if both and both / (sum(w[i].values()) + sum(w[j].values()) - both) >= 0.8:
+        if both and both / (sum(w[i].values()) + sum(w[j].values()) - both) >= least:
             a, b = sorted((root[i], root[j]))
             root = [a if r == b else r for r in root]
-    assert got == dict(enumerate(root))
+            linked += [(i, j)] * (texts[i] != texts[j])
+    return root, linked
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[int(rng.integers(len(w)))] = f"e{rng.integers(10**6)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{rng.integers(400)}" for _ in range(120)) for _ in range(12)]
+    texts = [edited(rng, b, int(rng.integers(0, 5))) for b in base for _ in range(6)]
+    texts += [base[0], base[0], "", "a b", "A b", None, " "]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_classes(texts)[0]))
+
+
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """One group far larger than a block, beside groups alike that are not near enough, and texts beyond what is cached."""
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "CACHED", 500)
+    rng = np.random.default_rng(12)
+    base = [" ".join(f"w{rng.integers(400)}" for _ in range(150)) for _ in range(3)]
+    texts = [edited(rng, base[0], int(rng.integers(0, 3))) for _ in range(120)]
+    texts += [edited(rng, base[1], int(rng.integers(5, 9))) for _ in range(40)]  # alike, mostly below the threshold
+    texts += [base[2]] * 30 + [edited(rng, base[2], 1) for _ in range(3)]
+    root, linked = plain_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs(spark, texts)).collect()}
+    assert len({*root}) > 3 and sum(got[i] == got[j] for i, j in linked) >= 0.99 * len(linked)
+    assert all(root[i] == root[c] for i, c in got.items())  # no class joins what no link joins
+
+
+def test_common_shingles_are_counted_exactly(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{rng.integers(10**6)}" for _ in range(20)) + (" the same six words as ever" if i % 3 == 0 else "") + (" some other words that are here" if i % 40 == 0 else "") for i in range(900)]
+    corpus = near_dups.document_frequencies(docs(spark, [*texts, None, ""]))
+    df = Counter(int(h) for t in texts for h in near_dups.shingles(t)[0])
+    want = {h: int(near_dups.rarity(np.array([n]), 900)[0]) for h, n in df.items()}
+    h = np.array([*df], np.uint64)
+    assert corpus.step(h).tolist() == [want[int(x)] for x in h] and {*want.values()} == {4, 13, 16}
+
+
+def test_join_hot_equals_join(spark):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(900)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 2")
+    got = sorted(map(tuple, join_hot(left, right, "k", "n", 900, 10).select("k", "v", "n").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "v", "n").collect()))
 
 
 def test_near_duplicates_odd(spark, odd, empty):
@@ -247,18 +284,20 @@ def test_near_duplicates_odd(spark, odd, empty):
     kept = near_dups.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
     assert near_dups.classes(empty).count() == 0
+    two = spark.createDataFrame([(1, "a text of its own", "p"), (1, "another text", "q"), (2, "a text of its own", "r"), (1, "another text", "a")], "doc_id long, text string, class_id string")
+    assert [tuple(r) for r in near_dups.keep_one(two.coalesce(1)).collect()] == [tuple(r) for r in near_dups.keep_one(two.repartition(4)).collect()] == [(1, *min((hashlib.md5(t.encode()).hexdigest(), t, k) for t, k in (("a text of its own", "p"), ("another text", "a")))[1:])]
 
 
-def test_consistent_sampling_follows_similarity():
+@pytest.mark.parametrize("size", [240, 24_000])  # the second far over the rows of the tables
+def test_consistent_sampling_follows_similarity(size):
     rng = np.random.default_rng(5)
-    corpus = near_dups.Corpus(np.ones((near_dups.DEPTH, near_dups.WIDTH), np.int32), 1000)
-    hits = 0
-    for _ in range(60):
-        h = np.unique(rng.integers(1, 2**62, 240).astype(np.uint64))
-        a, b = np.sort(h[:216]), np.sort(h[24:])  # Jaccard 0.8
+    corpus, hits, runs = near_dups.Corpus(np.zeros(0, np.uint64), np.zeros(0, np.uint8)), 0, 60 if size < 1000 else 20
+    for _ in range(runs):
+        h = rng.permutation(np.unique(rng.integers(1, 2**62, size).astype(np.uint64)))
+        a, b = np.sort(h[: size * 9 // 10]), np.sort(h[size // 10 :])  # Jaccard 0.8
         one = np.ones(len(a), np.int64)
         hits += (near_dups.signature(a, one, corpus) == near_dups.signature(b, np.ones(len(b), np.int64), corpus)).sum()
-    assert abs(hits / 60 / near_dups.BANDS - 0.8**near_dups.ROWS) < 0.08
+    assert abs(hits / runs / near_dups.BANDS - 0.8**near_dups.ROWS) < 0.08
 
 
 def test_pieces_round_trip(spark, odd):

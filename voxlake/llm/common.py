@@ -29,6 +29,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in one folder of the shared ones, deleted together when what was made from them is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_folder(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, share: int = 1000) -> DataFrame:
+    """Inner join on `key` for a `right` with one row a key, whose column `n` counts the key's rows in `left` (`rows` in all).
+
+    Keys that hold over 1 / `share` of the rows, fewer than `share` of them, are broadcast, so that their rows stay where they
+    are; the rest is joined by a shuffle in which no key is large. `left` is read twice: a written table.
+    """
+    hot = right.filter(F.col(n) * share > rows)
+    some = left.join(F.broadcast(hot), key)
+    return some.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) * share <= rows), key))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds

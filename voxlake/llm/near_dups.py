@@ -1,10 +1,17 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
-1. Document frequencies of all shingles go into a count-min sketch of fixed size (each task adds up its own; the estimate
-   takes off the mean noise). A shingle weighs tf * idf, with idf = 1 + damp * (1 - ln df / ln N), in 16 steps. The damping
-   is on purpose: with plain idf a large group of near copies makes its own shared shingles worthless and falls apart.
+1. A shingle weighs tf * idf with idf = 1 + ln(N / df) / ln(COMMON), the last part between 0 and 1 and in `STEPS` steps: shingles in
+   less than a hundredth of the texts weigh 2, those in all texts 1. (Plain idf, without the 1, would make the shingles that a
+   large group of near copies shares worthless by the group's own size, and the group would fall apart.) So only the
+   frequencies of common shingles matter. They are counted exactly over all texts, in two passes: a count-min sketch of fixed
+   size, which never counts too little and whose noise is a fixed share of N (the mean shingles of a text over `WIDTH`)
+   whatever N is, tells which shingles may be common; their texts are then counted. Fewer than about 80 times the mean
+   shingles of a text can be common, so what reaches the driver does not grow with the corpus.
 2. ICWS draws `BANDS * ROWS` samples from each text's weighted set: the k-th samples of two texts agree with the
-   probability of their weighted Jaccard similarity. Random numbers come from fixed tables indexed by shingle hash.
+   probability of their weighted Jaccard similarity. Random numbers come from tables of `TABLE` rows, chosen by shingle hash;
+   shingles of one row and weight are told apart by their hashes, of which the smallest counts, so in texts of many more
+   shingles than rows a sample is a min-hash among those of its best row, and two samples depend on each other only if they
+   have the same best row.
 3. Equal texts collapse to the one with the smallest id. Texts that share a band bucket with another get a sketch of `WIDE`
    further samples. In blocks of at most `BLOCK` texts of a bucket, every text is paired with the earlier one that its
    sketch agrees with most; what is verified joins groups. Then every pair of a bucket whose texts are in different groups
@@ -12,11 +19,15 @@
    group change no class, so a bucket of copies is not expanded into all its pairs.
 4. Candidates are verified by exact weighted Jaccard similarity on whole texts; links give classes by large-star/small-star.
 
+Joins on digests, buckets and hubs broadcast the keys that hold over a thousandth of the rows (fewer than a thousand), so
+no task gets one whole. Tables on the way are deleted when the classes are written.
+
 Words are lower-cased and split at ASCII white space; a text of fewer words than a shingle is one shingle.
 
 Defined cases: texts that are null or have no word are alone in their class (class_id is their doc_id); rows that share a
-doc_id are one document, equal or not; a null doc_id has a null class; ties in samples go to the smaller hash; other
-columns are not looked at.
+doc_id are one document, equal or not, of which `keep_one` keeps the row with the smallest digest of its text; a null doc_id
+has a null class; ties in samples go to the smaller hash; very long texts are taken whole; an empty table gives an empty
+one; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,11 +40,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, join_hot, written
 
 SHINGLE, BANDS, ROWS, TABLE = 5, 20, 5, 2048
 SAMPLES = BANDS * ROWS
-WIDTH, DEPTH, STEPS, DAMP = 1 << 19, 2, 16, 0.2
+WIDTH, DEPTH, STEPS, COMMON, FEW = 1 << 19, 2, 16, 100, 128
+SOME = 18  # bits of a hash by which most shingles are told not to be common
 PIECE, CACHED = 1 << 13, 1 << 18
 WIDE, BLOCK, SIGMAS = 512, 512, 4
 CHUNK = 1024  # shingles whose samples are drawn at once; a power of two
@@ -42,7 +54,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_FACTOR = 1 + DAMP * np.arange(STEPS + 1) / STEPS
+_FACTOR = 1 + np.arange(STEPS + 1) / STEPS
 _MUL = _rng.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | _U(1)
 assert ROWS <= SHINGLE  # the multipliers serve both
 
@@ -89,8 +101,8 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> _U(24 * d)) % _U(WIDTH)).astype(np.int64) for d in range(DEPTH)]
 
 
-def document_frequencies(docs: DataFrame) -> Corpus:
-    """The count-min sketch of document frequencies (DEPTH x WIDTH counters, whatever the input).
+def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The count-min sketch of document frequencies (DEPTH x WIDTH counters, whatever the input), and the number of texts with a word.
 
     Tasks emit pieces of their counters; these are added by piece and salt first, so no group grows with the tasks.
     """
@@ -106,7 +118,8 @@ def document_frequencies(docs: DataFrame) -> Corpus:
         if n:
             flat = sums.reshape(-1, PIECE)
             salt = int(flat.sum()) % 64
-            yield pd.DataFrame({"piece": range(len(flat)), "salt": salt, "n": n, "counts": [x.astype(np.int32).tobytes() for x in flat]})
+            small = np.int32 if sums.max() < 2**31 else np.int64
+            yield pd.DataFrame({"piece": range(len(flat)), "salt": salt, "n": n, "counts": [x.astype(small).tobytes() for x in flat]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(PIECE, np.int64)
@@ -121,21 +134,60 @@ def document_frequencies(docs: DataFrame) -> Corpus:
     sums = np.zeros((DEPTH * WIDTH // PIECE, PIECE), np.int64)
     for r in rows:
         sums[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return Corpus(np.minimum(sums, 2**31 - 1).astype(np.int32).reshape(DEPTH, WIDTH), int(rows[0]["n"]) if rows else 0)
+    return sums.reshape(DEPTH, WIDTH), int(rows[0]["n"]) if rows else 0
+
+
+def rarity(df: np.ndarray, texts: int) -> np.ndarray:
+    """Steps (0 to STEPS) of document frequencies; of few texts a shingle in one of them is rare all the same."""
+    share = np.log(max(texts, FEW) / np.maximum(df, 1)) / np.log(COMMON)
+    return np.clip(np.round(share * STEPS), 0, STEPS).astype(np.uint8)
+
+
+def document_frequencies(docs: DataFrame) -> Corpus:
+    """The steps of all shingles below the last step, from exact counts over all texts."""
+    counts, texts = sketch(docs)
+    maybe = docs.sparkSession.sparkContext.broadcast(rarity(counts, texts) < STEPS)  # DEPTH x WIDTH bytes
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may, all_h, all_n = maybe.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                h = np.concatenate([shingles(t)[0] for t in pdf["text"].iloc[a : a + 500]])
+                for m, slots in zip(may, range(DEPTH), strict=True):
+                    h = h[m[_slots(h)[slots]]]
+                all_h, where = np.unique(np.concatenate([all_h, h]), return_inverse=True)
+                all_n = np.bincount(where, np.concatenate([all_n, np.ones(len(h), np.int64)]), len(all_h)).astype(np.int64)
+        yield pd.DataFrame({"h": all_h.view(np.int64), "n": all_n})
+
+    got = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # a share of the texts that the last step no longer rounds to, with some room; exact steps are taken below
+    got = got.filter(F.col("n") >= int(max(texts, FEW) / COMMON)).collect()
+    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    return Corpus(h, rarity(n, texts))
 
 
 class Corpus:
-    """The idf steps (0 to STEPS) of every counter of document frequencies, the mean noise in each row taken off."""
+    """The steps of common shingles; all others have the last step."""
 
-    def __init__(self, counts: np.ndarray, texts: int):
-        df = counts - counts.sum(1, dtype=np.int64, keepdims=True) / WIDTH
-        rare = 1 - np.log(np.maximum(1, np.round(df))) / np.log(max(texts, 2))
-        self.steps = np.clip(np.round(rare * STEPS), 0, STEPS).astype(np.uint8)
+    def __init__(self, h: np.ndarray, steps: np.ndarray):
+        order = np.argsort(h[steps < STEPS])
+        self.h, self.steps = h[steps < STEPS][order], steps[steps < STEPS][order]
+        self.some = np.zeros(1 << SOME, bool)
+        self.some[self.h >> _U(64 - SOME)] = True
+
+    def step(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), STEPS, np.int64)
+        at = np.flatnonzero(self.some[h >> _U(64 - SOME)])
+        if len(at):
+            k = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
+            hit = self.h[k] == h[at]
+            out[at[hit]] = self.steps[k[hit]]
+        return out
 
 
 def weights(h: np.ndarray, tf: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the shingles, and their idf steps (that of the smallest counter)."""
-    step = np.maximum.reduce([steps[at] for steps, at in zip(corpus.steps, _slots(h), strict=True)]).astype(np.int64)
+    """Weights of the shingles, and their idf steps."""
+    step = corpus.step(h)
     return tf * _FACTOR[step], step
 
 
@@ -223,7 +275,7 @@ def similarity(a: tuple, b: tuple, corpus: Corpus) -> float:
     return float(both / (wa.sum() + wb.sum() - both)) if both else 0.0
 
 
-def signed(docs: DataFrame, shared) -> DataFrame:
+def signed(docs: DataFrame, shared, scratch: Scratch) -> DataFrame:
     """doc_id, digest of the text and band keys of every document with an id and a word."""
 
     @F.pandas_udf("array<long>")
@@ -238,10 +290,10 @@ def signed(docs: DataFrame, shared) -> DataFrame:
             yield pd.Series(keys, dtype=object)
 
     df = docs.filter("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"), bands("text").alias("bands"))
-    return written(df, "signed").filter(F.col("bands").isNotNull())  # a filter before the writing would run the function twice
+    return scratch.table(df, "signed").filter(F.col("bands").isNotNull())  # a filter before the writing would run the function twice
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shared, scratch: Scratch) -> DataFrame:
     """a, b and the weighted Jaccard similarity of the candidate pairs; `texts` has id and text."""
     df = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     df = df.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -254,13 +306,14 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
             yield pd.Series([similarity(shingles(x), kept(y), corpus) for x, y in zip(left, right, strict=True)], dtype=float)
 
     df = df.select("a", "b", compare("text_a", "text_b").alias("sim"))
-    return written(df.groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
+    return scratch.table(df.groupBy("a", "b").agg(F.max("sim").alias("sim")), "verified")
 
 
-def sketched(buckets: DataFrame, docs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+def sketched(buckets: DataFrame, docs: DataFrame, shared, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), marks (band keys, then the sketch); their texts."""
-    first = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    pool = written(buckets.join(first, "key"), "pool")
+    buckets = scratch.table(buckets, "buckets")
+    first = scratch.table(buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "leads")
+    pool = scratch.table(join_hot(buckets, first, "key", "n", buckets.count()), "pool")
 
     @F.pandas_udf("binary")
     def marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -270,7 +323,7 @@ def sketched(buckets: DataFrame, docs: DataFrame, shared) -> tuple[DataFrame, Da
 
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "text")
     texts = texts.join(pool.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    texts = written(texts.withColumn("marks", marks("text")), "sketches")
+    texts = scratch.table(texts.withColumn("marks", marks("text")), "sketches")
     return pool.join(texts.drop("text"), ["id", "digest"]).select("key", "id", "n", "lead", "marks"), texts
 
 
@@ -321,20 +374,20 @@ def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
     return blocks.repartition(*at).sortWithinPartitions(*at, "id").mapInPandas(pairs, "a long, b long")
 
 
-def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFrame:
+def links(buckets: DataFrame, docs: DataFrame, shared, least: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) of similarity `least` or more that join all texts which such links among bucket members join; `buckets` has key, id and digest."""
-    pool, texts = sketched(buckets, docs, shared)
-    pool = written(pool, "pool")
+    pool, texts = sketched(buckets, docs, shared, scratch)
+    pool = scratch.table(pool, "marked")
     of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
 
     # a block of every text, the lead in each of its bucket's blocks
     home = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), of(F.col("n")) - 1)).otherwise(F.array(part(of(F.col("n")))))
     blocks = pool.select("key", "id", F.col("id").alias("root"), F.lit(0).alias("side"), "marks", F.explode(home).alias("left")).withColumn("right", F.col("left"))
-    found = verified(agreeing(blocks, least, False).distinct(), texts, shared).filter(F.col("sim") >= least).select("a", "b")
+    found = verified(agreeing(blocks, least, False).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
 
     # the rest: between the group of a bucket's smallest root and the others (side 0 against 1), and among the others (side 2, or blocks of them)
-    pool = pool.join(components(found).withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
+    pool = pool.join(components(found, scratch).withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
     sizes = pool.groupBy("key").agg(F.min("root").alias("main")).join(pool.select("key", "root"), "key")
     sizes = sizes.groupBy("key", "main").agg(F.count_if(F.col("root") == F.col("main")).alias("mains"), F.count_if(F.col("root") != F.col("main")).alias("others"))
     pool = pool.join(sizes.filter("others > 0"), "key")
@@ -345,24 +398,25 @@ def links(buckets: DataFrame, docs: DataFrame, shared, least: float) -> DataFram
     to_others = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least(k, mine).alias("left"), F.greatest(k, mine).alias("right"), F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side")))
     at = F.explode(F.when(F.col("root") == F.col("main"), main_blocks).otherwise(F.concat(to_mains, to_others))).alias("at")
     blocks = pool.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
-    more = verified(agreeing(blocks, least, True).distinct(), texts, shared).filter(F.col("sim") >= least).select("a", "b")
+    more = verified(agreeing(blocks, least, True).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
     return found.unionByName(more)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id and the smallest id of its component, for every id in the edges (a, b), by large-star and small-star rounds."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    edges = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
 
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        # a hub's neighbours stay where they are
+        large = join_hot(both.filter("v > u"), low, "u", "n", 2 * (before or edges.agg(F.count("*")).first())[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = written(small, "edges")
+        edges = scratch.table(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
@@ -371,22 +425,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of every row of `docs`."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(document_frequencies(docs))  # DEPTH * WIDTH counters
-    rows = signed(docs, shared)
-    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    scratch = Scratch(docs.sparkSession, "near-dups")
+    shared = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))  # the common shingles
+    rows = signed(docs, shared, scratch)
+    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    reps = scratch.table(reps, "texts")
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "digest")
     # rows that share a doc_id are linked through it
-    copies = rows.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
-    copies = written(copies.select("doc_id", "rep"), "copies")
-    edges = links(buckets, docs, shared, least).unionByName(copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    roots = components(edges)
+    copies = join_hot(rows.select("doc_id", "digest"), reps.filter("n > 1").select("digest", "rep", "n"), "digest", "n", rows.count())
+    copies = copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    edges = links(buckets, docs, shared, least, scratch).unionByName(copies)
+    roots = written(components(edges, scratch), "classes")
+    scratch.clear()
     df = docs.select("doc_id").join(roots, docs["doc_id"] == roots["id"], "left")
     return df.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of `docs` with one document of each class: that with the smallest doc_id; rows without an id stay."""
-    first = classes(docs, least).filter("doc_id = class_id").select(F.col("doc_id").alias("_n_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == F.col("_n_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The rows of `docs` with one document of each class: that with the smallest doc_id; rows without an id stay.
+
+    Of rows that share that id the one with the smallest digest of its text, then of the whole row, stays.
+    """
+    first = classes(docs, least).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_n_id")).agg(F.count("*").alias("_n"))
+    first = written(first, "kept")
+    row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_n_id"), F.md5("text").alias("_md5"))
+    row = row.join(first, "_n_id")
+    once = row.filter("_n = 1").select("_row.*")
+    more = row.filter("_n > 1").groupBy("_n_id").agg(F.min_by("_row", F.struct("_md5", F.to_json("_row"))).alias("_row")).select("_row.*")
+    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
