@@ -378,12 +378,22 @@ def test_quality_thresholds_adapt(spark):
     assert dropped == {80}  # odd in its own source only
 
 
-def test_licences(spark, odd, empty):
+def test_licences(spark, odd, empty, monkeypatch):
     mit = licenses.KNOWN[-2][1]
-    texts = ["Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ;"), mit + " extra", "Intro.\nReleased under the MIT Licence!\nlicensed under CC BY-NC 4.0", "(c) 2021 X. All", None, ""]
-    got = [(r["license_id"], r["n_license_lines"], r["line_licenses"]) for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == [("MIT", 0, ""), (None, 0, ""), (None, 2, "CC-BY-NC-4.0,MIT"), (None, 0, ""), (None, 0, ""), (None, 0, "")]
-    assert licenses.scan(odd).count() == 13 and licenses.scan(empty).count() == 0
+    texts = ["Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ;"), mit + " extra", "Intro.\nReleased under the MIT Licence!\nlicensed under CC BY-NC 4.0", "(c) 2021 X. All", None, "", "word " * 300_000]
+    own = [("own", "A licence licence, v2 sub-licence\nnon\ninfringement"), ("other", "A  license license version 2 sublicense noninfringement."), ("none", "(c) 2020 me"), (None, "x y"), ("null", None)]
+    df = docs(spark, [*texts, "a LICENSE, licence: v2 sublicense non-infringement", "x y"]).withColumns({"license_id": F.lit(1), "text_digest": F.lit(2), "_row": F.lit(3)})
+    got = [(r["license_id"], r["n_license_lines"], r["line_licenses"]) for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == [("MIT", 0, ""), (None, 0, ""), (None, 2, "CC-BY-NC-4.0,MIT"), *[(None, 0, "")] * 6]
+    ours = spark.createDataFrame(own, "license_id string, text string")
+    results = []
+    for small in (licenses.SMALL, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(licenses, "SMALL", small)
+        results.append(sorted(map(str, licenses.scan(df.unionByName(df.limit(3)), licenses.default_known(spark).unionByName(ours)).select("doc_id", "text_digest", "license_id", "n_license_lines", "line_licenses").collect())))
+        one = licenses.scan(df, ours).filter("doc_id >= 7").orderBy("doc_id").collect()
+        assert [(r["license_id"], r["n_license_lines"]) for r in one] == [("other", 1), (None, 0)]
+        assert licenses.scan(odd).count() == 13 and licenses.scan(empty).count() == 0 and licenses.scan(df, ours.limit(0)).filter("license_id is null").count() == 9
+    assert results[0] == results[1]
 
 
 PAGE = """<html><head><title>no</title><script>var x="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>

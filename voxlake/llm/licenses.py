@@ -1,14 +1,17 @@
 """Licence scans by canonical digest: texts are normalised, digested, and hash-joined to the digests of known licences.
 
 Canonical form: lower case; everything but letters, digits and line ends becomes one blank; copyright statements go;
-equivalent spellings become one; lines are joined by a blank. A whole text is joined by its digest; every line of it is
-looked up too, since a notice is often one line of a longer text. No fuzzy matching: one different word is no match.
+equivalent spellings become one, word by word; lines are joined by a blank. A whole text is joined by its digest; every line
+of it is looked up too, since a notice is often one line of a longer text. No fuzzy matching: one different word is no match.
 
-The table of known licences is fixed (tens of rows), so it is broadcast; the texts are not shuffled.
+Known licences are a table (license_id, text) of any size; by default that of `default_known`: the entire texts in
+license_texts/ and the notices below. Up to `SMALL` digests of them are broadcast, so the texts are not shuffled. Beyond that
+digests are joined by a shuffle, whole texts and lines alike, with the same result.
 
-Defined cases: a null, empty or copyright-only text has the digest of the empty string and no licence; repeated rows and
-null ids are scanned each; of two known texts with one canonical form the smaller licence name is told; other columns
-are not looked at.
+Defined cases: a null, empty or copyright-only text has the digest of the empty string and no licence; such known texts, and
+those without a name, are none; repeated rows and null ids are scanned each; of two known texts with one canonical form the
+smaller licence name is told; very long texts are taken whole; an empty table gives an empty one; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import pkgutil
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Licence notices and texts as their owners publish them, spellings that count as equal, copyright lines.
@@ -76,7 +79,9 @@ COPYRIGHT = r"^(copyright|c [0-9]{4}|[0-9]{4} copyright|all rights reserved)( |$
 
 
 #: Licences whose entire text is in license_texts/, besides the two in KNOWN.
-ENTIRE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0"]
+ENTIRE = "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 GPL-2.0-only GPL-3.0-only LGPL-2.1-only LGPL-3.0-only MPL-1.1 MPL-2.0 Unlicense Zlib".split()
+#: Digests of known texts (some 50 bytes each) that are broadcast.
+SMALL = 10_000
 
 
 def entire_texts() -> list[tuple[str, str]]:
@@ -94,48 +99,64 @@ def entire_texts() -> list[tuple[str, str]]:
     return out
 
 
+def _respelled(t: Column, spellings: list[tuple[str, str]]) -> Column:
+    """Spellings replaced in words between blanks. Blanks are doubled first, so no two neighbours share one."""
+    t = F.replace(t, F.lit(" "), F.lit("  "))
+    for old, new in spellings:
+        t = F.replace(t, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.replace(t, F.lit("  "), F.lit(" "))
+
+
 def canonical_lines(text: Column) -> Column:
     """Array of a text's canonical lines, without empty and copyright ones."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     t = F.concat(F.lit(" "), F.replace(t, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-    for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(_respelled(t, SPELLINGS), "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(STATEMENT))
 
 
 def digest(lines: Column) -> Column:
     """md5 of the joined lines; spellings of two words are looked for again, since a line may end between them."""
     t = F.concat(F.lit(" "), F.array_join(lines, " "), F.lit(" "))
-    for old, new in SPELLINGS:
-        if " " in old:
-            t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.md5(F.trim(t))
+    return F.md5(F.trim(_respelled(t, [x for x in SPELLINGS if " " in x[0]])))
+
+
+def default_known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(KNOWN + entire_texts(), "license_id string, text string")
 
 
-def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """known_digest and license_id of a fixed list of (licence, text), by default the notices and entire texts."""
-    df = spark.createDataFrame(KNOWN + entire_texts() if known is None else known, "license_id string, known string")
-    df = df.select(digest(canonical_lines(F.col("known"))).alias("known_digest"), "license_id")
-    return df.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+def known_digests(known: DataFrame) -> DataFrame:
+    """known_digest and license_id of a table (license_id, text)."""
+    df = known.filter("license_id is not null").select(canonical_lines(F.col("text")).alias("lines"), "license_id").filter(F.size("lines") > 0)
+    return df.groupBy(digest(F.col("lines")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, license_id (of the whole text, else null), n_license_lines and line_licenses of every row.
 
     `line_licenses` are the distinct licences of its lines, sorted, joined by commas.
     """
-    found = known_digests(docs.sparkSession, known)
-    names = F.create_map(*(F.lit(x) for r in found.collect() for x in (r["known_digest"], r["license_id"])))
+    found = known_digests(default_known(docs.sparkSession) if known is None else known)
+    first = found.limit(SMALL + 1).collect()
     df = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
-    df = df.withColumn("_hits", F.filter(F.transform("_lines", lambda x: names[F.md5(x)]), lambda x: x.isNotNull()))
-    df = df.select(
-        "doc_id",
-        digest(F.col("_lines")).alias("text_digest"),
-        F.size("_hits").cast("long").alias("n_license_lines"),
-        F.array_join(F.array_sort(F.array_distinct("_hits")), ",").alias("line_licenses"),
+    names = lambda hits: F.array_join(F.array_sort(F.array_distinct(hits)), ",").alias("line_licenses")
+    if 0 < len(first) <= SMALL:
+        table = F.create_map(*(F.lit(x) for r in first for x in (r["known_digest"], r["license_id"])))
+        df = df.withColumn("_hits", F.filter(F.transform("_lines", lambda x: table[F.md5(x)]), lambda x: x.isNotNull()))
+        df = df.select("doc_id", digest(F.col("_lines")).alias("text_digest"), F.size("_hits").cast("long").alias("n_license_lines"), names(F.col("_hits")))
+        return df.join(F.broadcast(found), F.col("text_digest") == F.col("known_digest"), "left").drop("known_digest")
+    # a row for the whole text (whole = 1) and each line of it, in one join; texts that share a line are spread by AQE
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    keys = F.concat(F.array(F.struct(F.lit(1).alias("whole"), digest(F.col("_lines")).alias("d"))), F.transform("_lines", lambda x: F.struct(F.lit(0).alias("whole"), F.md5(x).alias("d"))))
+    df = df.select("_row", "doc_id", F.explode(keys).alias("k")).join(found, F.col("k.d") == F.col("known_digest"), "left")
+    line = (F.col("k.whole") == 0) & F.col("license_id").isNotNull()
+    df = df.groupBy("_row", "doc_id").agg(
+        F.max(F.when(F.col("k.whole") == 1, F.col("k.d"))).alias("text_digest"),
+        F.count_if(line).alias("n_license_lines"),
+        names(F.collect_set(F.when(line, F.col("license_id")))),
+        F.max(F.when(F.col("k.whole") == 1, F.col("license_id"))).alias("license_id"),
     )
-    return df.join(F.broadcast(found), F.col("text_digest") == F.col("known_digest"), "left").drop("known_digest")
+    return df.select("doc_id", "text_digest", "n_license_lines", "line_licenses", "license_id")
 
 
 def oracle() -> str:
