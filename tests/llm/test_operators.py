@@ -471,6 +471,44 @@ def test_pipeline_stages(spark, odd, empty, tmp_path):
         assert (set(range(100, 130)) <= ids and not ids & {0, 1, 2}) if not k else not rows
 
 
+def test_every_pipeline_stage_equals_a_plain_version(spark, tmp_path):
+    """Each stage on all that its predecessor kept: distances by loops, the rules in SQL, all pairs, and the packing's own terms."""
+    import duckdb
+
+    start = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    now, kept = start, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, "").write.parquet(f"{tmp_path}/{name}")
+        kept[name] = (now, spark.read.parquet(f"{tmp_path}/{name}"))
+        now = kept[name][1]
+        assert name == "packing" or now.columns == start.columns
+    before, after = kept["language"]
+    predict = language_id.predictor(language_id.fit(before))
+    assert ids(after) == sorted(r["doc_id"] for r in before.collect() if (p := predict(r["text"]))[0] != "und" and p[1] >= 0.02)
+    before, after = kept["quality"]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/language/*.parquet'")
+    assert ids(after) == sorted(x[0] for x in c.sql(f"SELECT doc_id FROM ({queries.SQL['op7_quality_rules']}) WHERE kept").fetchall())
+    before, after = kept["near_dups"]
+    rows = sorted(before.select("doc_id", "text").collect(), key=lambda r: r["doc_id"])
+    root, _ = plain_classes([r["text"] for r in rows])
+    assert ids(after) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i] and after.count() < before.count()
+    before, after = kept["packing"]
+    words = {r["doc_id"]: len((r["text"] or "").split()) for r in before.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in after.collect()} == words
+    ends = packing.best_boundaries(sorted(Counter(words.values()).items()), 16)
+    assert all(r["boundary"] == min(e for e in ends if e >= r["n_tokens"]) and r["slot"] * r["boundary"] < 65536 for r in after.collect())
+
+
+def test_warc_small_payloads_never_revisit(spark):
+    rows = [(i, "u", x, "p", 1) for i, x in enumerate(["ab", "ab", "abcd", "abcd", "", None])]
+    got = {r["page_id"]: r["refers_to"] for r in warc.with_duplicates(pages(spark, rows), least=3).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 2, 4: None, 5: None}
+    got = {r["page_id"]: r["refers_to"] for r in warc.with_duplicates(pages(spark, rows)).collect()}
+    assert got == {0: None, 1: 0, 2: None, 3: 2, 4: None, 5: 4}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     import duckdb
