@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from voxlake.functions import text
 from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
@@ -75,3 +76,73 @@ def test_mentions_equal_brute_force(spark):
     got = relational.mentions(frame(pages, "page_id"), frame(cards, "card_id")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 300
     assert relational.mentions(frame(pages, "page_id"), frame([], "card_id")).count() == 0
+
+
+def test_numbered_equals_row_number(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), i) for i in range(500)]
+    df = spark.createDataFrame(rng.sample(rows, 500), "a long, b long")
+    want = {r: i + 1 for i, r in enumerate(sorted(rows))}
+    for size in (1, 7, 100, 10**6):
+        assert {(r["a"], r["b"]): r["n"] for r in sequence.numbered(df, "a", "b", "n", size).collect()} == want
+    assert sequence.numbered(df.limit(0), "a", "b", "n").count() == 0
+
+
+def greedy(units, window, known, other):
+    out, i = [], 0
+    while i < len(units):
+        k = next((k for k in range(min(window, len(units) - i), 0, -1) if "".join(units[i : i + k]) in known), 0)
+        out.append(known["".join(units[i : i + k])] if k else other(units[i]))
+        i += k or 1
+    return out
+
+
+def test_dictionaries_as_tables(spark):
+    rng = random.Random(7)
+    terms = {"".join(rng.choice("你好中国人") for _ in range(rng.randrange(1, 8))): f"g{i}" for i in range(60)}
+    texts = ["".join(rng.choice("你好中国人 x，") for _ in range(rng.randrange(0, 40))) for _ in range(80)] + [None, "", "abc", "你", next(iter(terms))]
+    dictionary = spark.createDataFrame([*terms.items(), ("你好", None), (None, "x")], "term string, gloss string")
+    df = spark.createDataFrame(list(enumerate(texts + texts[:3])), "id long, t string")
+    got = {r["id"]: r["gloss"] for r in relational.gloss(df, "t", dictionary).collect()}
+    clean = ["".join(c for c in t or "" if c not in "， ") for t in texts + texts[:3]]
+    want = {i: terms.get(t) or ("; ".join(greedy(t, 6, terms, str)) if len(t) >= 2 and any("\u4e00" <= c <= "\u9fff" for c in t) else None) for i, t in enumerate(clean)}
+    assert got == want
+    toned = {"nǐhǎo": "你好", "hǎo": "好", "ma": "吗"}
+    said = ["nǐ hǎo ma", "hǎo  ma nǐ", "no tones ma", "你 hǎo", None]
+    df = text.known_pieces(spark.createDataFrame(list(enumerate(said)), "id long, t string"), "t", text.tokens, 4, spark.createDataFrame([*toned.items()], "term string, gloss string"))
+    got = [r["s"] for r in df.orderBy("id").select(text.segment_tokens(F.col("t"), F.col("_known"), {"ma": "嘛"}).alias("s")).collect()]
+    assert got == ["你好吗", "好吗nǐ", "no tones ma", "你 hǎo", None]
+    got = spark.createDataFrame([("nǐ hǎo ma 12",)], "t string").select(text.normalize_zh_ja(F.col("t"), "zh-cn", toned, {}).alias("zh"), text.normalize_zh_ja(F.col("t"), "ja", toned, {}).alias("ja")).first()
+    assert tuple(got) == ("你好吗十二", "nǐ hǎo ma じゅうに")
+
+
+def test_decimals_beside_units(spark):
+    said = {"하지만3.5%": "하지만삼 점 오 퍼센트", "2663조3000억": "이천육백육십삼조삼천억", "3만5": "삼만오", "만 3": "만 삼"}
+    got = spark.createDataFrame([*said.items()], "t string, want string").select("want", text.normalize_ko(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_visible_cards_are_counted(spark):
+    records = spark.createDataFrame([(1, 5, False, "2024-01-15 01:00:00"), (1, 0, True, "2024-01-10 01:00:00")], "user_id long, score int, is_starred boolean, at string").withColumn("created_at", F.to_timestamp_ntz("at"))
+    cards = spark.createDataFrame([(1, "general"), (1, "textbook"), (2, None), (3, "textbook"), (None, "general")], "user_id long, category string")
+    got = sorted(map(tuple, relational.study_stats(records, "2024-01-15 12:00:00", cards).collect()))
+    assert got == [(1, 2, 5.0, 1, 1, 3), (2, 0, 0.0, 0, 0, 3)]
+
+
+def test_upserts_played_again(spark, tmp_path):
+    from voxlake.streaming import running
+
+    path = f"{tmp_path}/t"
+    state = {}
+    for n in range(4):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        rows = [(k, 10 * n + k, n) for k in range(n, 40, n + 1)]
+        state |= {k: x for k, x, _ in rows}
+        spark.createDataFrame(rows, "k long, x long, at long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, x long, at long").parquet(f"{tmp_path}/in")
+        running.upsert_sink(stream, path, ["k"], "at", 8).option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+        assert {r["k"]: r["x"] for r in running.read_versions(spark, path).collect()} == state
+    (tmp_path / "t" / "version=9").mkdir()  # one that was never finished
+    assert {r["k"]: r["x"] for r in running.read_versions(spark, path).collect()} == state
+    before = running.read_versions(spark, path, 3)
+    assert before.count() and before.agg(F.max("at")).first()[0] == 2

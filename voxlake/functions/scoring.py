@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,14 @@ def split_repeats(target: Column, heard: Column) -> Column:
     pieces = F.filter(F.transform(F.sequence(F.lit(0), F.ceil(F.length(heard) / n).cast("int") - 1), lambda i: F.substring(heard, i * n + 1, n)), lambda p: F.length(p) >= F.greatest(F.lit(2), n - 1))
     got = F.when((n >= 2) & (F.length(heard) >= n * 1.5), let(pieces, lambda p: F.when(F.size(p) > 1, p)))
     return F.coalesce(got, F.array().cast("array<string>"))
+
+
+def score_repeats(target: Column, heard: Column, base: Callable[[Column], Column]) -> Column:
+    """Array of (index, text, pron, tone, score) of a text said several times, each piece against the target; `base` takes the tones off."""
+
+    def one(p: Column, i: Column) -> Column:
+        status = align_status(characters(base(target)), characters(target), characters(base(p)), characters(p))
+        r = let(status, lambda s: attempt_score(s, F.length(target), F.length(p)))
+        return let(r, lambda x: F.struct((i + 1).alias("index"), p.alias("text"), x["pron"].alias("pron"), x["tone"].alias("tone"), x["score"].alias("score")))
+
+    return F.transform(split_repeats(target, heard), one)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last change of each key, by a partial aggregate."""
@@ -61,11 +63,11 @@ def bump_version(df: DataFrame, keys: DataFrame, key: str, col: str) -> DataFram
 
 
 def copy_rows(df: DataFrame, requests: DataFrame, suffix: str = " (copy)") -> DataFrame:
-    """`df` and a copy for each request (source_id, kind): new ids follow the largest, personal copies get the suffix."""
-    src = df.withColumnRenamed("id", "source_voice_id").join(requests.withColumnRenamed("source_id", "source_voice_id"), "source_voice_id")
-    order = F.row_number().over(Window.orderBy("source_voice_id", "kind"))  # one row a request, not a voice
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = src.withColumn("_n", order).join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
+    """`df` and a copy for each request (source_id, kind): new ids follow the largest in order of the requests, personal copies get the suffix."""
+    asked = requests.select(F.col("source_id").alias("source_voice_id"), "kind")
+    src = df.withColumnRenamed("id", "source_voice_id").join(asked, "source_voice_id")
+    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    new = numbered(src, "source_voice_id", "kind", "_n").join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
     name = F.when(F.col("kind") == "personal", F.concat("name", F.lit(suffix))).otherwise(F.col("name"))
     new = new.withColumn("name", name).withColumn("folder_type", F.col("kind")).withColumn("status", F.lit("active"))
     return df.withColumn("source_voice_id", F.lit(None).cast("long")).unionByName(new.select(*df.columns, "source_voice_id"))

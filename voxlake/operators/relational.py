@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.functions.text import HAN, characters, has_script, known_pieces, segment_chars
 from voxlake.sources.tables import local_day
 
 SHARED = ("textbook", "pronunciation")
@@ -14,12 +15,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # filters
 
 
+def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of `left` with each of `right`, where that is the result asked for.
+
+    `right` is repeated once for each shuffle partition and `left` dealt over these, so the pairs are made in all tasks and
+    neither side goes whole to one; Spark broadcasts `right` if its size allows.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(*left.columns), F.lit(n)))
+    return dealt.join(right.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "_deal").drop("_deal")
+
+
 def owner_scope(df: DataFrame, viewers: DataFrame, owner: str) -> DataFrame:
-    """Every (viewer, row) that a viewer sees: all rows up to level 10, else the own ones. Two joins, neither a nested loop over both."""
+    """Every (viewer, row) that a viewer sees: all rows up to level 10, else the own ones."""
     v = viewers.select(F.col("id").alias("viewer_id"), "level")
     own = df.join(v.filter("level > 10"), df[owner] == v["viewer_id"])
-    every = df.join(F.broadcast(v.filter("level <= 10")), F.lit(True))  # administrators: a handful
-    return own.unionByName(every).drop("level")
+    return own.unionByName(every_pair(df, v.filter("level <= 10"))).drop("level")
 
 
 def visible_cards(cards: DataFrame, user: Column, owner: str = "user_id", shared: tuple = SHARED) -> DataFrame:
@@ -181,6 +192,29 @@ def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame, wi
     return df.withColumn("page_index", F.col("page") - F.col("start_page")).drop("stop", "last_page", "_bucket")
 
 
+def section_lines(lines: DataFrame, sections: DataFrame, least: int = 3, skip: tuple = ()) -> DataFrame:
+    """The lines of each section's pages in its file (pdf, page, line_no, line), trimmed, without noise, with the section's columns and `page_count`."""
+    pages = lines.select("pdf", "page").distinct()
+    last = pages.groupBy("pdf").agg(F.max("page").alias("last_page"))
+    held = pages_in_sections(pages, sections, last).withColumn("page_count", F.col("end_page") - F.col("start_page") + 1)
+    clean = drop_noise_lines(lines.withColumn("line", F.trim("line")), "line", least, list(skip))
+    return clean.join(held, ["pdf", "page"])
+
+
+def gloss(df: DataFrame, col: str, dictionary: DataFrame, script: str = HAN) -> DataFrame:
+    """Adds `gloss`: that of the whole cleaned text in a dictionary (term, gloss), else those of its longest known pieces.
+
+    Pieces are looked for in texts of two characters or more of the script. Without either the gloss is null.
+    """
+    clean = F.regexp_replace(col, r"[，。！？、；：\s,.!?]", "")
+    df = df.withColumn("_clean", clean)
+    terms = dictionary.filter("gloss <> ''").groupBy("term").agg(F.min("gloss").alias("_whole"))
+    df = df.join(terms, df["_clean"] == terms["term"], "left").drop("term")
+    df = known_pieces(df, "_clean", characters, 6, dictionary)
+    pieces = F.when((F.length("_clean") >= 2) & has_script(F.col("_clean"), script), segment_chars(F.col("_clean"), F.col("_known")))
+    return df.withColumn("gloss", F.coalesce("_whole", pieces)).drop("_clean", "_whole", "_known")
+
+
 def cascade_delete(parent: DataFrame, children: list[tuple[DataFrame, str]], keys: DataFrame, key: str) -> list[DataFrame]:
     """The parent and each (child, foreign key) without what hangs on the keys."""
     out = [parent.join(keys.select(key), key, "left_anti")]
@@ -190,7 +224,7 @@ def cascade_delete(parent: DataFrame, children: list[tuple[DataFrame, str]], key
 def effective_permission(users: DataFrame, folders: DataFrame, members: DataFrame) -> DataFrame:
     """user, folder, permission (admin up to level 10, else that of the membership) where there is any, and its gates."""
     admins = users.filter("level <= 10").select(F.col("id").alias("user_id"))
-    admin = admins.join(F.broadcast(folders.select(F.col("id").alias("folder_id"))), F.lit(True)).withColumn("permission", F.lit("admin"))
+    admin = every_pair(admins, folders.select(F.col("id").alias("folder_id"))).withColumn("permission", F.lit("admin"))
     plain = members.join(admins, "user_id", "left_anti").select("user_id", "folder_id", "permission")
     df = admin.select("user_id", "folder_id", "permission").unionByName(plain)
     return df.withColumns({"can_edit": F.col("permission").isin("edit", "admin"), "can_admin": F.col("permission") == "admin"})
@@ -199,15 +233,26 @@ def effective_permission(users: DataFrame, folders: DataFrame, members: DataFram
 # aggregates
 
 
-def study_stats(records: DataFrame, now: str) -> DataFrame:
-    """Attempts of each user in one pass: count, mean of positive scores (0 if none), starred, and today's."""
+def study_stats(records: DataFrame, now: str, cards: DataFrame | None = None, owner: str = "user_id", shared: tuple = SHARED) -> DataFrame:
+    """Attempts of each user in one pass: count, mean of positive scores (0 if none), starred, and today's.
+
+    With `cards` also `total_cards`, those a user sees (the own ones and all shared ones), and users that only have cards.
+    """
     today = local_day(F.col("created_at")) == local_day(F.to_timestamp_ntz(F.lit(now)))
-    return records.groupBy("user_id").agg(
+    got = records.groupBy("user_id").agg(
         F.count("*").alias("attempts"),
         F.round(F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)), 1).alias("avg_score"),
         F.count_if("is_starred").alias("starred"),
         F.count_if(today).alias("today"),
     )
+    if cards is None:
+        return got
+    is_shared = F.coalesce(F.col("category").isin(*shared), F.lit(False))
+    own = cards.filter(~is_shared & F.col(owner).isNotNull()).groupBy(F.col(owner).alias("user_id")).agg(F.count("*").alias("_own"))
+    every = cards.agg(F.count_if(is_shared).alias("_shared"))  # one row
+    df = got.join(own, "user_id", "full").join(F.broadcast(every), F.lit(True))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("attempts", "avg_score", "starred", "today")}
+    return df.withColumns(zero | {"total_cards": F.coalesce("_own", F.lit(0)) + F.col("_shared")}).drop("_own", "_shared")
 
 
 def subject_counts(cards: DataFrame) -> DataFrame:
@@ -250,6 +295,12 @@ def training_eligibility(chosen: DataFrame, voices: DataFrame) -> DataFrame:
     return df.withColumn("verdict", F.when(F.col("seconds") < 30, "reject").when(F.col("seconds") < 120, "warn").otherwise("ok"))
 
 
+def chosen_voices(df: DataFrame, group: str, ids: str) -> DataFrame:
+    """group_id, pos and voice_id of lists of ids such as "3, 5,,7"; empty parts are left out, and so are parts that are no number."""
+    parts = df.select(F.col(group).alias("group_id"), F.posexplode(F.split(ids, ",")).alias("pos", "part"))
+    return parts.select("group_id", "pos", F.trim("part").try_cast("long").alias("voice_id")).filter("voice_id is not null")
+
+
 def import_summary(cards: DataFrame) -> DataFrame:
     return cards.groupBy(F.concat_ws(" ", "subject", "week", "class_num").alias("key")).agg(F.count("*").alias("n"))
 
@@ -279,7 +330,7 @@ def recent_attempts(records: DataFrame, cards: DataFrame, n: int) -> DataFrame:
 
 
 def dashboard(records: DataFrame, cards: DataFrame, now: str, days: int = 7, n: int = 20) -> DataFrame:
-    """One row a user: statistics, and arrays of its last days and attempts (both bounded)."""
+    """One row a user: statistics (with the visible cards, if cards have owners), and arrays of its last days and attempts (both bounded)."""
     daily = daily_stats(records, days).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day", "n", "avg_score", "max_score")), False).alias("daily"))
     recent = recent_attempts(records, cards, n).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "card_id", "chinese", "score")), False).alias("recent"))
-    return study_stats(records, now).join(daily, "user_id", "left").join(recent, "user_id", "left")
+    return study_stats(records, now, cards if "user_id" in cards.columns else None).join(daily, "user_id", "left").join(recent, "user_id", "left")

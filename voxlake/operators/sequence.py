@@ -82,6 +82,27 @@ def assemble_timeline(df: DataFrame, key: str, order: str, gap: float) -> DataFr
     return df.withColumn("offset", F.coalesce(before, F.lit(0.0)))
 
 
+def timeline_totals(df: DataFrame, key: str, gap: float, trailing: bool = False) -> DataFrame:
+    """Length of each assembled timeline; with `trailing` a gap follows the last part too."""
+    return df.groupBy(key).agg((F.sum("dur") + gap * (F.count("*") - (0 if trailing else 1))).alias("total"))
+
+
+def numbered(df: DataFrame, order: str, tie: str, out: str, shard_rows: int = 100_000) -> DataFrame:
+    """`df` numbered from 1 in order of a numeric column, then `tie`: by ranges of about `shard_rows` rows, each numbered alone and moved by the rows before it."""
+    n = df.count()
+    k = max(1, -(-n // shard_rows))
+    cuts = df.agg(F.percentile_approx(order, [i / k for i in range(1, k)], max(10000, 20 * k)).alias("c")).first()["c"] if k > 1 else []
+    bounds = F.array(*map(F.lit, sorted({*(cuts or [])}))) if cuts else None
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(k.bit_length()))))
+    shard = F.lit(0) if bounds is None else F.aggregate(steps, F.lit(0), lambda at, m: F.when((at + m <= F.size(bounds)) & (F.get(bounds, at + m - 1) <= F.col(order)), at + m).otherwise(at))
+    rows = df.withColumn("_shard", shard)
+    counts = rows.groupBy("_shard").agg(F.count("*").alias("_n"))  # a row a shard
+    before = F.sum("_n").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_shard", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_shard").orderBy(order, tie))
+    return rows.withColumn(out, own).join(counts, "_shard").withColumn(out, F.col(out) + F.col("_before")).drop("_shard", "_before")
+
+
 def split_item(df: DataFrame, cuts: DataFrame, key: str, order: str) -> DataFrame:
     """Items cut in two at a point inside them; a point outside changes nothing; items are numbered anew from 0."""
     df = df.join(cuts, [key, order], "left")

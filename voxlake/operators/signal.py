@@ -132,3 +132,10 @@ def speaker_report(segments: DataFrame) -> DataFrame:
     used = chosen.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("taken")).alias("end")))).alias("segments"), F.round(F.sum("taken"), 2).alias("tts_duration"))
     df = every.join(used, "speaker", "left")
     return df.withColumn("tts_duration", F.coalesce("tts_duration", F.lit(0.0))).withColumn("quality", F.when(F.col("tts_duration") >= 30, "good").otherwise("low"))
+
+
+def diarized_report(segments: DataFrame, recording: str, key: str, vector: str) -> DataFrame:
+    """The report of speakers that are told apart by clustering the segments' vectors within each recording."""
+    labels = cluster(segments, recording, key, vector)
+    named = segments.join(labels, [recording, key]).withColumn("speaker", F.concat_ws(" ", F.col(recording).cast("string"), "label"))
+    return speaker_report(named.select("speaker", "start", "end", "energy"))

@@ -14,6 +14,7 @@ from voxlake.operators import relational as rel
 from voxlake.operators import sequence as seq
 from voxlake.operators import signal as sig
 from voxlake.sources import tables as src
+from voxlake.streaming import running
 
 from .views import view, with_views
 
@@ -476,7 +477,10 @@ def _(v):
     return v("lineitem").select(c("l_quantity").cast("int").alias("n")).filter("n > 0").distinct().withColumn("reading", text.ko_native(c("n")))
 
 
-@query("t3_ko_decimal")
+_KO_READ = "[" + ", ".join(repr(x) for x in text.KO_READ) + "]"
+
+
+@query("t3_ko_decimal", f"SELECT x, CASE WHEN split_part(x, '.', 1) = '0' THEN '영' ELSE {_read4("split_part(x, '.', 1)::INT")} END || ' 점 ' || array_to_string(list_transform(string_split(split_part(x, '.', 2), ''), lambda d: {_KO_READ}[d::INT + 1]), '') AS reading FROM (SELECT DISTINCT l_discount::VARCHAR AS x FROM lineitem)")
 def _(v):
     return v("lineitem").select(c("l_discount").cast("string").alias("x")).distinct().withColumn("reading", text.ko_decimal(c("x")))
 
@@ -486,12 +490,34 @@ def _(v):
     return v("documents").select("doc_id", text.normalize_ko(c("text")).alias("spoken"))
 
 
-@query("t5_zh_number")
+def _zh(n: str) -> str:
+    z = lambda x: "[" + ", ".join(repr(d) for d in text.ZH_DIGITS) + f"][({x}) + 1]"
+    two = lambda v: f"CASE WHEN {v} < 10 THEN {z(v)} ELSE CASE WHEN {v} // 10 = 1 THEN '' ELSE {z(f'{v} // 10')} END || '十' || CASE WHEN {v} % 10 = 0 THEN '' ELSE {z(f'{v} % 10')} END END"
+    more = lambda v, u, name, low: f"CASE WHEN {v} < {u} THEN {low(v)} ELSE {z(f'{v} // {u}')} || '{name}' || CASE WHEN {v} % {u} = 0 THEN '' ELSE CASE WHEN {v} % {u} < {u // 10} THEN '零' ELSE '' END || {low(f'({v} % {u})')} END END"
+    three = lambda v: more(v, 100, "百", two)
+    four = lambda v: more(v, 1000, "千", three)
+    return f"CASE WHEN {n} < 10000 THEN {four(n)} ELSE {four(f'({n} // 10000)')} || '万' || CASE WHEN {n} % 10000 = 0 THEN '' ELSE CASE WHEN {n} % 10000 < 1000 THEN '零' ELSE '' END || {four(f'({n} % 10000)')} END END"
+
+
+def _ja(n: str) -> str:
+    j = lambda x: "[" + ", ".join(repr(d) for d in text.JA_DIGITS) + f"][({x}) + 1]"
+    odd = {(100, 3): "さんびゃく", (100, 6): "ろっぴゃく", (100, 8): "はっぴゃく", (1000, 3): "さんぜん", (1000, 8): "はっせん"}
+
+    def part(v: str, u: int, name: str) -> str:
+        q = f"(({v}) // {u} % 10)"
+        cases = " ".join(f"WHEN {q} = {k} THEN '{w}'" for (x, k), w in odd.items() if x == u)
+        return f"CASE WHEN {q} = 0 THEN '' WHEN {q} = 1 THEN '{name}' {cases} ELSE {j(q)} || '{name}' END"
+
+    four = lambda v: f"({part(v, 1000, 'せん')} || {part(v, 100, 'ひゃく')} || {part(v, 10, 'じゅう')} || CASE WHEN ({v}) % 10 = 0 THEN '' ELSE {j(f'({v}) % 10')} END)"
+    return f"CASE WHEN {n} >= 10000 THEN {four(f'{n} // 10000')} || 'まん' ELSE '' END || {four(f'{n} % 10000')}"
+
+
+@query("t5_zh_number", f"SELECT n, {_zh('n')} AS reading FROM (SELECT DISTINCT l_partkey AS n FROM lineitem)")
 def _(v):
     return v("lineitem").select(c("l_partkey").alias("n")).distinct().withColumn("reading", text.zh_number(c("n")))
 
 
-@query("t6_ja_number")
+@query("t6_ja_number", f"SELECT n, CASE WHEN n = 0 THEN 'ゼロ' ELSE {_ja('n')} END AS reading FROM (SELECT DISTINCT l_partkey AS n FROM lineitem)")
 def _(v):
     return v("lineitem").select(c("l_partkey").alias("n")).distinct().withColumn("reading", text.ja_number(c("n")))
 
@@ -679,7 +705,12 @@ def _(v):
     return df.select("conv_id", "turn", F.array_join(scoring.word_status(words(c("text")), words(c("heard"))), ",").alias("status"))
 
 
-@query("n7_repeats")
+_PIECES = """pc AS (SELECT p_partkey, t, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS index FROM (SELECT p_partkey, p_brand AS t,
+  list_filter(list_transform(range(0, ceil(length(h) / length(p_brand)::DOUBLE)::INT), lambda i: substr(h, (i * length(p_brand) + 1)::INT, length(p_brand)::INT)), lambda x: length(x) >= greatest(2, length(p_brand) - 1)) AS ps
+  FROM (SELECT *, {heard} AS h FROM part) WHERE length(p_brand) >= 2 AND length(h) >= 1.5 * length(p_brand)) WHERE len(ps) > 1)"""
+
+
+@query("n7_repeats", f"WITH {_PIECES.format(heard='p_brand || p_brand || p_name')} SELECT p_partkey, piece FROM pc")
 def _(v):
     df = v("part").select("p_partkey", F.explode(scoring.split_repeats(c("p_brand"), F.concat("p_brand", "p_brand", "p_name"))).alias("piece"))
     return df
@@ -789,3 +820,203 @@ def _(v):
 def _(v):
     new = v("folders_v").withColumn("id", (c("id") + 100).cast("int"))
     return mt.create_folders(v("folders_v"), v("members_v"), new)[1]
+
+
+# the parts of operators that the queries above leave out, and sinks and streams written and read back
+
+
+@query("s1_typed_scan", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def _(v):
+    kind = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.LongType())])
+    return src.conform(v("nation"), kind)
+
+
+@query("s8_split_properties", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, true AS share_ok, round(sum(n_chars), 2)::DOUBLE AS total FROM documents")
+def _(v):
+    train, test, total = src.train_eval_split(v("documents").select("doc_id", c("n_chars").cast("double").alias("n_chars")), "doc_id", "n_chars")
+    both = train.withColumn("e", lit(0)).unionByName(test.withColumn("e", lit(1)))
+    return both.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.avg("e").between(0.08, 0.22).alias("share_ok")).withColumn("total", lit(total))
+
+
+@query("s9_subtitle_text", f"""WITH {_CUES}, codes AS (SELECT doc_id, i, text, start + 1e-6 AS a, greatest("end", 0.0) + 1e-6 AS b FROM cue),
+coded AS (SELECT doc_id, i, (i + 1) || chr(10) || {{}} || ' --> ' || {{}} || chr(10) || text || chr(10) AS piece FROM codes) SELECT doc_id, string_agg(piece, chr(10) ORDER BY i) AS srt FROM coded GROUP BY 1""".format(*(f"printf('%02d:%02d:%02d,%03d', floor({x})::BIGINT // 3600, (floor({x})::BIGINT % 3600) // 60, floor({x})::BIGINT % 60, floor(({x} - floor({x})) * 1000)::BIGINT)" for x in "ab")))
+def _(v):
+    at = lambda x: text.timecode(x + 1e-6)  # noqa: E731  sums of doubles, in whatever order, are on one side of a millisecond then
+    return src.render_srt(_cue_rows(v).withColumn("start_code", at(c("start"))).withColumn("end_code", at(F.greatest("end", lit(0.0)))))
+
+
+@query("p1_all_viewers", "SELECT v.id AS viewer_id, count(*) AS n, sum(r.id)::BIGINT AS ids FROM users_v v JOIN results_v r ON v.level <= 10 OR r.voice_id = v.id GROUP BY 1")
+def _(v):
+    df = rel.owner_scope(v("results_v"), v("users_v"), "voice_id")
+    return df.groupBy("viewer_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+_OWNED = "SELECT id, id % 40 AS user_id, category, chinese, subject FROM cards_v"
+
+
+@query("a1_visible_cards", f"""WITH k AS ({_OWNED}), s AS (SELECT *, coalesce(category IN ('ECONOMY BRASS', 'STANDARD STEEL'), false) AS sh FROM k),
+r AS (SELECT user_id, count(*) AS attempts, round(coalesce(avg(CASE WHEN score > 0 THEN score END), 0), 1) AS avg_score, count(*) FILTER (is_starred) AS starred, count(*) FILTER ((created_at + INTERVAL 9 HOURS)::DATE = (TIMESTAMP '{NOW}' + INTERVAL 9 HOURS)::DATE) AS today FROM records_v GROUP BY 1),
+u AS (SELECT user_id FROM r UNION SELECT user_id FROM s WHERE NOT sh)
+SELECT user_id, coalesce(attempts, 0) AS attempts, coalesce(avg_score, 0) AS avg_score, coalesce(starred, 0) AS starred, coalesce(today, 0) AS today, (SELECT count(*) FROM s WHERE s.sh OR s.user_id = u.user_id) AS total_cards FROM u LEFT JOIN r USING (user_id)""")
+def _(v):
+    cards = v("cards_v").withColumn("user_id", c("id") % 40)
+    return rel.study_stats(v("records_v"), NOW, cards, shared=("ECONOMY BRASS", "STANDARD STEEL"))
+
+
+@query("a9_id_lists", """WITH g AS (SELECT l_orderkey AS group_id, round(sum(p_retailprice / 100), 4) AS seconds, arg_min(p_name, pos) AS name FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT *, CASE WHEN seconds < 30 THEN 'reject' WHEN seconds < 120 THEN 'warn' ELSE 'ok' END AS verdict FROM g""")
+def _(v):
+    one = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    lists = v("lineitem").groupBy("l_orderkey").agg(F.concat(lit(" ,"), F.array_join(F.transform(one, lambda x: x["l_partkey"].cast("string")), " , "), lit(",,")).alias("ids"))
+    voices = v("part").select(c("p_partkey").alias("voice_id"), c("p_name").alias("name"), (c("p_retailprice") / 100).alias("duration"))
+    return rel.training_eligibility(rel.chosen_voices(lists, "l_orderkey", "ids"), voices).withColumn("seconds", F.round("seconds", 4))
+
+
+@query("w10_totals", "SELECT l_orderkey, round(sum(l_quantity) + 0.2 * (count(*) - 1), 6) AS total, round(sum(l_quantity) + 0.15 * count(*), 6) AS with_tail FROM lineitem GROUP BY 1")
+def _(v):
+    parts, clause = _parts(v), seq.timeline_totals(_parts(v), "l_orderkey", 0.15, True).withColumnRenamed("total", "with_tail")
+    both = seq.timeline_totals(parts, "l_orderkey", 0.2).join(clause, "l_orderkey")
+    return both.select("l_orderkey", F.round("total", 6).alias("total"), F.round("with_tail", 6).alias("with_tail"))
+
+
+@query("w11_numbering", f"""WITH {_SEGS}, h AS (SELECT speaker, i, 0 AS half, start, CASE WHEN i % 2 = 0 AND "end" > start THEN (start + "end") / 2 ELSE "end" END AS "end" FROM sg UNION ALL SELECT speaker, i, 1, (start + "end") / 2, "end" FROM sg WHERE i % 2 = 0 AND "end" > start)
+SELECT speaker, (row_number() OVER (PARTITION BY speaker ORDER BY i, half) - 1)::INT AS index, round(start, 6) AS start, round("end", 6) AS "end" FROM h""")
+def _(v):
+    s = v("segments_v").withColumn("i", F.row_number().over(Window.partitionBy("speaker").orderBy("start", "event_id"))).select("speaker", "i", "start", "end")
+    cuts = s.filter("i % 2 = 0").select("speaker", "i", ((c("start") + c("end")) / 2).alias("cut"))
+    return seq.split_item(s, cuts, "speaker", "i").select("speaker", c("index").cast("int").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("m3_voices", """WITH d AS (SELECT voice_id, arg_max(id % 3 = 0, id) AS ok FROM reviews_v WHERE status = 'pending' AND id % 3 < 2 GROUP BY 1)
+SELECT v.id, v.name, CASE WHEN ok IS NULL THEN 'review' WHEN ok THEN 'published' ELSE 'active' END AS status, CASE WHEN ok THEN 1 ELSE 0 END AS can_generate FROM voices_v v LEFT JOIN d ON d.voice_id = v.id""")
+def _(v):
+    r = v("reviews_v").withColumns({"reviewed_by": lit(None).cast("long"), "review_note": lit(None).cast("string"), "reviewed_at": lit(None).cast("timestamp_ntz")})
+    d = r.filter("status = 'pending' and id % 3 < 2").select(c("id").alias("review_id"), (c("id") % 3 == 0).alias("approve"), lit(1).cast("long").alias("reviewer"), lit("ok").alias("note"), F.to_timestamp_ntz(lit(NOW)).alias("at"))
+    voices = v("voices_v").withColumns({"status": lit("review"), "can_generate": lit(0)})
+    return mt.apply_decisions(voices, r, d)[0].select("id", "name", "status", "can_generate")
+
+
+@query("m9_folder_table", "SELECT id::INT AS id, name, owner_id FROM folders_v UNION ALL SELECT (id + 100)::INT, name, owner_id FROM folders_v")
+def _(v):
+    new = v("folders_v").withColumn("id", (c("id") + 100).cast("int"))
+    return mt.create_folders(v("folders_v"), v("members_v"), new)[0].select("id", "name", "owner_id")
+
+
+@query("t26_section_lines", r"""WITH l AS (SELECT pdf, max(page) AS last_page FROM lines_v GROUP BY 1), s AS (SELECT pdf, last_page, unnest(range(0, last_page // 100 + 1)) AS section FROM l),
+n AS (SELECT pdf, page, line_no, trim(line, ' ') AS line FROM lines_v)
+SELECT pdf, section, page, line_no::INT AS line_no, md5(line) AS line, 151::BIGINT AS page_count FROM n JOIN s USING (pdf) WHERE page BETWEEN section * 100 AND least(section * 100 + 150, last_page) AND length(line) >= 3 AND NOT regexp_matches(line, '^\d+$') AND NOT contains(line, 'License')""")
+def _(v):
+    last = v("lines_v").groupBy("pdf").agg(F.max("page").alias("last_page"))
+    sections = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), F.floor(c("last_page") / 100))).alias("section"))
+    sections = sections.withColumns({"start_page": c("section") * 100, "end_page": c("section") * 100 + 150})
+    return rel.section_lines(v("lines_v"), sections, 3, ("License",)).select("pdf", "section", "page", "line_no", F.md5("line").alias("line"), "page_count")
+
+
+@query("n7_repeat_scores", f"""WITH {_PIECES.format(heard="p_brand || upper(p_brand) || p_name")},
+k AS (SELECT *, length(t)::INT AS n, length(piece)::INT AS m, list_filter(range(1, least(length(t), length(piece)) + 1), lambda i: lower(t[i]) = lower(piece[i])).len() AS p, list_filter(range(1, least(length(t), length(piece)) + 1), lambda i: t[i] = piece[i]).len() AS q FROM pc),
+x AS (SELECT *, trunc(p / n::DOUBLE * 100)::INT AS pron, trunc(q / n::DOUBLE * 100)::INT AS tone FROM k)
+SELECT p_partkey, index::INT AS index, piece AS text, pron, tone, greatest(0, trunc(pron * 0.5 + tone * 0.5)::INT - least(20, 5 * abs(n - m)))::INT AS score FROM x""")
+def _(v):
+    heard = F.concat("p_brand", F.upper("p_brand"), "p_name")
+    return v("part").select("p_partkey", F.explode(scoring.score_repeats(c("p_brand"), heard, F.lower)).alias("s")).select("p_partkey", "s.*")
+
+
+@query("g7_diarized")
+def _(v):
+    e = v("embeddings").withColumn("recording", F.floor(c("vec_id") / 64)).join(v("segments_v"), c("vec_id") == c("event_id"))
+    return sig.diarized_report(e.select("recording", "vec_id", "embedding", "start", "end", "energy"), "recording", "vec_id", "embedding")
+
+
+def _terms(v):
+    """Words of the part names as terms, their brand as gloss."""
+    return v("part").select(F.explode(F.split("p_name", " ")).alias("term"), c("p_brand").alias("gloss")).filter("term <> ''")
+
+
+@query("j8_gloss_pieces")
+def _(v):
+    return rel.gloss(v("part").select("p_partkey", "p_name"), "p_name", _terms(v), "a-z").select("p_partkey", "gloss")
+
+
+@query("t11_dictionary")
+def _(v):
+    df = text.known_pieces(v("part").select("p_partkey", "p_name"), "p_name", text.characters, 6, _terms(v))
+    return df.select("p_partkey", text.segment_chars(c("p_name"), c("_known")).alias("segmented"))
+
+
+@query("t10_dictionary")
+def _(v):
+    """Words with an accent of one turn, toned or not, replaced by their language-free form."""
+    df = v("documents").select("doc_id", F.translate("text", "áéíóú", "áéíóǔ").alias("text"))
+    words = df.select(F.explode(text.tokens(c("text"))).alias("term")).distinct().select("term", plain(c("term")).alias("gloss"))
+    df = text.known_pieces(df, "text", text.tokens, 4, words)
+    return df.select("doc_id", text.segment_tokens(c("text"), c("_known"), F.create_map().cast("map<string,string>")).alias("segmented"))
+
+
+def _written(name: str, sql: str):
+    """Registers a query that writes to a new shared folder and reads it back: a function of (spark, view, path)."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, d: f(spark, lambda n: view(spark, d, n), d, src.new_folder(spark, name))
+        SQL[name] = with_views(sql)
+        return f
+
+    return put
+
+
+@_written("s4_sections", "SELECT n_name AS pdf, n_name AS title, n_regionkey::BIGINT AS week, n_nationkey::BIGINT AS start_page, (n_nationkey + 9)::BIGINT AS end_page FROM nation")
+def _(spark, v, d, path):
+    one = F.struct(c("n_name").alias("pdf"), c("n_name").alias("title"), c("n_regionkey").alias("week"), c("n_nationkey").alias("start_page"), (c("n_nationkey") + 9).alias("end_page"))
+    v("nation").agg(F.to_json(F.collect_list(one)).alias("value")).write.text(path)  # an index of sections is a small file
+    return src.read_sections(spark, path).select("pdf", "title", "week", "start_page", "end_page")
+
+
+@_written("s5_dictionary", "SELECT '' AS part, n_name AS term, n_regionkey::VARCHAR AS gloss FROM nation UNION ALL SELECT 'syllable', r_name, r_regionkey::VARCHAR FROM region")
+def _(spark, v, d, path):
+    pairs = lambda df, k, x: df.agg(F.map_from_entries(F.collect_list(F.struct(c(k), c(x).cast("string")))).alias("m"))
+    pairs(v("nation"), "n_name", "n_regionkey").select(F.to_json("m").alias("value")).write.text(f"{path}/flat")
+    pairs(v("region"), "r_name", "r_regionkey").select(F.to_json(F.create_map(lit("syllable"), "m")).alias("value")).write.text(f"{path}/nested")
+    return src.read_dictionary(spark, f"{path}/flat").unionByName(src.read_dictionary(spark, f"{path}/nested"))
+
+
+@_written("s6_by_day", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day FROM orders")
+def _(spark, v, d, path):
+    src.write_by_day(v("orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate")
+    return spark.read.schema("o_orderkey bigint, o_orderdate timestamp_ntz, day string").parquet(path).select("o_orderkey", "day")
+
+
+@_written("s7_log", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT user_id, -count(*) FROM events GROUP BY 1")
+def _(spark, v, d, path):
+    n = v("events").groupBy("user_id").agg(F.count("*").alias("n"))
+    src.append_log(n, path)
+    src.append_log(n.withColumn("n", -c("n")), path)
+    return spark.read.schema("user_id bigint, n bigint").json(path)
+
+
+def _stream(spark, d, name):
+    """A table's file as a stream, some files a batch."""
+    path = f"{d}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path[:-1] + "[t]")
+
+
+def _ran(stream, path: str) -> None:
+    stream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start().awaitTermination()
+
+
+@_written("r1_running_feedback", "SELECT checkpoint_id, avg(score) AS avg_score, count(*) AS n FROM feedback_v WHERE checkpoint_id <> 0 GROUP BY 1")
+def _(spark, v, d, path):
+    e = _stream(spark, d, "events").select(F.get_json_object("props", "$.k").cast("int").alias("checkpoint_id"), F.when(c("event_type") == "error", -1).otherwise(1).alias("score"))
+    _ran(running.running_feedback(e).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")), path)
+    return spark.read.parquet(f"{path}/out")
+
+
+@_written("r2_running_days", "SELECT user_id, (created_at + INTERVAL 9 HOURS)::DATE AS day, count(*) AS n, round(avg(score), 1) AS avg_score, max(score) AS max_score FROM records_v GROUP BY 1, 2")
+def _(spark, v, d, path):
+    r = _stream(spark, d, "events").select("user_id", F.floor("value").cast("int").alias("score"), c("ts").alias("created_at"))
+    _ran(running.running_days(r, "3650 days").writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")), path)
+    return spark.read.parquet(f"{path}/out")
+
+
+@_written("r3_upserts", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def _(spark, v, d, path):
+    _ran(running.upsert_sink(_stream(spark, d, "events").select("user_id", "event_type", "event_id"), f"{path}/table", ["user_id"], "event_id"), path)
+    return running.read_versions(spark, f"{path}/table").select("user_id", "event_type", "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,8 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_day(df: DataFrame, path: str, ts: str) -> None:
-    df.withColumn("day", F.date_format(ts, "yyyyMMdd")).write.mode("append").partitionBy("day").parquet(path)
+    """A folder for each day; rows of a day go to few tasks first, large days to several, so that there are few files."""
+    df.withColumn("day", F.date_format(ts, "yyyyMMdd")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -64,6 +67,21 @@ def train_eval_split(df: DataFrame, key: str, duration: str, eval_frac: float =
     return df.filter("part = 'train'").drop("part"), df.filter("part = 'eval'").drop("part"), total
 
 
+def write_manifest(df: DataFrame, path: str, key: str, duration: str, eval_frac: float = 0.15) -> dict:
+    """Writes the two parts as CSV with a head; their folders, and the total duration."""
+    train, test, total = train_eval_split(df, key, duration, eval_frac)
+    out = {"train_csv": f"{path}/train", "eval_csv": f"{path}/eval", "total_duration": total}
+    train.write.csv(out["train_csv"], header=True)
+    test.write.csv(out["eval_csv"], header=True)
+    return out
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all machines share (spark.checkpoint.dir, else the warehouse)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def render_srt(cues: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One subtitle text a document from cues (doc, i, start_code, end_code, text): number, times, text, blank line."""
     cue = F.concat_ws("\n", (F.col("i") + 1).cast("string"), F.concat_ws(" --> ", "start_code", "end_code"), "text", F.lit(""))

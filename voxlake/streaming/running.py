@@ -22,28 +22,60 @@ def running_days(records: DataFrame, late: str = "2 days") -> DataFrame:
     return df.select("user_id", F.to_date(F.col("window.start") + F.expr("INTERVAL 9 HOURS")).alias("day"), "n", "avg_score", "max_score")
 
 
-def upsert_sink(changes: DataFrame, path: str, keys: list[str], order: str) -> DataStreamWriter:
+def upsert_sink(changes: DataFrame, path: str, keys: list[str], order: str, buckets: int = 32) -> DataStreamWriter:
     """Keeps the last change of each key in a table under `path`; a batch that is played again changes nothing.
 
-    Each batch writes a new version of the table beside the old one, named by the batch.
+    Rows are dealt to `buckets` by their key. A batch writes the buckets that it touches, as a version named by the batch; the
+    others stay as they are. Spark marks a version as done when all of it is written, and only such are read.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = read_versions(spark, path, number)
-        base = old if old is not None else batch.limit(0)
-        cols = [c for c in batch.columns if c not in keys]
-        upsert(base.select(*batch.columns), batch, keys, cols, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+        if touched:
+            old = read_versions(batch.sparkSession, path, number, touched)
+            base = batch.limit(0) if old is None else old
+            cols = [c for c in batch.columns if c not in keys]
+            new = upsert(base.select(*batch.columns), batch, keys, cols, order)
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+            _drop_old(batch.sparkSession, path, number)
+        batch.unpersist()
 
     return changes.writeStream.foreachBatch(put)
 
 
-def read_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version (before a batch), or None."""
+def _folders(spark: SparkSession, path: str, prefix: str):
+    """The Hadoop file system, and the folders `prefix=number` under a path by number."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    paths = {s.getPath().getName(): s.getPath() for s in found}
+    return fs, {int(n.split("=")[1]): p for n, p in paths.items() if n.startswith(f"{prefix}=")}
+
+
+def _versions(spark: SparkSession, path: str, before: int | None) -> dict[int, list[int]]:
+    """For each bucket the finished versions that hold it, newest first."""
+    fs, versions = _folders(spark, path, "version")
+    out: dict[int, list[int]] = {}
+    for v in sorted(versions, reverse=True):
+        if (before is None or v < before) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(versions[v], "_SUCCESS")):
+            for b in _folders(spark, versions[v].toString(), "bucket")[1]:
+                out.setdefault(b, []).append(v)
+    return out
+
+
+def _drop_old(spark: SparkSession, path: str, number: int) -> None:
+    """Deletes buckets that two newer versions replace: the one before the last serves a batch that is played again."""
+    for b, versions in _versions(spark, path, number + 1).items():
+        for v in versions[2:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/bucket={b}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_versions(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest finished version of each bucket (before a batch; of some buckets), with its column `bucket`, or None."""
+    newest = {b: v[0] for b, v in _versions(spark, path, before).items() if buckets is None or b in buckets}
+    if not newest:
         return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("version=")]
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={max(found)}") if found else None
+    parts = [f"{path}/version={v}/bucket={b}" for b, v in sorted(newest.items())]
+    return spark.read.option("basePath", path).parquet(*parts).drop("version")
