@@ -978,10 +978,10 @@ def _(spark, v, d, path):
     return src.read_dictionary(spark, f"{path}/flat").unionByName(src.read_dictionary(spark, f"{path}/nested"))
 
 
-@_written("s6_by_day", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day FROM orders")
+@_written("s6_by_day", "SELECT event_id, strftime(ts, '%Y%m%d') AS day FROM events")
 def _(spark, v, d, path):
-    src.write_by_day(v("orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate")
-    return spark.read.schema("o_orderkey bigint, o_orderdate timestamp_ntz, day string").parquet(path).select("o_orderkey", "day")
+    src.write_by_day(v("events").select("event_id", "ts"), path, "ts")
+    return spark.read.schema("event_id bigint, ts timestamp_ntz, day string").parquet(path).select("event_id", "day")
 
 
 @_written("s7_log", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT user_id, -count(*) FROM events GROUP BY 1")
