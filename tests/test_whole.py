@@ -1,4 +1,4 @@
-"""Queries whose SQL stops at a part of their input, or that have none, against plain versions over the whole of it."""
+"""Queries over whole texts and files, and ways that differ from the SQL, against plain versions."""
 
 import random
 
@@ -39,8 +39,10 @@ def test_alignment_of_whole_texts(spark, tmp_path):
 
     pairs = {i: (a, b, status(a, b)) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
     run = lambda name: {r["doc_id"]: tuple(r)[1:] for r in QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("n1_status_whole") == {i: (",".join(s),) for i, (_, _, s) in pairs.items()}
-    assert run("n2_score_whole") == {i: score(*p) for i, p in pairs.items()}
+    for name in ("n1_status", "n1_status_whole"):
+        assert run(name) == {i: (",".join(s),) for i, (_, _, s) in pairs.items()}
+    for name in ("n2_score", "n2_score_whole"):
+        assert run(name) == {i: score(*p) for i, p in pairs.items()}
     got = run("n3_feedback")
     assert got[0] == ("excellent tone: ó",) and got[1] == ("good wrong: can",) and len(got) == 6
 
@@ -50,8 +52,9 @@ def test_sections_reach_the_last_page(spark, tmp_path):
     spark.createDataFrame([(p, pdf, "x\ny") for p, pdf in pages], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     last = {pdf: max(p for p, x in pages if x == pdf) for _, pdf in pages}
     want = sorted((pdf, p, k, p - 100 * k) for p, pdf in pages for k in range(last[pdf] // 100 + 1) if 100 * k <= p <= min(100 * k + 150, last[pdf]))
-    got = QUERIES["j7_sections_whole"](spark, str(tmp_path)).select("pdf", "page", "section", "page_index").collect()
-    assert sorted(tuple(r) for r in got) == want and max(r["page"] for r in got) > 1200
+    for name in ("j7_sections", "j7_sections_whole"):
+        got = QUERIES[name](spark, str(tmp_path)).select("pdf", "page", "section", "page_index").collect()
+        assert sorted(tuple(r) for r in got) == want and max(r["page"] for r in got) > 1200
 
 
 def test_sections_by_buckets(spark):
@@ -146,3 +149,12 @@ def test_upserts_played_again(spark, tmp_path):
     assert {r["k"]: r["x"] for r in running.read_versions(spark, path).collect()} == state
     before = running.read_versions(spark, path, 3)
     assert before.count() and before.agg(F.max("at")).first()[0] == 2
+
+
+def test_scopes_and_pairs_agree(spark):
+    rows = spark.createDataFrame([(i, i % 4 if i else None, str(i)) for i in range(9)], "id long, voice_id long, text string")
+    viewers = spark.createDataFrame([(0, 11), (1, 10), (2, 200), (3, None), (3, 50), (9, 3)], "id long, level int")
+    pairs = {tuple(r) for r in relational.owner_scope(rows, viewers, "voice_id").select("viewer_id", "id").collect()}
+    found = relational.scopes(rows, viewers, "voice_id").select("viewer_id", "sees_all", "id").collect()
+    assert {(v, i) for v, every, x in found for i in (range(9) if every else [x])} == pairs
+    assert sum(r["sees_all"] for r in found) == 2

@@ -83,9 +83,9 @@ def _(v):
 # filters
 
 
-@query("p1_owner_scope", "SELECT v.id AS viewer_id, r.id AS id FROM users_v v JOIN results_v r ON v.level <= 10 OR r.voice_id = v.id WHERE v.home = 3")
+@query("p1_owner_scope", "SELECT v.id AS viewer_id, false AS sees_all, r.id AS id FROM users_v v JOIN results_v r ON r.voice_id = v.id WHERE v.level > 10 UNION ALL SELECT id, true, NULL FROM users_v WHERE level <= 10")
 def _(v):
-    return rel.owner_scope(v("results_v"), v("users_v").filter("home = 3"), "voice_id").select("viewer_id", "id")
+    return rel.scopes(v("results_v"), v("users_v"), "voice_id").select("viewer_id", "sees_all", "id")
 
 
 @query("p2_visible_cards", "SELECT id FROM cards_v WHERE class_num = 1 OR coalesce(category IN ('ECONOMY BRASS', 'STANDARD STEEL'), false)")
@@ -216,25 +216,22 @@ def _(v):
     return rel.mentions(v("documents").select(c("doc_id").alias("page_id"), "text"), v("benchmark").select(c("item_id").alias("card_id"), "text"))
 
 
-def _sections(v, top):
-    """Sections of 150 pages, 100 apart, up to number `top` of a file's last page."""
+_SECTIONS = """WITH p AS (SELECT DISTINCT pdf, page FROM lines_v), l AS (SELECT pdf, max(page) AS last_page FROM p GROUP BY pdf),
+s AS (SELECT pdf, last_page, unnest(range(0, last_page // 100 + 1)) AS k FROM l)
+SELECT p.pdf, p.page, s.k AS section, p.page - s.k * 100 AS page_index FROM p JOIN s ON p.pdf = s.pdf AND p.page BETWEEN s.k * 100 AND least(s.k * 100 + 150, last_page)"""
+
+
+@query("j7_sections", _SECTIONS)
+@query("j7_sections_whole", _SECTIONS)
+def _(v):
+    """Sections of 150 pages, 100 apart, up to each file's last page."""
     pages = v("lines_v").select("pdf", "page").distinct()
     last = pages.groupBy("pdf").agg(F.max("page").alias("last_page"))
-    sections = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), top(c("last_page")).cast("long"))).alias("section"))
+    sections = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), F.floor(c("last_page") / 100).cast("long"))).alias("section"))
     sections = sections.withColumns({"start_page": c("section") * 100, "end_page": c("section") * 100 + 150})
     return rel.pages_in_sections(pages, sections, last).select("pdf", "page", "section", "page_index")
 
 
-@query("j7_sections", "WITH l AS (SELECT pdf, max(page) AS last_page FROM lines_v GROUP BY pdf) SELECT p.pdf, p.page, s.k AS section, p.page - s.k * 100 AS page_index FROM (SELECT DISTINCT pdf, page FROM lines_v) p JOIN (SELECT pdf, unnest(range(0, 5)) AS k FROM l) s USING (pdf) JOIN l USING (pdf) WHERE p.page BETWEEN s.k * 100 AND least(s.k * 100 + 150, last_page)")
-def _(v):
-    return _sections(v, lambda last: lit(4))  # the SQL ends there too
-
-
-@query("j7_sections_whole")
-def _(v):
-    return _sections(v, lambda last: F.floor(last / 100))
-
-
 @query("j8_gloss", "SELECT p.p_partkey, b.gloss FROM part p LEFT JOIN (SELECT p_name, min(p_brand) AS gloss FROM part WHERE p_size < 25 GROUP BY 1) b USING (p_name)")
 def _(v):
     d = v("part").filter("p_size < 25").groupBy("p_name").agg(F.min("p_brand").alias("gloss"))
@@ -591,9 +588,9 @@ def _(v):
     return v("lines_v").select("page", "line_no", text.extract_terms(c("line"), cls, "a-zA-Z").alias("t")).filter("t is not null").select("page", "line_no", "t.term")
 
 
-@query("t19_notes", "WITH w AS (SELECT doc_id, substr(lang || source, 1, 8) AS a, substr(source || lang, 1, 8) AS b FROM documents), n AS (SELECT doc_id, list_filter(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN a[i] || ': ' || a[i] || '→' || b[i] END), lambda s: s IS NOT NULL) AS l FROM w) SELECT doc_id, array_to_string(l[1:3], ' | ') AS note FROM n")
+@query("t19_notes", "WITH w AS (SELECT doc_id, lang || source AS a, source || lang AS b FROM documents), n AS (SELECT doc_id, list_filter(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN a[i] || ': ' || a[i] || '→' || b[i] END), lambda s: s IS NOT NULL) AS l FROM w) SELECT doc_id, array_to_string(l[1:3], ' | ') AS note FROM n")
 def _(v):
-    w = v("documents").select("doc_id", F.substring(F.concat("lang", "source"), 1, 8).alias("a"), F.substring(F.concat("source", "lang"), 1, 8).alias("b"))
+    w = v("documents").select("doc_id", F.concat("lang", "source").alias("a"), F.concat("source", "lang").alias("b"))
     return w.select("doc_id", text.reading_notes(c("a"), text.characters(c("a")), text.characters(c("b"))).alias("note"))
 
 
@@ -639,28 +636,28 @@ def _(v):
     return v("events").select("event_id", text.parse_or_empty(c("props"))["k"].alias("k"))
 
 
-# scoring: each document's source and lang against those of the next one, accents as tones
+# scoring: each document's whole text against that of the next one of its language, accents as tones
 
-_PAIRS = "pr AS (SELECT doc_id, substr(text, 1, 12) AS a, substr(lead(text) OVER (PARTITION BY lang ORDER BY doc_id), 1, 10) AS b FROM documents)"
-_ST = f"""{_PAIRS}, st AS (SELECT doc_id, a, b, list_transform(range(1, greatest(length(a), length(b)) + 1), lambda i: CASE WHEN i > length(b) THEN 'missing' WHEN i > length(a) THEN 'extra' WHEN a[i] = b[i] THEN 'perfect'
-  WHEN translate(a[i], '{ACCENTS}', '{PLAIN}') = translate(b[i], '{ACCENTS}', '{PLAIN}') THEN 'tone_wrong' ELSE 'wrong' END) AS s FROM pr WHERE b IS NOT NULL)"""
+_CHARS = "regexp_extract_all({}, '(?s).')"
+_PLAIN = f"translate({{}}, '{ACCENTS}', '{PLAIN}')"
+_LISTS = ", ".join(_CHARS.format(x) for x in ("a", "b", _PLAIN.format("a"), _PLAIN.format("b")))
+_ST = f"""pr AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents),
+st AS (SELECT doc_id, a, b, CASE WHEN a IS NOT NULL THEN list_transform(list_zip({_LISTS}),
+  lambda x: CASE WHEN x[2] IS NULL THEN 'missing' WHEN x[1] IS NULL THEN 'extra' WHEN x[1] = x[2] THEN 'perfect' WHEN x[3] = x[4] THEN 'tone_wrong' ELSE 'wrong' END) END AS s FROM pr WHERE b IS NOT NULL)"""
 
 
-def _status(v, whole: bool = True):
-    """Statuses of whole texts; else of the first 12 characters against 10, which the SQL of n1_status and n2_score compares."""
-    cut = lambda x, n: c(x) if whole else F.substring(x, 1, n)
-    p = v("documents").select("doc_id", "lang", cut("text", 12).alias("a"), cut("text", 10).alias("heard"))
-    p = seq.following(p, "lang", "doc_id", "heard").select("doc_id", "a", c("next").alias("b")).filter("b is not null")
+def _status(v):
+    p = seq.following(v("documents").select("doc_id", "lang", c("text").alias("a")), "lang", "doc_id", "a")
+    p = p.select("doc_id", "a", c("next").alias("b")).filter("b is not null")
     ch = text.characters
     return p.withColumn("s", scoring.align_status(ch(plain(c("a"))), ch(c("a")), ch(plain(c("b"))), ch(c("b"))))
 
 
-@query("n1_status", f"WITH {_ST} SELECT doc_id, array_to_string(s, ',') AS s FROM st")
-def _(v):
-    return _status(v, False).select("doc_id", F.array_join("s", ",").alias("s"))
+_N1 = f"WITH {_ST} SELECT doc_id, array_to_string(s, ',') AS s FROM st"
 
 
-@query("n1_status_whole")
+@query("n1_status", _N1)
+@query("n1_status_whole", _N1)
 def _(v):
     return _status(v).select("doc_id", F.array_join("s", ",").alias("s"))
 
@@ -668,14 +665,11 @@ def _(v):
 _SC = f"""{_ST}, sc AS (SELECT *, CASE WHEN length(a) > 0 THEN trunc(len(list_filter(s, lambda x: x IN ('perfect', 'tone_wrong'))) / length(a)::DOUBLE * 100) ELSE 0 END::INT AS pron,
   CASE WHEN length(a) > 0 THEN trunc(len(list_filter(s, lambda x: x = 'perfect')) / length(a)::DOUBLE * 100) ELSE 0 END::INT AS tone FROM st),
 sx AS (SELECT *, CASE WHEN length(b) = 0 THEN 0 ELSE greatest(0, trunc(pron * 0.5 + tone * 0.5)::INT - least(20, 5 * abs(length(a) - length(b)))) END::INT AS score FROM sc)"""
+_N2 = f"WITH {_SC} SELECT doc_id, pron, tone, score FROM sx"
 
 
-@query("n2_score", f"WITH {_SC} SELECT doc_id, pron, tone, score FROM sx")
-def _(v):
-    return _status(v, False).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
-
-
-@query("n2_score_whole")
+@query("n2_score", _N2)
+@query("n2_score_whole", _N2)
 def _(v):
     return _status(v).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
 
@@ -847,8 +841,11 @@ def _(v):
 
 @query("p1_all_viewers", "SELECT v.id AS viewer_id, count(*) AS n, sum(r.id)::BIGINT AS ids FROM users_v v JOIN results_v r ON v.level <= 10 OR r.voice_id = v.id GROUP BY 1")
 def _(v):
-    df = rel.owner_scope(v("results_v"), v("users_v"), "voice_id")
-    return df.groupBy("viewer_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    totals = lambda df: df.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    seen = rel.scopes(v("results_v"), v("users_v"), "voice_id")
+    own = totals(seen.filter("not sees_all").groupBy("viewer_id"))
+    whole = seen.filter("sees_all").select("viewer_id").crossJoin(totals(v("results_v")).filter("n > 0"))  # one row
+    return own.unionByName(whole)
 
 
 _OWNED = "SELECT id, id % 40 AS user_id, category, chinese, subject FROM cards_v"
