@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxlake.llm import html_text, language_id, licenses, near_dups, packing, piece_sampling, quality_model, quality_rules, queries, topk, warc
-from voxlake.llm.common import join_hot, new_folder
+from voxlake.llm.common import Scratch, join_hot, new_folder
 
 MODEL = queries.PIECE_MODEL
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string, n long"
@@ -288,6 +289,29 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert [tuple(r) for r in near_dups.keep_one(two.coalesce(1)).collect()] == [tuple(r) for r in near_dups.keep_one(two.repartition(4)).collect()] == [(1, *min((hashlib.md5(t.encode()).hexdigest(), t, k) for t, k in (("a text of its own", "p"), ("another text", "a")))[1:])]
 
 
+def test_components_of_any_graph(spark):
+    rng = random.Random(7)
+    graphs = [[(i, i + 1) for i in range(40)], [(i, 0) for i in range(1, 30)] + [(i, 99) for i in range(20, 60)], [(5, 5), (7, 6), (6, 7), (7, 6)], []]
+    graphs += [[(rng.randrange(120), rng.randrange(120)) for _ in range(n)] for n in (30, 70, 150)]
+    edges, root = [], {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for g, graph in enumerate(graphs):
+        for a, b in ((a + 1000 * g, b + 1000 * g) for a, b in graph):
+            edges.append((a, b))
+            if a != b:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted((x, find(x)) for x in {x for e in edges if e[0] != e[1] for x in e})
+    scratch = Scratch(spark, "components")
+    got = near_dups.components(spark.createDataFrame(edges, "a long, b long"), scratch)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert near_dups.components(got.limit(0).toDF("a", "b"), scratch).count() == 0
+
+
 @pytest.mark.parametrize("size", [240, 24_000])  # the second far over the rows of the tables
 def test_consistent_sampling_follows_similarity(size):
     rng = np.random.default_rng(5)

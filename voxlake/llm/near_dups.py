@@ -375,7 +375,7 @@ def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
 
 
 def links(buckets: DataFrame, docs: DataFrame, shared, least: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of similarity `least` or more that join all texts which such links among bucket members join; `buckets` has key, id and digest."""
+    """Edges (a, b) that join all texts which links of similarity `least` or more among bucket members join; `buckets` has key, id and digest."""
     pool, texts = sketched(buckets, docs, shared, scratch)
     pool = scratch.table(pool, "marked")
     of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -387,7 +387,8 @@ def links(buckets: DataFrame, docs: DataFrame, shared, least: float, scratch: Sc
     found = verified(agreeing(blocks, least, False).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
 
     # the rest: between the group of a bucket's smallest root and the others (side 0 against 1), and among the others (side 2, or blocks of them)
-    pool = pool.join(components(found, scratch).withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
+    groups = components(found, scratch)
+    pool = pool.join(groups.withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
     sizes = pool.groupBy("key").agg(F.min("root").alias("main")).join(pool.select("key", "root"), "key")
     sizes = sizes.groupBy("key", "main").agg(F.count_if(F.col("root") == F.col("main")).alias("mains"), F.count_if(F.col("root") != F.col("main")).alias("others"))
     pool = pool.join(sizes.filter("others > 0"), "key")
@@ -399,28 +400,27 @@ def links(buckets: DataFrame, docs: DataFrame, shared, least: float, scratch: Sc
     at = F.explode(F.when(F.col("root") == F.col("main"), main_blocks).otherwise(F.concat(to_mains, to_others))).alias("at")
     blocks = pool.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
     more = verified(agreeing(blocks, least, True).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
-    return found.unionByName(more)
+    return groups.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and the smallest id of its component, for every id in the edges (a, b), by large-star and small-star rounds."""
+    """id and the smallest id of its component, for every id in the edges (a, b), by large-star and small-star rounds until all are stars."""
     edges = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-
-    before = None
     while True:
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, paths = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()
+        if not paths:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # a hub's neighbours stay where they are
-        large = join_hot(both.filter("v > u"), low, "u", "n", 2 * (before or edges.agg(F.count("*")).first())[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both.filter("v > u"), low, "u", "n", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         edges = scratch.table(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
-        before = state
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
