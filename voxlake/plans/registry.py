@@ -588,6 +588,19 @@ def _(v):
     return v("lines_v").select("page", "line_no", text.extract_terms(c("line"), cls, "a-zA-Z").alias("t")).filter("t is not null").select("page", "line_no", "t.term")
 
 
+@query("t18_textbook", r"""WITH m AS (SELECT page, line_no, line, page % 2 = 0 AS spoken, regexp_extract_all(line, '[áéó]') AS han, array_to_string(regexp_extract_all(line, '[áéó]+'), '') AS term,
+  array_to_string(list_filter(regexp_extract_all(line, '[a-zA-ZüÜíúñöäß]+'), lambda w: regexp_matches(w, '[íúñöäß]')), ' ') AS syl,
+  trim(array_to_string(regexp_extract_all(regexp_replace(line, '[áéó]+', ' ', 'g'), '[A-Z]+[A-Z\s]*'), ' ')) AS rest,
+  trim(array_to_string(regexp_extract_all(line, '[A-Z]+[A-Z\s]*'), ' ')) AS said, regexp_extract_all(line, '[\[【]([^\]】]+)[\]】]', 1) AS hints FROM lines_v)
+SELECT page, line_no::INT AS line_no, CASE WHEN len(han) >= 2 THEN term WHEN len(han) > 0 THEN array_to_string(han, '') ELSE syl END AS term,
+  CASE WHEN len(han) < 2 THEN concat_ws(' ', CASE WHEN len(hints) > 0 THEN '[' || array_to_string(hints, '] [') || ']' END, CASE WHEN said <> '' OR len(hints) = 0 THEN said END)
+    WHEN syl <> '' THEN syl || CASE WHEN rest <> '' THEN ' — ' || rest ELSE '' END ELSE rest END AS gloss, CASE WHEN len(han) < 2 THEN syl END AS syllables
+FROM m WHERE len(han) >= 2 OR spoken AND length(syl) >= 2""")
+def _(v):
+    t = text.textbook_terms(c("line"), c("page") % 2 == 0, "áéó", "áéó", "íúñöäß", "A-Z")
+    return v("lines_v").select("page", "line_no", t.alias("t")).filter("t is not null").select("page", "line_no", "t.*")
+
+
 @query("t19_notes", "WITH w AS (SELECT doc_id, lang || source AS a, source || lang AS b FROM documents), n AS (SELECT doc_id, list_filter(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CASE WHEN a[i] <> b[i] THEN a[i] || ': ' || a[i] || '→' || b[i] END), lambda s: s IS NOT NULL) AS l FROM w) SELECT doc_id, array_to_string(l[1:3], ' | ') AS note FROM n")
 def _(v):
     w = v("documents").select("doc_id", F.concat("lang", "source").alias("a"), F.concat("source", "lang").alias("b"))
@@ -674,24 +687,45 @@ def _(v):
     return _status(v).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
 
 
-@query("n3_feedback")
+_PICK = "array_to_string(list_transform(list_filter(list_zip(s, " + _CHARS.format("a") + "), lambda x: x[1] IN ({})), lambda x: x[2])[1:3], '')"
+
+
+@query("n3_feedback", f"""WITH {_SC}, pk AS (SELECT *, {_PICK.format("'tone_wrong'")} AS tones, {_PICK.format("'wrong', 'missing'")} AS bad FROM sx)
+SELECT doc_id, concat_ws(' ', CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'practise' ELSE 'again' END,
+  CASE WHEN tones <> '' THEN 'tone: ' || tones END, CASE WHEN bad <> '' THEN 'wrong: ' || bad END) AS feedback FROM pk""")
 def _(v):
     s = _status(v).withColumn("r", scoring.attempt_score(c("s"), F.length("a"), F.length("b")))
     return s.select("doc_id", scoring.feedback(c("r.score"), c("s"), text.characters(c("a"))).alias("feedback"))
 
 
-@query("n4_edit_ratio")
+def _common(pairs: str) -> str:
+    """`lcs` (x, y, common) of the distinct pairs of short strings that the SQL gives, a row of the usual table at a time."""
+    cell = "list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k + 1], line[k] + (cb[k] = ca[i + 1])::INT)))"
+    return f"""xy AS (SELECT DISTINCT x, y FROM ({pairs})),
+steps AS (SELECT x, y, {_CHARS.format("x")} AS ca, {_CHARS.format("y")} AS cb, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0) AS line FROM xy
+  UNION ALL SELECT x, y, ca, cb, i + 1, list_concat([0], list_transform(range(1, len(cb) + 1), lambda j: {cell})) FROM steps WHERE i < len(ca)),
+lcs AS (SELECT x, y, line[-1] AS common, CASE WHEN length(x) + length(y) = 0 THEN 1 ELSE 2 * line[-1] / (length(x) + length(y))::DOUBLE END AS ratio FROM steps WHERE i = len(ca))"""
+
+
+@query("n4_edit_ratio", f"WITH RECURSIVE {_common('SELECT p_name AS x, p_type AS y FROM part')} SELECT p_partkey, ratio FROM part JOIN lcs ON x = p_name AND y = p_type")
 def _(v):
     return v("part").select("p_partkey", scoring.edit_ratio(c("p_name"), c("p_type")).alias("ratio"))
 
 
-@query("n5_blend")
+@query("n5_blend", f"""WITH RECURSIVE {_common("SELECT p_name AS x, p_type AS y FROM part UNION ALL SELECT p_name, p_brand FROM part")},
+b AS (SELECT p_partkey, trunc(trunc(t.ratio * 100) * 0.6::DOUBLE + trunc(r.ratio * 100) * 0.25::DOUBLE + 50 * 0.15::DOUBLE)::INT AS raw, abs(length(p_name) - length(p_type)) AS gap
+  FROM part JOIN lcs t ON t.x = p_name AND t.y = p_type JOIN lcs r ON r.x = p_name AND r.y = p_brand)
+SELECT p_partkey, CASE WHEN gap > 2 THEN greatest(0, raw - least(15, 2 * gap)) ELSE raw END::INT AS score FROM b""")
 def _(v):
     s = lambda x: (scoring.edit_ratio(c("p_name"), x) * 100).cast("int")
     return v("part").select("p_partkey", scoring.blend_score(s(c("p_type")), s(c("p_brand")), lit(50), F.abs(F.length("p_name") - F.length("p_type"))).alias("score"))
 
 
-@query("n6_word_status")
+@query("n6_word_status", f"""WITH RECURSIVE nx AS (SELECT conv_id, turn, string_split_regex(text, ' +') AS a, string_split_regex(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ' +') AS b FROM conversations),
+places AS (SELECT conv_id, turn, a, b, unnest(range(1, greatest(len(a), len(b)) + 1)) AS i FROM nx WHERE b IS NOT NULL),
+w AS (SELECT conv_id, turn, i, a[i] AS x, b[i] AS y FROM places), {_common("SELECT x, y FROM w WHERE x <> y")}
+SELECT conv_id, turn, string_agg(CASE WHEN w.y IS NULL THEN 'missing' WHEN w.x IS NULL THEN 'extra' WHEN w.x = w.y THEN 'perfect' WHEN ratio >= 0.6::DOUBLE THEN 'similar' ELSE 'wrong' END, ',' ORDER BY w.i) AS status
+FROM w LEFT JOIN lcs USING (x, y) GROUP BY 1, 2""")
 def _(v):
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     words = lambda x: F.split(x, " +")
@@ -727,7 +761,11 @@ def _(v):
     return sig.gate(v("events").withColumns({"rms": c("value"), "zcr": c("value") / 1000}), 5.0, 0.3).select("event_id")
 
 
-@query("g3_trim_tail")
+@query("g3_trim_tail", """WITH n AS (SELECT series_id, (max(idx) + 1) // 4 AS frames FROM series_v GROUP BY 1),
+f AS (SELECT series_id, frames, idx // 4 AS f, sqrt(avg(value * value)) AS e FROM series_v JOIN n USING (series_id) WHERE idx // 4 < frames GROUP BY ALL),
+t AS (SELECT series_id, avg(e) * 0.05 AS floor FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY e DESC, f) AS r FROM f) WHERE r <= greatest(1, frames // 4) GROUP BY 1),
+z AS (SELECT series_id, frames, max(f) AS f FROM f JOIN t USING (series_id) WHERE e > floor GROUP BY ALL)
+SELECT s.series_id, count(*) AS n FROM series_v s LEFT JOIN z ON z.series_id = s.series_id WHERE z.f IS NULL OR frames < 3 OR s.idx < (z.f + 1) * 4 + 8 GROUP BY 1""")
 def _(v):
     return sig.trim_tail(v("series_v"), 4, 8).groupBy("series_id").agg(F.count("*").alias("n"))
 
