@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .text import characters, let
 
 #: Longest string for which the edit ratio is taken in the plan; its cost is the product of both lengths.
 SHORT = 64
+STATUS = ["perfect", "tone_wrong", "wrong", "missing", "extra"]
 
 
 def align_status(base: Column, full: Column, heard_base: Column, heard_full: Column) -> Column:
@@ -22,21 +25,78 @@ def align_status(base: Column, full: Column, heard_base: Column, heard_full: Col
 
 
 def attempt_score(status: Column, n: Column, heard_n: Column) -> Column:
-    """Struct (pron, tone, score) of an array of statuses; the order count / n * 100 is kept, it decides what is cut off."""
+    """Struct (pron, tone, score) of an array of statuses."""
+    count = lambda *which: F.size(F.filter(status, lambda s: s.isin(*which)))
+    return score_counts(count("perfect"), count("tone_wrong"), n, heard_n)
+
+
+def score_counts(perfect: Column, tone_wrong: Column, n: Column, heard_n: Column) -> Column:
+    """Struct (pron, tone, score) of the numbers of statuses; the order count / n * 100 is kept, it decides what is cut off."""
     share = lambda c: F.when(n > 0, (c / n * 100).cast("int")).otherwise(0)
-    pron, tone = share(F.size(F.filter(status, lambda s: s.isin("perfect", "tone_wrong")))), share(F.size(F.filter(status, lambda s: s == "perfect")))
+    pron, tone = share(perfect + tone_wrong), share(perfect)
     raw = (pron * F.lit(0.5) + tone * F.lit(0.5)).cast("int") - F.least(F.lit(20), 5 * F.abs(n - heard_n))
     return F.struct(pron.alias("pron"), tone.alias("tone"), F.when(heard_n == 0, 0).otherwise(F.greatest(F.lit(0), raw)).alias("score"))
 
 
 def feedback(score: Column, status: Column, chars: Column) -> Column:
     """A band and the first three characters with a wrong tone, and wrong or missing."""
-    band = F.when(score >= 90, "excellent").when(score >= 70, "good").when(score >= 50, "practise").otherwise("again")
     pick = lambda *which: F.array_join(F.slice(F.array_compact(F.zip_with(status, chars, lambda s, c: F.when(s.isin(*which), c))), 1, 3), "")
-    tones, wrong = pick("tone_wrong"), pick("wrong", "missing")
+    return feedback_text(score, pick("tone_wrong"), pick("wrong", "missing"))
+
+
+def feedback_text(score: Column, tones: Column, wrong: Column) -> Column:
+    band = F.when(score >= 90, "excellent").when(score >= 70, "good").when(score >= 50, "practise").otherwise("again")
     return F.concat_ws(" ", band, F.when(tones != "", F.concat(F.lit("tone: "), tones)), F.when(wrong != "", F.concat(F.lit("wrong: "), wrong)))
 
 
+def _codes(target: str, heard: str, base: np.ndarray) -> np.ndarray:
+    """Positions of STATUS for each character of the longer text."""
+    a, b = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (target, heard))
+    n = min(len(a), len(b))
+    out = np.full(max(len(a), len(b)), 3 if len(a) > n else 4, np.int8)
+    out[:n] = np.where(a[:n] == b[:n], 0, np.where(base[a[:n]] == base[b[:n]], 1, 2))
+    return out
+
+
+def _base(toned: dict[str, str]) -> np.ndarray:
+    base = np.arange(0x110000, dtype=np.uint32)
+    base[[ord(c) for c in toned]] = [ord(c) for c in toned.values()]
+    return base
+
+
+def align_texts(target: Column, heard: Column, toned: dict[str, str]) -> Column:
+    """`align_status` of whole texts by character, joined by commas; `toned` takes the tones off. Null if either is null."""
+
+    @F.pandas_udf("string")
+    def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        base, names = _base(toned), np.array(STATUS, object)
+        for pairs in batches:
+            yield pd.Series([None if a is None or b is None else ",".join(names[_codes(a, b, base)]) for a, b in zip(*pairs, strict=True)], dtype=object)
+
+    return joined(target, heard)
+
+
+def compare_texts(target: Column, heard: Column, toned: dict[str, str]) -> Column:
+    """Struct (perfect, tone_wrong, tones, wrong) of `align_texts`: two numbers, and the first three characters of each kind."""
+
+    @F.pandas_udf("perfect long, tone_wrong long, tones string, wrong string")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        base = _base(toned)
+
+        def one(a: str | None, b: str | None) -> tuple:
+            if a is None or b is None:
+                return None, None, None, None
+            codes = _codes(a, b, base)
+            first = lambda at: "".join(a[i] for i in np.flatnonzero(at)[:3])
+            return int((codes == 0).sum()), int((codes == 1).sum()), first(codes == 1), first((codes == 2) | (codes == 3))
+
+        for pairs in batches:
+            rows = pd.DataFrame([one(a, b) for a, b in zip(*pairs, strict=True)], columns=["perfect", "tone_wrong", "tones", "wrong"])
+            yield rows.astype({"perfect": "Int64", "tone_wrong": "Int64"})
+
+    return compared(target, heard)
+
+
 def common_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two short strings."""
 
@@ -55,9 +115,6 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("int")
     def long_common(s, t):
-        import numpy as np
-        import pandas as pd
-
         def one(x: str, y: str) -> int:
             v = np.frombuffer(y.encode("utf-32-le"), np.uint32)
             last = np.zeros(len(v) + 1, np.int64)

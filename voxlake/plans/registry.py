@@ -24,6 +24,7 @@ c, lit = F.col, F.lit
 NOW = "2024-01-15 12:00:00"
 ACCENTS = "áàâäãéèêëíìîïóòôöõúùûüçñÁÉÍÓÚÑÜÖÄ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucnAEIOUNUOA"
+TONES_OFF = dict(zip(ACCENTS, PLAIN, strict=True))
 
 
 def query(name: str, sql: str | None = None):
@@ -614,7 +615,7 @@ def _(v):
 
 @query("t21_map_chars", f"SELECT doc_id, md5(translate(text, '{ACCENTS}', '{PLAIN}')) AS h FROM documents")
 def _(v):
-    return v("documents").select("doc_id", F.md5(text.map_chars(c("text"), dict(zip(ACCENTS, PLAIN, strict=True)))).alias("h"))
+    return v("documents").select("doc_id", F.md5(text.map_chars(c("text"), TONES_OFF)).alias("h"))
 
 
 @query("t22_names", r"WITH s AS (SELECT page_id, string_split(regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', ''), '_') AS p FROM pages) SELECT page_id, coalesce(list_filter(p, lambda x: NOT regexp_full_match(x, '[0-9a-fA-F]{6,}'))[1], p[1]) AS name FROM s")
@@ -659,11 +660,14 @@ st AS (SELECT doc_id, a, b, CASE WHEN a IS NOT NULL THEN list_transform(list_zip
   lambda x: CASE WHEN x[2] IS NULL THEN 'missing' WHEN x[1] IS NULL THEN 'extra' WHEN x[1] = x[2] THEN 'perfect' WHEN x[3] = x[4] THEN 'tone_wrong' ELSE 'wrong' END) END AS s FROM pr WHERE b IS NOT NULL)"""
 
 
-def _status(v):
+def _pairs(v):
     p = seq.following(v("documents").select("doc_id", "lang", c("text").alias("a")), "lang", "doc_id", "a")
-    p = p.select("doc_id", "a", c("next").alias("b")).filter("b is not null")
-    ch = text.characters
-    return p.withColumn("s", scoring.align_status(ch(plain(c("a"))), ch(c("a")), ch(plain(c("b"))), ch(c("b"))))
+    return p.select("doc_id", "a", c("next").alias("b")).filter("b is not null")
+
+
+def _compared(v):
+    p = _pairs(v).select("doc_id", F.length("a").alias("n"), F.length("b").alias("heard_n"), scoring.compare_texts(c("a"), c("b"), TONES_OFF).alias("x"))
+    return p.select("doc_id", "x", scoring.score_counts(c("x.perfect"), c("x.tone_wrong"), c("n"), c("heard_n")).alias("r"))
 
 
 _N1 = f"WITH {_ST} SELECT doc_id, array_to_string(s, ',') AS s FROM st"
@@ -672,7 +676,7 @@ _N1 = f"WITH {_ST} SELECT doc_id, array_to_string(s, ',') AS s FROM st"
 @query("n1_status", _N1)
 @query("n1_status_whole", _N1)
 def _(v):
-    return _status(v).select("doc_id", F.array_join("s", ",").alias("s"))
+    return _pairs(v).select("doc_id", scoring.align_texts(c("a"), c("b"), TONES_OFF).alias("s"))
 
 
 _SC = f"""{_ST}, sc AS (SELECT *, CASE WHEN length(a) > 0 THEN trunc(len(list_filter(s, lambda x: x IN ('perfect', 'tone_wrong'))) / length(a)::DOUBLE * 100) ELSE 0 END::INT AS pron,
@@ -684,7 +688,7 @@ _N2 = f"WITH {_SC} SELECT doc_id, pron, tone, score FROM sx"
 @query("n2_score", _N2)
 @query("n2_score_whole", _N2)
 def _(v):
-    return _status(v).select("doc_id", scoring.attempt_score(c("s"), F.length("a"), F.length("b")).alias("r")).select("doc_id", "r.*")
+    return _compared(v).select("doc_id", "r.*")
 
 
 _PICK = "array_to_string(list_transform(list_filter(list_zip(s, " + _CHARS.format("a") + "), lambda x: x[1] IN ({})), lambda x: x[2])[1:3], '')"
@@ -694,8 +698,7 @@ _PICK = "array_to_string(list_transform(list_filter(list_zip(s, " + _CHARS.forma
 SELECT doc_id, concat_ws(' ', CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'practise' ELSE 'again' END,
   CASE WHEN tones <> '' THEN 'tone: ' || tones END, CASE WHEN bad <> '' THEN 'wrong: ' || bad END) AS feedback FROM pk""")
 def _(v):
-    s = _status(v).withColumn("r", scoring.attempt_score(c("s"), F.length("a"), F.length("b")))
-    return s.select("doc_id", scoring.feedback(c("r.score"), c("s"), text.characters(c("a"))).alias("feedback"))
+    return _compared(v).select("doc_id", scoring.feedback_text(c("r.score"), c("x.tones"), c("x.wrong")).alias("feedback"))
 
 
 def _common(pairs: str) -> str:
