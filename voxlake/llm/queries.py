@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, licenses, merkle, near_dups, packing, piece_sampling, quality_model, quality_rules, runs, topk, warc
+from . import html_text, language_id, licenses, merkle, near_dups, packing, piece_sampling, quality_model, quality_rules, runs, suffix_dedup, topk, warc
 from .common import Scratch, fold, new_folder, table
 
 #: A public model of the tokenizers package; see README.
@@ -99,7 +99,13 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.*", milli.alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_quality_model, op4_language_id, op5_near_dups, op6_piece_sampling, op7_quality_rules, op8_licenses, op9_html_text, op10_packing, op11_merkle, op12_runs)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "suffix-dedup"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_quality_model, op4_language_id, op5_near_dups, op6_piece_sampling, op7_quality_rules, op8_licenses, op9_html_text, op10_packing, op11_merkle, op12_runs, op13_suffix_dedup)}
 
 _OP1 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -199,7 +205,8 @@ SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f AS folded
 
 _OP12 = rf"""
 WITH {_CRC},
-w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 w1 AS (SELECT w0.*, h, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w0 LEFT JOIN crc USING (doc_id)),
 w2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w1),
 w3 AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM w2),
