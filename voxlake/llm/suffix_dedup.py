@@ -255,25 +255,35 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Tables on the way lie in `scratch`, which the caller clears when the result is written.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    found = scratch.table(_candidates(docs), "found")
+    scratch.free()
+    # a piece may have a first among those sent by anchor and one among those sent by piece
+    order = Window.partitionBy("anchor", "digest").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "at")
+    first = scratch.table(found.filter("not again").withColumn("again", F.row_number().over(order) > 1), "first")
+    by_suffix = scratch.table(_by_suffix(docs, first), "by_suffix")
+    scratch.free()
+    spans = found.filter("again").unionByName(first.filter("again")).select("rid", "at", "n").unionByName(by_suffix)
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return docs.join(spans, "rid", "left").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Pieces whose anchor is repeated, `again` if an equal piece comes earlier."""
     pieces = docs.mapInArrow(_pieces, PIECE).repartition(F.col("key"))
     order = Window.partitionBy("key").orderBy("digest", F.col("doc_id").asc_nulls_first(), "rid", "at")
     piece = F.col("kind").isin(1, 2)
     before = F.lag(F.when(piece, F.col("digest"))).over(order)
     pieces = pieces.withColumn("_again", F.coalesce(before == F.col("digest"), F.lit(False)) & piece).withColumn("_rows", F.count("*").over(Window.partitionBy("key")))
     pieces = pieces.filter((F.col("kind") == 0) | (F.col("kind") == 2) | (F.col("kind") == 1) & (F.col("_rows") > 1))
-    found = scratch.table(pieces.select("anchor", "digest", "doc_id", "rid", "at", "n", "twice", ((F.col("kind") == 0) | F.col("_again")).alias("again")), "found")
-    scratch.free()
-    # a piece may have a first among those sent by anchor and one among those sent by piece
-    order = Window.partitionBy("anchor", "digest").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "at")
-    first = scratch.table(found.filter("not again").withColumn("again", F.row_number().over(order) > 1), "first")
+    return pieces.select("anchor", "digest", "doc_id", "rid", "at", "n", "twice", ((F.col("kind") == 0) | F.col("_again")).alias("again"))
+
+
+def _by_suffix(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Windows (rid, at, n) of first pieces that come earlier, by the suffix arrays of the shards."""
     # an anchor of one piece that holds it once has no more to compare
     anchors = first.filter("not again").groupBy("anchor").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice")).filter("_n > 1 or _twice")
     sent = first.filter("not again").join(anchors.select("anchor", (F.col("_n") > MANY).alias("many")), "anchor")
     sent = sent.groupBy("rid").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("pieces"))
     sliced = docs.join(sent, "rid").mapInArrow(_sliced, "key long, data binary, doc_id long, rid long, at long, n int")
     shards = sliced.repartition(F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid", "at")
-    by_suffix = scratch.table(shards.mapInArrow(_sorted, "rid long, at long, n int"), "by_suffix")
-    scratch.free()
-    spans = found.filter("again").unionByName(first.filter("again")).select("rid", "at", "n").unionByName(by_suffix)
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return docs.join(spans, "rid", "left").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return shards.mapInArrow(_sorted, "rid long, at long, n int")
