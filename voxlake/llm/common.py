@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,10 @@ class Scratch:
 
     def free(self) -> None:
         """Shuffles of jobs that are done leave the disks when the driver's JVM collects what refers to them, which may be late."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the driver's Python lets go of the JVM's objects in a thread of its own
+            gc.collect()
+            time.sleep(0.5)
+            self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -175,7 +175,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "data", "doc_id", "rid", "at", "n"])
 
 
-def repeated_starts(text: np.ndarray, n: int, starts: np.ndarray, counts: np.ndarray, memory: int = 1 << 26) -> np.ndarray:
+def repeated_starts(text: np.ndarray, n: int, starts: np.ndarray, counts: np.ndarray, memory: int = 1 << 25) -> np.ndarray:
     """Which windows equal one further left: of a text of pieces, each of bytes plus 1 and a 0, that begin at `starts` with `counts` windows."""
     marked = induced.disk_array(bool, n)
     rest = np.empty(0, np.int64)  # of a group that may go on
@@ -260,6 +260,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # a piece may have a first among those sent by anchor and one among those sent by piece
     order = Window.partitionBy("anchor", "digest").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "at")
     first = scratch.table(found.filter("not again").withColumn("again", F.row_number().over(order) > 1), "first")
+    scratch.free()
     by_suffix = scratch.table(_by_suffix(docs, first), "by_suffix")
     scratch.free()
     spans = found.filter("again").unionByName(first.filter("again")).select("rid", "at", "n").unionByName(by_suffix)
