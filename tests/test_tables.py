@@ -1,5 +1,7 @@
 import json
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +61,37 @@ def test_clusters(spark):
     assert len({got[i] for i in range(4)}) == 1 and len({got[9 + i] for i in range(4)}) == 1 and got[0] != got[9] and got[50] == "speaker 1"
 
 
+def test_clusters_of_few(spark):
+    """One vector is one speaker, two are two, ties go to the first; a large group is quick and equals merging the nearest pair each time."""
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (2, 1, [0.9, 0.1])] + [(3, i, v) for i, v in enumerate(([1.0, 0.0], [1.0, 0.0], [0.0, 1.0]))]
+    got = {(r["g"], r["k"]): r["label"] for r in signal.cluster(spark.createDataFrame(rows, "g int, k int, v array<double>"), "g", "k", "v").collect()}
+    assert got == {(1, 0): "speaker 1", (2, 0): "speaker 1", (2, 1): "speaker 2", (3, 0): "speaker 1", (3, 1): "speaker 1", (3, 2): "speaker 2"}
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    groups = [[i] for i in range(60)]
+    while len(groups) > 4:
+        gap = {(i, j): d[np.ix_(groups[i], groups[j])].mean() for i in range(len(groups)) for j in range(i)}
+        i, j = min(gap, key=gap.get)
+        groups[j] += groups.pop(i)
+    label = signal._cut(signal._dendrogram(d), 60, 4)
+    assert sorted(map(sorted, groups)) == sorted(np.flatnonzero(label == k).tolist() for k in range(4))
+    x = rng.normal(size=(2000, 8))
+    began = time.perf_counter()
+    signal._dendrogram(np.linalg.norm(x[:, None] - x[None], axis=2))
+    assert time.perf_counter() - began < 30
+
+
+def test_speaker_report(spark):
+    rows = [("b", 0.0, 50.0, 1.0), ("b", 60.0, 110.0, 1.0), ("b", 200.0, 203.0, 1.0), ("a", 0.0, 10.0, 1.0), ("a", 20.0, 24.0, 1.0), ("c", 0.0, 1.0, 1.0)]
+    for recording in (None, "rec"):
+        df = spark.createDataFrame([(*r, 1) for r in rows], "speaker string, start double, end double, energy double, rec int")
+        got = {r["speaker"]: r for r in signal.speaker_report(df, recording).collect()}
+        assert {k: (r["label"], r["segment_count"], r["total_duration"], r["tts_duration"], r["quality"]) for k, r in got.items()} == {"a": ("speaker 1", 2, 14.0, 14.0, "short"), "b": ("speaker 2", 2, 103.0, 90.0, "good"), "c": ("speaker 3", 0, 1.0, 0.0, "short")}
+        assert [tuple(s) for s in got["b"]["segments"]] == [(0.0, 50.0), (60.0, 100.0)] and [tuple(s) for s in got["a"]["segments"]] == [(0.0, 10.0), (20.0, 24.0)]
+        assert [tuple(s) for s in got["b"]["all_segments"]] == [(0.0, 50.0), (60.0, 110.0), (200.0, 203.0)] and got["c"]["segments"] == []
+
+
 def test_streams_equal_batch(spark, tmp_path):
     df = spark.createDataFrame([(1, 1), (1, -1), (2, 1)], "checkpoint_id int, score int")
     df.write.parquet(str(tmp_path / "in"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from voxlake.functions import text
+from voxlake.functions import segmentation, text
 from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
@@ -106,15 +106,17 @@ def test_dictionaries_as_tables(spark):
     texts = ["".join(rng.choice("你好中国人 x，") for _ in range(rng.randrange(0, 40))) for _ in range(80)] + [None, "", "abc", "你", next(iter(terms))]
     dictionary = spark.createDataFrame([*terms.items(), ("你好", None), (None, "x")], "term string, gloss string")
     df = spark.createDataFrame(list(enumerate(texts + texts[:3])), "id long, t string")
-    got = {r["id"]: r["gloss"] for r in relational.gloss(df, "t", dictionary).collect()}
+    by_trie, by_join = ({r["id"]: r["gloss"] for r in relational.gloss(df, "t", dictionary, bound=bound).collect()} for bound in (10**6, 0))
+    assert by_trie == by_join
+    got = by_trie
     clean = ["".join(c for c in t or "" if c not in "， ") for t in texts + texts[:3]]
     want = {i: terms.get(t) or ("; ".join(greedy(t, 6, terms, str)) if len(t) >= 2 and any("\u4e00" <= c <= "\u9fff" for c in t) else None) for i, t in enumerate(clean)}
     assert got == want
     toned = {"nǐhǎo": "你好", "hǎo": "好", "ma": "吗"}
     said = ["nǐ hǎo ma", "hǎo  ma nǐ", "no tones ma", "你 hǎo", None]
-    df = text.known_pieces(spark.createDataFrame(list(enumerate(said)), "id long, t string"), "t", text.tokens, 4, spark.createDataFrame([*toned.items()], "term string, gloss string"))
-    got = [r["s"] for r in df.orderBy("id").select(text.segment_tokens(F.col("t"), F.col("_known"), {"ma": "嘛"}).alias("s")).collect()]
-    assert got == ["你好吗", "好吗nǐ", "no tones ma", "你 hǎo", None]
+    for bound in (0, 100):
+        df = segmentation.words_of_syllables(spark.createDataFrame(list(enumerate(said)), "id long, t string"), "t", spark.createDataFrame([*toned.items()], "term string, gloss string"), "s", {"ma": "嘛"}, bound)
+        assert [r["s"] for r in df.orderBy("id").collect()] == ["你好吗", "好吗nǐ", "no tones ma", "你 hǎo", None]
     got = spark.createDataFrame([("nǐ hǎo ma 12",)], "t string").select(text.normalize_zh_ja(F.col("t"), "zh-cn", toned, {}).alias("zh"), text.normalize_zh_ja(F.col("t"), "ja", toned, {}).alias("ja")).first()
     assert tuple(got) == ("你好吗十二", "nǐ hǎo ma じゅうに")
 

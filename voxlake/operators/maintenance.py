@@ -43,33 +43,50 @@ def backfill(df: DataFrame, rules: dict[str, list[tuple[Column, Column]]]) -> Da
     return df
 
 
-def apply_decisions(voices: DataFrame, reviews: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Voices and reviews after decisions (review_id, approve, reviewer, note, at); unknown reviews change nothing."""
+def apply_decisions(voices: DataFrame, reviews: DataFrame, decisions: DataFrame, requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Voices and reviews after requests (id, voice_id, shared_folder_id, requested_by, at) and decisions (review_id, approve, reviewer, note, at); unknown reviews change nothing.
+
+    A voice's events are folded in order of time, then review: a request puts it under review, an approval publishes it and lets it
+    generate, a rejection makes it active again but takes nothing back. The last event gives the status, any approval the rest, so
+    the fold is a partial aggregate. A review is pending from its request on, and then as last decided.
+    """
+    if requests is not None:
+        asked = requests.withColumnRenamed("at", "created_at").withColumn("status", F.lit("pending"))
+        reviews = reviews.unionByName(asked.select(*(c for c in asked.columns if c in reviews.columns)), allowMissingColumns=True)
     d = latest(decisions, ["review_id"], "at").withColumnRenamed("review_id", "_id")
     made = reviews.join(d, reviews["id"] == d["_id"], "left")
     status = F.when(F.col("approve"), "approved").when(~F.col("approve"), "rejected").otherwise(F.col("status"))
     out = made.withColumns({"status": status, "reviewed_by": F.coalesce("reviewer", "reviewed_by"), "review_note": F.coalesce("note", "review_note"), "reviewed_at": F.coalesce("at", "reviewed_at")})
-    state = made.filter("approve is not null").groupBy("voice_id").agg(F.max_by("approve", F.struct("at", "id")).alias("_approve"))
-    v = voices.join(state, voices["id"] == state["voice_id"], "left")
-    v = v.withColumn("status", F.when(F.col("_approve"), "published").when(~F.col("_approve"), "active").otherwise(F.col("status")))
-    v = v.withColumn("can_generate", F.when(F.col("_approve"), 1).otherwise(F.col("can_generate")))
+    of = reviews.select(F.col("id").alias("review_id"), "voice_id")
+    events = decisions.join(of, "review_id").select("voice_id", "at", F.col("review_id").alias("by"), F.when(F.col("approve"), "published").otherwise("active").alias("to"))
+    if requests is not None:
+        events = events.unionByName(requests.select("voice_id", "at", F.col("id").alias("by"), F.lit("review").alias("to")))
+    state = events.groupBy("voice_id").agg(F.max_by("to", F.struct("at", "by", "to")).alias("_to"), F.bool_or(F.col("to") == "published").alias("_approved"))
+    v = voices.join(state.withColumnRenamed("voice_id", "_voice"), F.col("_voice") == voices["id"], "left")
+    v = v.withColumns({"status": F.coalesce("_to", "status"), "can_generate": F.when(F.col("_approved"), 1).otherwise(F.col("can_generate")), "folder_type": F.when(F.col("_approved"), "published").otherwise(F.col("folder_type"))})
     return v.select(*voices.columns), out.select(*reviews.columns)
 
 
-def bump_version(df: DataFrame, keys: DataFrame, key: str, col: str) -> DataFrame:
+def bump_version(df: DataFrame, keys: DataFrame, key: str, col: str, status: str = "status") -> DataFrame:
+    """The next version of the rows with a key, which are published."""
     k = keys.select(F.col(key).alias("_k")).distinct()
+    hit = F.col("_k").isNotNull()
     df2 = df.join(k, df[key] == k["_k"], "left")
-    return df2.withColumn(col, F.when(F.col("_k").isNotNull(), F.coalesce(col, F.lit(1)) + 1).otherwise(F.col(col))).select(*df.columns)
+    return df2.withColumns({col: F.when(hit, F.coalesce(col, F.lit(1)) + 1).otherwise(F.col(col)), status: F.when(hit, "published").otherwise(F.col(status))}).select(*df.columns)
 
 
 def copy_rows(df: DataFrame, requests: DataFrame, suffix: str = " (copy)") -> DataFrame:
-    """`df` and a copy for each request (source_id, kind): new ids follow the largest in order of the requests, personal copies get the suffix."""
-    asked = requests.select(F.col("source_id").alias("source_voice_id"), "kind")
+    """`df` and a copy for each request (source_id, kind, user_id, folder_id, at) of a row that exists.
+
+    New ids follow the largest in order of source, then kind. The copy belongs to who asked, since then; one of kind "shared" stands in
+    the folder, a personal one in none and gets the suffix.
+    """
+    asked = requests.select(F.col("source_id").alias("source_voice_id"), F.col("kind").alias("_kind"), F.col("user_id").alias("_user"), F.col("folder_id").alias("_folder"), F.col("at").alias("_at"))
     src = df.withColumnRenamed("id", "source_voice_id").join(asked, "source_voice_id")
     top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    new = numbered(src, "source_voice_id", "kind", "_n").join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
-    name = F.when(F.col("kind") == "personal", F.concat("name", F.lit(suffix))).otherwise(F.col("name"))
-    new = new.withColumn("name", name).withColumn("folder_type", F.col("kind")).withColumn("status", F.lit("active"))
+    new = numbered(src, "source_voice_id", "_kind", "_n").join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.col("_n"))
+    personal = F.col("_kind") == "personal"
+    new = new.withColumns({"name": F.when(personal, F.concat("name", F.lit(suffix))).otherwise(F.col("name")), "folder_type": F.col("_kind"), "status": F.lit("active"), "user_id": F.col("_user"), "shared_folder_id": F.when(~personal, F.col("_folder")), "created_at": F.col("_at")})
     return df.withColumn("source_voice_id", F.lit(None).cast("long")).unionByName(new.select(*df.columns, "source_voice_id"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.functions.text import HAN, characters, has_script, known_pieces, segment_chars
+from voxlake.functions.segmentation import BOUND, segmented
+from voxlake.functions.text import HAN, has_script
 from voxlake.sources.tables import local_day
 
 SHARED = ("textbook", "pronunciation")
@@ -208,7 +209,7 @@ def section_lines(lines: DataFrame, sections: DataFrame, least: int = 3, skip: t
     return clean.join(held, ["pdf", "page"])
 
 
-def gloss(df: DataFrame, col: str, dictionary: DataFrame, script: str = HAN) -> DataFrame:
+def gloss(df: DataFrame, col: str, dictionary: DataFrame, script: str = HAN, bound: int = BOUND) -> DataFrame:
     """Adds `gloss`: that of the whole cleaned text in a dictionary (term, gloss), else those of its longest known pieces.
 
     Pieces are looked for in texts of two characters or more of the script. Without either the gloss is null.
@@ -217,9 +218,9 @@ def gloss(df: DataFrame, col: str, dictionary: DataFrame, script: str = HAN) ->
     df = df.withColumn("_clean", clean)
     terms = dictionary.filter("gloss <> ''").groupBy("term").agg(F.min("gloss").alias("_whole"))
     df = df.join(terms, df["_clean"] == terms["term"], "left").drop("term")
-    df = known_pieces(df, "_clean", characters, 6, dictionary)
-    pieces = F.when((F.length("_clean") >= 2) & has_script(F.col("_clean"), script), segment_chars(F.col("_clean"), F.col("_known")))
-    return df.withColumn("gloss", F.coalesce("_whole", pieces)).drop("_clean", "_whole", "_known")
+    df = segmented(df, "_clean", dictionary, "_pieces", bound=bound)
+    pieces = F.when((F.length("_clean") >= 2) & has_script(F.col("_clean"), script), F.col("_pieces"))
+    return df.withColumn("gloss", F.coalesce("_whole", pieces)).drop("_clean", "_whole", "_pieces")
 
 
 def cascade_delete(parent: DataFrame, children: list[tuple[DataFrame, str]], keys: DataFrame, key: str) -> list[DataFrame]:

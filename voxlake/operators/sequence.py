@@ -62,7 +62,7 @@ def select_budget(df: DataFrame, key: str = "speaker", min_len: float = 4.0, bud
 
 def budget_report(selected: DataFrame, key: str = "speaker", good: float = 30.0) -> DataFrame:
     df = selected.groupBy(key).agg(F.round(F.sum("taken"), 2).alias("total"), F.count("*").alias("n"))
-    return df.withColumn("quality", F.when(F.col("total") >= good, "good").otherwise("low"))
+    return df.withColumn("quality", F.when(F.col("total") >= good, "good").otherwise("short"))
 
 
 def select_preview(df: DataFrame, key: str = "speaker", budget: float = 10.0) -> DataFrame:

@@ -31,14 +31,14 @@ def gate(df: DataFrame, rms: float = 0.005, zcr: float = 0.3) -> DataFrame:
 
 
 def trim_tail(df: DataFrame, frame: int, keep: int) -> DataFrame:
-    """Samples up to `keep` after the last frame above 5 % of the mean of the loudest quarter; under 3 frames unchanged."""
+    """Samples up to `keep` after the last frame of at least 5 % of the mean of the loudest quarter; under 3 frames unchanged."""
     count = df.groupBy("series_id").agg(F.floor((F.max("idx") + 1) / frame).cast("long").alias("frames"))
     f = df.withColumn("f", F.floor(F.col("idx") / frame).cast("long")).join(count, "series_id").filter("f < frames")
     f = f.groupBy("series_id", "frames", "f").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("e"))
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("e"), "f"))
     top = f.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("frames") / 4)))
     limit = top.groupBy("series_id").agg((F.avg("e") * 0.05).alias("limit"))
-    last = f.join(limit, "series_id").filter("e > limit").groupBy("series_id", "frames").agg(F.max("f").alias("last"))
+    last = f.join(limit, "series_id").filter("e >= limit").groupBy("series_id", "frames").agg(F.max("f").alias("last"))
     stop = last.select("series_id", F.when(F.col("frames") >= 3, (F.col("last") + 1) * frame + keep).alias("stop"))
     return df.join(stop, "series_id", "left").filter(F.col("stop").isNull() | (F.col("idx") < F.col("stop"))).drop("stop")
 
@@ -75,23 +75,49 @@ def _silhouette(d: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(size > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
 
 
-def _average_linkage(d: np.ndarray, k: int) -> np.ndarray:
-    label, size, gap = np.arange(len(d)), np.ones(len(d)), d + np.diag(np.full(len(d), np.inf))
-    for _ in range(len(d) - k):
-        i, j = sorted(np.unravel_index(int(gap.argmin()), gap.shape))
+def _dendrogram(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges (height, member of one cluster, member of the other) of average linkage, lowest first, by chains of nearest neighbours."""
+    n = len(d)
+    gap, size, active, chain, merges = d + np.diag(np.full(n, np.inf)), np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(active.argmax()))
+        while True:
+            i = chain[-1]
+            row = np.where(active, gap[i], np.inf)
+            j = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                break
+            chain.append(j)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((float(gap[i, j]), i, j))
         merged = (gap[i] * size[i] + gap[j] * size[j]) / (size[i] + size[j])
         gap[i], gap[:, i] = merged, merged
-        gap[i, i], gap[j], gap[:, j] = np.inf, np.inf, np.inf
+        gap[i, i], active[j] = np.inf, False
         size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+    return sorted(merges, key=lambda m: m[0])
+
+
+def _cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of the k clusters that the lowest merges leave, in order of their first members."""
+    top = list(range(n))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for _, i, j in merges[: n - k]:
+        i, j = sorted((find(i), find(j)))
+        top[j] = i
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
 def cluster(df: DataFrame, group: str, key: str, vector: str, k: int | None = None) -> DataFrame:
     """Cluster label of each vector within its group by average linkage of cosine distances.
 
-    Without k, that from 2 to min(5, n - 1) with the best silhouette, the first of equal ones. The cost is quadratic in a
-    group, so groups are bounded things such as the segments of one recording; `cluster_many` serves a whole table.
+    Without k, that from 2 to min(5, n - 1) with the best silhouette, the first of equal ones; two vectors are two speakers, one is one. The
+    dendrogram is made once. The cost is quadratic in a group, so groups are bounded things such as the segments of one recording; `cluster_many` serves a whole table.
     """
     kind = dict(df.dtypes)
 
@@ -103,10 +129,9 @@ def cluster(df: DataFrame, group: str, key: str, vector: str, k: int | None = No
         np.fill_diagonal(d, 0)
         label = np.zeros(len(x), int)
         if len(x) >= 2:
-            ks = [min(k, len(x))] if k else range(2, min(5, len(x) - 1) + 1)
-            tried = [(_silhouette(d, y), y) for y in (_average_linkage(d, i) for i in ks)]
-            if tried:
-                label = max(tried, key=lambda t: t[0])[1]
+            ks = [min(k, len(x))] if k else range(2, max(2, min(5, len(x) - 1)) + 1)
+            merges = _dendrogram(d)
+            label = max(((_silhouette(d, y), y) for y in (_cut(merges, len(x), i) for i in ks)), key=lambda t: t[0])[1]
         return pd.DataFrame({group: pdf[group], key: pdf[key], "label": [f"speaker {i + 1}" for i in label]})
 
     return df.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {kind[group]}, {key} {kind[key]}, label string")
@@ -122,20 +147,40 @@ def cluster_many(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return model.transform(x).select(key, F.col("prediction").alias("label"))
 
 
-def speaker_report(segments: DataFrame) -> DataFrame:
-    """One row a speaker: merged segments, those within the budget, totals and quality."""
+def speaker_report(segments: DataFrame, recording: str | None = None) -> DataFrame:
+    """One row a speaker: its number among those of its recording (or of all), merged segments by start, those within the budget longest first, totals and quality.
+
+    `segment_count` counts the segments within the budget; a cut segment's end has three decimals.
+    """
+    names = segments.select(*([recording] if recording else []), "speaker").distinct()
+    place = F.row_number().over(Window.partitionBy(recording).orderBy("speaker")) if recording else None
+    names = names.withColumn("_i", place) if recording else _ranked(names)
     merged = merge_segments(segments)
     chosen = select_budget(merged)
-    every = merged.groupBy("speaker").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all_segments"), F.count("*").alias("segment_count"), F.round(F.sum(F.col("end") - F.col("start")), 2).alias("total_duration")
+    every = merged.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all_segments"), F.round(F.sum(F.col("end") - F.col("start")), 2).alias("total_duration"))
+    end = F.when(F.col("taken") < F.col("end") - F.col("start"), F.round(F.col("start") + F.col("taken"), 3)).otherwise(F.col("end"))
+    used = chosen.select("speaker", "taken", F.struct((F.col("start") - F.col("end")).alias("short"), "start", end.alias("end")).alias("s"))
+    used = used.groupBy("speaker").agg(F.array_sort(F.collect_list("s")).alias("s"), F.sum("taken").alias("taken"), F.count("*").alias("segment_count"))
+    used = used.select("speaker", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("segments"), "taken", "segment_count")
+    df = every.join(used, "speaker", "left").join(names, "speaker")
+    none = F.array().cast("array<struct<start:double,end:double>>")
+    return df.select(
+        *([recording] if recording else []), "speaker", F.concat(F.lit("speaker "), F.col("_i").cast("string")).alias("label"), F.coalesce("segments", none).alias("segments"), "all_segments", "total_duration",
+        F.round(F.coalesce("taken", F.lit(0.0)), 2).alias("tts_duration"), F.coalesce("segment_count", F.lit(0)).alias("segment_count"), F.when(F.col("taken") >= 30, "good").otherwise("short").alias("quality"),
     )
-    used = chosen.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("taken")).alias("end")))).alias("segments"), F.round(F.sum("taken"), 2).alias("tts_duration"))
-    df = every.join(used, "speaker", "left")
-    return df.withColumn("tts_duration", F.coalesce("tts_duration", F.lit(0.0))).withColumn("quality", F.when(F.col("tts_duration") >= 30, "good").otherwise("low"))
+
+
+def _ranked(names: DataFrame) -> DataFrame:
+    """Names numbered in order, without one task for all: by range partitions and the counts before them."""
+    rows = names.repartitionByRange("speaker").sortWithinPartitions("speaker").withColumn("_m", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_m", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select("_part", before.alias("_before")), "_part").select("speaker", (F.col("_before") + (F.col("_m") - F.shiftleft("_part", 33)) + 1).alias("_i"))
 
 
 def diarized_report(segments: DataFrame, recording: str, key: str, vector: str) -> DataFrame:
     """The report of speakers that are told apart by clustering the segments' vectors within each recording."""
     labels = cluster(segments, recording, key, vector)
     named = segments.join(labels, [recording, key]).withColumn("speaker", F.concat_ws(" ", F.col(recording).cast("string"), "label"))
-    return speaker_report(named.select("speaker", "start", "end", "energy"))
+    return speaker_report(named.select(recording, "speaker", "start", "end", "energy"), recording)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.functions import scoring, text
+from voxlake.functions import scoring, segmentation, text
 from voxlake.operators import maintenance as mt
 from voxlake.operators import relational as rel
 from voxlake.operators import sequence as seq
@@ -767,7 +767,7 @@ def _(v):
 @query("g3_trim_tail", """WITH n AS (SELECT series_id, (max(idx) + 1) // 4 AS frames FROM series_v GROUP BY 1),
 f AS (SELECT series_id, frames, idx // 4 AS f, sqrt(avg(value * value)) AS e FROM series_v JOIN n USING (series_id) WHERE idx // 4 < frames GROUP BY ALL),
 t AS (SELECT series_id, avg(e) * 0.05 AS floor FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY e DESC, f) AS r FROM f) WHERE r <= greatest(1, frames // 4) GROUP BY 1),
-z AS (SELECT series_id, frames, max(f) AS f FROM f JOIN t USING (series_id) WHERE e > floor GROUP BY ALL)
+z AS (SELECT series_id, frames, max(f) AS f FROM f JOIN t USING (series_id) WHERE e >= floor GROUP BY ALL)
 SELECT s.series_id, count(*) AS n FROM series_v s LEFT JOIN z ON z.series_id = s.series_id WHERE z.f IS NULL OR frames < 3 OR s.idx < (z.f + 1) * 4 + 8 GROUP BY 1""")
 def _(v):
     return sig.trim_tail(v("series_v"), 4, 8).groupBy("series_id").agg(F.count("*").alias("n"))
@@ -820,16 +820,19 @@ def _(v):
     return mt.apply_decisions(voices, r, d)[1].select("id", "status")
 
 
-@query("m4_versions", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 1 ELSE p_size END AS v FROM part")
+@query("m4_versions", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 1 ELSE p_size END AS v, CASE WHEN p_size > 25 THEN 'published' ELSE p_brand END AS status FROM part")
 def _(v):
-    p = v("part").select("p_partkey", c("p_size").alias("v"))
+    p = v("part").select("p_partkey", c("p_size").alias("v"), c("p_brand").alias("status"))
     return mt.bump_version(p, p.filter("v > 25"), "p_partkey", "v")
 
 
-@query("m5_copies", "WITH r AS (SELECT s_suppkey AS sid, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier WHERE s_suppkey % 5 = 0) SELECT id, name, source_voice_id FROM (SELECT id, name, NULL::BIGINT AS source_voice_id FROM voices_v UNION ALL SELECT (SELECT max(id) FROM voices_v) + k, name || ' (copy)', sid FROM r JOIN voices_v ON id = sid)")
+@query("m5_copies", """WITH r AS (SELECT id AS sid, CASE WHEN id % 2 = 0 THEN 'personal' ELSE 'shared' END AS kind, row_number() OVER (ORDER BY id) AS k FROM voices_v WHERE id % 5 = 0)
+SELECT id, name, shared_folder_id::BIGINT AS shared_folder_id, folder_type, 'review' AS status, id % 7 AS user_id, '2023-01-01' AS created_at, NULL::BIGINT AS source_voice_id FROM voices_v UNION ALL
+SELECT (SELECT max(id) FROM voices_v) + k, CASE WHEN kind = 'personal' THEN name || ' (copy)' ELSE name END, CASE WHEN kind = 'shared' THEN sid + 1000 END, kind, 'active', sid + 50, '2024-01-15', sid FROM r JOIN voices_v ON id = sid""")
 def _(v):
-    voices = v("voices_v").withColumn("status", lit("active"))
-    return mt.copy_rows(voices, voices.filter("id % 5 = 0").select(c("id").alias("source_id"), lit("personal").alias("kind"))).select("id", "name", "source_voice_id")
+    voices = v("voices_v").withColumns({"status": lit("review"), "user_id": c("id") % 7, "created_at": lit("2023-01-01"), "shared_folder_id": c("shared_folder_id").cast("long")})
+    asked = voices.filter("id % 5 = 0").select(c("id").alias("source_id"), F.when(c("id") % 2 == 0, "personal").otherwise("shared").alias("kind"), (c("id") + 50).alias("user_id"), (c("id") + 1000).alias("folder_id"), lit("2024-01-15").alias("at"))
+    return mt.copy_rows(voices, asked)
 
 
 @query("m6_toggle", "SELECT id, CASE WHEN user_id % 2 = 0 THEN 1 - is_starred::INT ELSE is_starred::INT END AS is_starred FROM records_v")
@@ -925,13 +928,29 @@ def _(v):
     return seq.split_item(s, cuts, "speaker", "i").select("speaker", c("index").cast("int").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query("m3_voices", """WITH d AS (SELECT voice_id, arg_max(id % 3 = 0, id) AS ok FROM reviews_v WHERE status = 'pending' AND id % 3 < 2 GROUP BY 1)
-SELECT v.id, v.name, CASE WHEN ok IS NULL THEN 'review' WHEN ok THEN 'published' ELSE 'active' END AS status, CASE WHEN ok THEN 1 ELSE 0 END AS can_generate FROM voices_v v LEFT JOIN d ON d.voice_id = v.id""")
+def _reviewed(v):
+    """Two decisions on some reviews, and new requests after them."""
+    r = v("reviews_v").withColumns({"reviewed_by": lit(None).cast("long"), "review_note": lit(None).cast("string"), "reviewed_at": lit(None).cast("int"), "created_at": lit(0)})
+    pending = r.filter("status = 'pending'")
+    decide = lambda when, approve, at: pending.filter(when).select(c("id").alias("review_id"), approve.alias("approve"), lit(1).cast("long").alias("reviewer"), lit("ok").alias("note"), lit(at).alias("at"))
+    d = decide("id % 3 < 2", c("id") % 3 == 0, 1).unionByName(decide("id % 6 = 0", lit(False), 2))
+    asked = v("voices_v").filter("id % 7 = 0").select((c("id") + 10**9).alias("id"), c("id").alias("voice_id"), c("shared_folder_id").cast("long").alias("shared_folder_id"), lit(5).cast("long").alias("requested_by"), lit(3).alias("at"))
+    return mt.apply_decisions(v("voices_v").withColumns({"status": lit("active"), "can_generate": lit(0)}), r, d, asked)
+
+
+@query("m3_voices", """WITH ev AS (SELECT voice_id, id AS n, 1 AS moment, CASE WHEN id % 3 = 0 THEN 'published' ELSE 'active' END AS state FROM reviews_v WHERE status = 'pending' AND id % 3 < 2
+UNION ALL SELECT voice_id, id, 2, 'active' FROM reviews_v WHERE status = 'pending' AND id % 6 = 0 UNION ALL SELECT id, id + 1000000000, 3, 'review' FROM voices_v WHERE id % 7 = 0),
+d AS (SELECT voice_id, arg_max(state, (moment, n)) AS state, bool_or(state = 'published') AS ok FROM ev GROUP BY 1)
+SELECT v.id, v.name, coalesce(state, 'active') AS status, CASE WHEN ok THEN 1 ELSE 0 END AS can_generate, CASE WHEN ok THEN 'published' ELSE folder_type END AS folder_type FROM voices_v v LEFT JOIN d ON d.voice_id = v.id""")
 def _(v):
-    r = v("reviews_v").withColumns({"reviewed_by": lit(None).cast("long"), "review_note": lit(None).cast("string"), "reviewed_at": lit(None).cast("timestamp_ntz")})
-    d = r.filter("status = 'pending' and id % 3 < 2").select(c("id").alias("review_id"), (c("id") % 3 == 0).alias("approve"), lit(1).cast("long").alias("reviewer"), lit("ok").alias("note"), F.to_timestamp_ntz(lit(NOW)).alias("at"))
-    voices = v("voices_v").withColumns({"status": lit("review"), "can_generate": lit(0)})
-    return mt.apply_decisions(voices, r, d)[0].select("id", "name", "status", "can_generate")
+    return _reviewed(v)[0].select("id", "name", "status", "can_generate", "folder_type")
+
+
+@query("m3_requests", """SELECT id, voice_id, requested_by, shared_folder_id::BIGINT AS shared_folder_id, CASE WHEN status <> 'pending' OR id % 3 = 2 THEN status WHEN id % 6 = 0 OR id % 3 = 1 THEN 'rejected' ELSE 'approved' END AS status,
+CASE WHEN status = 'pending' AND id % 3 < 2 THEN 1 END::BIGINT AS reviewed_by, CASE WHEN status = 'pending' AND id % 3 < 2 THEN CASE WHEN id % 6 = 0 THEN 2 ELSE 1 END END::INT AS reviewed_at, 0 AS created_at FROM reviews_v
+UNION ALL SELECT id + 1000000000, id, 5, shared_folder_id, 'pending', NULL, NULL, 3 FROM voices_v WHERE id % 7 = 0""")
+def _(v):
+    return _reviewed(v)[1].select("id", "voice_id", "requested_by", c("shared_folder_id").cast("long").alias("shared_folder_id"), "status", "reviewed_by", "reviewed_at", "created_at")
 
 
 @query("m9_folder_table", "SELECT id::INT AS id, name, owner_id FROM folders_v UNION ALL SELECT (id + 100)::INT, name, owner_id FROM folders_v")
@@ -970,24 +989,44 @@ def _terms(v):
     return v("part").select(F.explode(F.split("p_name", " ")).alias("term"), c("p_brand").alias("gloss")).filter("term <> ''")
 
 
-@query("j8_gloss_pieces")
+_TERMS = """terms AS (SELECT term, min(p_brand) AS gloss FROM (SELECT unnest(string_split(p_name, ' ')) AS term, p_brand FROM part) WHERE term <> '' GROUP BY 1),
+dict AS MATERIALIZED (SELECT map_from_entries(list((term, gloss))) AS m FROM terms)"""
+
+
+def _walk_sql(name: str) -> str:
+    """Longest matches of up to six characters, one a step, over the texts `t` of a view."""
+    return f"""walk AS (SELECT id, t, 1 AS i, []::VARCHAR[] AS out FROM {name} UNION ALL
+  SELECT id, t, i + coalesce(k, 1), list_append(out, coalesce(m[t[i:i + k - 1]], t[i])) FROM (
+    SELECT w.*, m, list_filter(range(6, 0, -1), lambda k: i + k - 1 <= length(t) AND map_contains(m, t[i:i + k - 1]))[1] AS k FROM walk w, dict WHERE i <= length(t))),
+walked AS (SELECT id, array_to_string(out, '; ') AS s FROM walk WHERE i > length(t))"""
+
+
+@query("j8_gloss_pieces", rf"""WITH RECURSIVE {_TERMS}, cl AS (SELECT p_partkey AS id, regexp_replace(p_name, '[，。！？、；：\s,.!?]', '', 'g') AS t FROM part), {_walk_sql("cl")}
+SELECT id AS p_partkey, coalesce(CASE WHEN g.gloss <> '' THEN g.gloss END, CASE WHEN length(t) >= 2 AND regexp_matches(t, '[a-z]') THEN s END) AS gloss FROM cl LEFT JOIN walked USING (id) LEFT JOIN terms g ON g.term = t""")
 def _(v):
     return rel.gloss(v("part").select("p_partkey", "p_name"), "p_name", _terms(v), "a-z").select("p_partkey", "gloss")
 
 
-@query("t11_dictionary")
+@query("t11_dictionary", f"""WITH RECURSIVE {_TERMS}, cl AS (SELECT p_partkey AS id, p_name AS t FROM part), {_walk_sql("cl")} SELECT id AS p_partkey, s AS segmented FROM walked""")
 def _(v):
-    df = text.known_pieces(v("part").select("p_partkey", "p_name"), "p_name", text.characters, 6, _terms(v))
-    return df.select("p_partkey", text.segment_chars(c("p_name"), c("_known")).alias("segmented"))
+    return segmentation.segmented(v("part").select("p_partkey", "p_name"), "p_name", _terms(v), "segmented").select("p_partkey", "segmented")
 
 
-@query("t10_dictionary")
+#: every known run of up to four words, then a fold over the words: where the next piece starts, and the starts so far
+@query("t10_dictionary", rf"""WITH d AS (SELECT doc_id, translate(text, 'áéíóú', 'áéíóǔ') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(trim(t, ' '), '[\t-\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '') AS w FROM d),
+words AS (SELECT DISTINCT unnest(w) AS term FROM w), toned AS (SELECT * FROM w WHERE regexp_matches(t, '[{text.TONE_VOWELS}]')),
+run AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], '') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM toned), range(1, 5) x(k) WHERE i + k - 1 <= len(w)),
+longest AS (SELECT doc_id, i, max(k) AS k, arg_max(r, k) AS r FROM run JOIN words ON term = r GROUP BY ALL),
+per AS (SELECT doc_id, list([i, k] ORDER BY i) AS ks, list(r ORDER BY i) AS rs FROM longest GROUP BY 1),
+starts AS (SELECT doc_id, rs, list_reduce(list_prepend([1::BIGINT], ks), lambda a, e: CASE WHEN e[1] = a[1] THEN list_append(list_prepend(e[1] + e[2], a[2:]), e[1]) ELSE a END)[2:] AS s FROM per),
+back AS (SELECT doc_id, array_to_string(list_transform(s, lambda i: translate(rs[i], '{ACCENTS}', '{PLAIN}')), '') AS segmented FROM starts)
+SELECT doc_id, coalesce(segmented, t) AS segmented FROM d LEFT JOIN back USING (doc_id)""")
 def _(v):
     """Words with an accent of one turn, toned or not, replaced by their language-free form."""
     df = v("documents").select("doc_id", F.translate("text", "áéíóú", "áéíóǔ").alias("text"))
     words = df.select(F.explode(text.tokens(c("text"))).alias("term")).distinct().select("term", plain(c("term")).alias("gloss"))
-    df = text.known_pieces(df, "text", text.tokens, 4, words)
-    return df.select("doc_id", text.segment_tokens(c("text"), c("_known"), F.create_map().cast("map<string,string>")).alias("segmented"))
+    return segmentation.words_of_syllables(df, "text", words, "segmented").select("doc_id", "segmented")
 
 
 def _written(name: str, sql: str):
