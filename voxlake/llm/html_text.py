@@ -56,7 +56,7 @@ PRIOR = (
         "modal newsletter comment comments commentlist disqus pagination pager toolbar complementary contentinfo".split(),
         SURE,
     )
-    | dict.fromkeys("header widget promo promotion related recommended share sharing social alert subscribe subscription signup login form search reply replies respond copyright legal".split(), DOUBTFUL)
+    | dict.fromkeys("header widget promo promotion related recommended share sharing social alert subscribe subscription signup login form search reply replies respond responses copyright legal".split(), DOUBTFUL)
     | {"<article>": 2.2, "<main>": 2.2}
     | dict.fromkeys("article main content post entry story body text".split(), GOOD)
 )
@@ -102,13 +102,18 @@ def _words(attributes: str) -> list[str]:
 
 def _inside(tag: str, attributes: str, outer: Scope, names: dict[str, float]) -> Scope:
     """The scope of an element: that around it, if it has no name of weight."""
-    own = [f"<{tag}>"] if f"<{tag}>" in PRIOR and not (tag == "header" and outer.side == 1) else []
-    own += _words(attributes) if tag not in ("html", "body") else []
+    tags = [f"<{tag}>"] if f"<{tag}>" in PRIOR and not (tag == "header" and outer.side == 1) else []
+    words = _words(attributes) if tag not in ("html", "body") else []
+    own = tags + words
     if not own:
         return outer
-    weight = sum(names.get(w, 0.0) for w in {*own}) / (2 if tag in LINES else 1)
+    # each name for itself is bounded, and an element's tag takes nothing from its classes: a reader's comment may be an article
+    total = lambda of, weights: sum(max(LEAST, min(MOST, weights.get(w, 0.0))) for w in {*of})
+    by_tag, by_words = total(tags, names), total(words, names)
+    weight = (by_words if by_tag > 0 > by_words else by_words + by_tag) / (2 if tag in LINES else 1)
     weight = max(LEAST, min(MOST, weight))
-    bad = sum(PRIOR.get(w, 0.0) for w in own) < 0
+    said = total(words, PRIOR)
+    bad = said < 0 or said + total(tags, PRIOR) < 0
     side = -1 if bad else 1 if tag in ("article", "main") and outer.side >= 0 else outer.side
     if weight > 0 > outer.side:
         weight = outer.weight + OUTER * weight  # a teaser within a sidebar is named article too
