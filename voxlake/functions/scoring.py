@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,11 +71,18 @@ def align_texts(target: Column, heard: Column, toned: dict[str, str]) -> Column:
     Python gives a digit for each character, since the words would make a batch some eight times its texts.
     """
 
-    @F.pandas_udf("string")
-    def digits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def digits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         base = _base(toned)
         for pairs in batches:
-            yield pd.Series([None if a is None or b is None else (_codes(a, b, base) + ord("0")).astype(np.uint8).tobytes().decode() for a, b in zip(*pairs, strict=True)], dtype=object)
+            out, ends, none = bytearray(), [0], []
+            for a, b in zip(*pairs, strict=True):  # a text at a time becomes a string of Python
+                a, b = a.as_py(), b.as_py()
+                none.append(a is None or b is None)
+                out += b"" if none[-1] else (_codes(a, b, base) + ord("0")).astype(np.uint8).tobytes()
+                ends.append(len(out))
+            absent = pa.array(np.packbits(~np.array(none, bool), bitorder="little")).buffers()[1]
+            yield pa.StringArray.from_buffers(len(none), pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(out), absent)
 
     words = digits(target, heard)
     for i, name in enumerate(STATUS):
