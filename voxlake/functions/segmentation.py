@@ -21,7 +21,7 @@ from .text import HAN, TONE_VOWELS, has_script
 #: Characters of all terms and glosses that go to every worker.
 BOUND = 12_000_000
 #: White space as the text expressions have it.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class Terms:
