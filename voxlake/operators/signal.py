@@ -7,18 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .sequence import merge_segments, select_budget
 
 
-def window_features(df: DataFrame, w: int, s: int) -> DataFrame:
+def window_features(df: DataFrame, w: int, s: int, shard_rows: int = scan.ROWS) -> DataFrame:
     """RMS and zero-crossing rate of windows of `w` samples every `s`; as in `range(0, n - w, s)` the last exact fit is left out.
 
-    Each sample goes to the windows that hold it (w / s of them), so a long series is spread by window.
+    Each sample goes to the windows that hold it (w / s of them), so a long series is spread by window; the sign before a sample comes by shards.
     """
     n = df.groupBy("series_id").agg((F.max("idx") + 1).alias("n"))
-    by = Window.partitionBy("series_id").orderBy("idx")
     sign = F.when(F.col("value") > 0, 1).when(F.col("value") < 0, -1).otherwise(0)
-    df = df.withColumn("turn", F.abs(sign - F.lag(sign).over(by)))
+    df = scan.shards(df.withColumn("sign", sign), "series_id", ["idx"], shard_rows)
+    df = scan.neighbour(df, "series_id", ["idx"], "sign", "_last").withColumn("turn", F.abs(F.col("sign") - F.col("_last.v"))).drop("_shard", "_last")
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - w + 1) / F.lit(s))).cast("long")
     df = df.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("idx") / s).cast("long")))).withColumn("start", F.col("k") * s)
     df = df.join(n, "series_id").filter(F.col("start") < F.col("n") - w)
@@ -50,18 +51,22 @@ def normalize_peak(df: DataFrame, peak: float = 0.7) -> DataFrame:
     return df.join(m, "series_id").select("series_id", "idx", F.when(top > 0, (F.col("value") - F.col("mean")) / top * peak).otherwise(0.0).alias("value"))
 
 
-def resample_linear(df: DataFrame, semitones: float) -> DataFrame:
-    """Linear interpolation to int(n * 2 ** (-p / 12)) points over the same span."""
+def resample_linear(df: DataFrame, semitones: float, shard_rows: int = scan.ROWS) -> DataFrame:
+    """Linear interpolation to int(n * 2 ** (-p / 12)) points over the same span.
+
+    Each sample makes the points between it and the next one, so no grid is built and joined; the next sample comes by shards.
+    """
     factor = 2 ** (-semitones / 12)
-    n = df.groupBy("series_id").agg((F.max("idx") + 1).alias("n"))
-    grid = n.withColumn("m", (F.col("n") * factor).cast("long")).filter("m > 0")
-    grid = grid.select("series_id", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("out"))
-    grid = grid.withColumn("x", F.when(F.col("m") > 1, F.col("out") * ((F.col("n") - 1) / (F.col("m") - 1))).otherwise(0.0))
-    grid = grid.withColumn("at", F.least(F.floor("x"), F.col("n") - 1).cast("long"))
-    nxt = F.lead("value").over(Window.partitionBy("series_id").orderBy("idx"))
-    src = df.withColumn("next", F.coalesce(nxt, F.col("value"))).select("series_id", F.col("idx").alias("at"), "value", "next")
-    df = grid.join(src, ["series_id", "at"])
-    return df.select("series_id", F.col("out").alias("idx"), (F.col("value") + (F.col("next") - F.col("value")) * (F.col("x") - F.col("at"))).alias("value"))
+    n = df.groupBy("series_id").agg((F.max("idx") + 1).alias("n")).withColumn("m", (F.col("n") * factor).cast("long")).filter("m > 0")
+    n = n.withColumn("step", F.when(F.col("m") > 1, (F.col("n") - 1) / (F.col("m") - 1)).otherwise(0.0))
+    df = scan.neighbour(scan.shards(df, "series_id", ["idx"], shard_rows), "series_id", ["idx"], "value", "_next", 1).join(n, "series_id")
+    # some points around those of the sample, then exactly its own
+    low = F.when(F.col("step") > 0, F.greatest(F.lit(0), F.floor(F.col("idx") / F.col("step")) - 1)).otherwise(0).cast("long")
+    high = F.when(F.col("step") > 0, F.least(F.col("m") - 1, F.ceil((F.col("idx") + 1) / F.col("step")) + 1)).otherwise(F.col("m") - 1).cast("long")
+    df = df.withColumn("out", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("x", F.col("out") * F.col("step"))
+    df = df.filter(F.least(F.floor("x"), F.col("n") - 1) == F.col("idx"))
+    value, nxt = F.col("value"), F.when(F.col("_next").isNull(), F.col("value")).otherwise(F.coalesce("_next.v", "value"))
+    return df.select("series_id", F.col("out").alias("idx"), (value + (nxt - value) * (F.col("x") - F.col("idx"))).alias("value"))
 
 
 def _silhouette(d: np.ndarray, label: np.ndarray) -> float:

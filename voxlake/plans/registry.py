@@ -338,6 +338,16 @@ def _(v):
     return seq.page(v("results_v"), "created_at", "id", 3, 20).select("id", "created_at")
 
 
+@query("w1_deep_page", "SELECT o_orderkey, o_orderdate, 'index' AS way FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET (SELECT count(*) // 2 // 20 * 20 FROM orders)) UNION ALL SELECT o_orderkey, o_orderdate, 'cursor' FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET (SELECT count(*) // 2 // 20 * 20 + 20 FROM orders))")
+def _(v):
+    o = v("orders").select("o_orderkey", "o_orderdate")
+    index = seq.PageIndex(o, "o_orderdate", "o_orderkey", 100)
+    page = index.page(index.rows // 2 // 20 + 1, 20)
+    last = page.orderBy("o_orderdate", "o_orderkey").first()
+    after = seq.page_after(o, "o_orderdate", "o_orderkey", 20, (last["o_orderdate"], last["o_orderkey"]))
+    return page.withColumn("way", lit("index")).unionByName(after.withColumn("way", lit("cursor")))
+
+
 @query("w1_ranked_progress", f"SELECT * FROM ({_PROGRESS}) ORDER BY attempts DESC, id LIMIT 50")
 def _(v):
     return rel.card_progress(v("cards_v"), v("records_v")).select("id", "best", "attempts", "perfect").orderBy(F.desc("attempts"), "id").limit(50)
@@ -372,13 +382,13 @@ def _(v):
 
 
 _ISLANDS = """isl AS (SELECT *, sum(new) OVER (PARTITION BY speaker ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY speaker ORDER BY start, "end") < 1.0 THEN 0 ELSE 1 END AS new FROM segments_v)),
-merged AS (SELECT speaker, island, min(start) AS start, arg_max("end", struct_pack(s := start, e := "end")) AS "end", count(*) AS n FROM isl GROUP BY 1, 2)"""
+merged AS (SELECT speaker, island, min(start) AS start, arg_max("end", struct_pack(s := start, e := "end")) AS "end", count(*) AS n, list_reduce(list(energy ORDER BY start, "end", energy), lambda a, x: (a + x) / 2) AS energy FROM isl GROUP BY 1, 2)"""
 
 
-@query("w6_islands", f"WITH {_ISLANDS} SELECT speaker, island::BIGINT AS island, round(start, 6) AS start, round(\"end\", 6) AS \"end\", n::INT AS n FROM merged")
+@query("w6_islands", f"WITH {_ISLANDS} SELECT speaker, island::BIGINT AS island, round(start, 6) AS start, round(\"end\", 6) AS \"end\", n::INT AS n, round(energy + 1e-8, 6) AS energy FROM merged")
 def _(v):
     df = seq.merge_segments(v("segments_v"))
-    return df.select("speaker", c("island").cast("long").alias("island"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n")
+    return df.select("speaker", c("island").cast("long").alias("island"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n", F.round(c("energy") + 1e-8, 6).alias("energy"))
 
 
 def _fill_sql(order: str, least: float, budget: float, ok: str, first: bool) -> str:
