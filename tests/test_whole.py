@@ -67,6 +67,19 @@ def test_sections_by_buckets(spark):
     assert sorted((r["pdf"], r["page"], r["start_page"], r["page_index"]) for r in got.collect()) == want
 
 
+def test_sections_of_any_width(spark):
+    """Sections from one page to 100,000: the same pairs as by comparison, from a logarithmic number of rows."""
+    rng = random.Random(8)
+    pages = [(rng.choice("ab"), rng.randrange(-9, 120_000)) for _ in range(150)] + [("a", 119_999), ("a", 0), (None, 5), ("a", None)]
+    spans = [(rng.choice("ab"), s := rng.randrange(0, 110_000), s + rng.choice([0, 1, 2, 63, 64, 65, 4095, 30_000, 99_999])) for _ in range(120)] + [("a", 0, 99_999), ("a", 119_999, 119_999), ("a", 5, 4), (None, 0, 10)]
+    last = {"a": 119_999, "b": 70_000}
+    want = sorted((f, p, s, e, p - s) for f, p in pages for g, s, e in spans if f and p is not None and f == g and s <= p <= min(e, last[f]))
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = relational.pages_in_sections(frame(pages, "pdf string, page long"), frame(spans, "pdf string, start_page long, end_page long"), frame([*last.items()], "pdf string, last_page long"))
+    assert sorted((r["pdf"], r["page"], r["start_page"], r["end_page"], r["page_index"]) for r in got.collect()) == want and len(want) > 500
+    assert len(got.schema) == 5
+
+
 def test_mentions_equal_brute_force(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("ab\n😀,.") for _ in range(n))

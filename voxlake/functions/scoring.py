@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .text import characters, let
 
-#: Longest string for which the edit ratio is taken in the plan; its cost is the product of both lengths.
-SHORT = 64
 STATUS = ["perfect", "tone_wrong", "wrong", "missing", "extra"]
 
 
@@ -111,39 +109,48 @@ def compare_texts(target: Column, heard: Column, toned: dict[str, str]) -> Colum
     return compared(target, heard)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit for each character of `a`, cleared where the length grows; one step a character of `b`, with carries over any length."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        if hit := row & at.get(x, 0):
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings."""
+    """Length of the longest common subsequence of two strings of any length; null if one is null. Arrow batches."""
+
+    def lengths(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array((None if s is None or t is None else _common(s, t) for s, t in zip(_each(x), _each(y), strict=True)), pa.int32(), size=len(x))
+
+    return F.arrow_udf(lengths, "int")(a, b)
+
 
-    def over(ca: Column, cb: Column) -> Column:
-        def row(last: Column, x: Column) -> Column:
-            cell = lambda acc, j: F.concat(acc, F.array(F.when(F.element_at(cb, j) == x, F.element_at(last, j) + 1).otherwise(F.greatest(F.element_at(last, j + 1), F.element_at(acc, j)))))
-            return F.aggregate(F.sequence(F.lit(1), F.size(cb)), F.array(F.lit(0)), cell)
+def _each(values: pa.Array) -> Iterator:
+    return (v.as_py() for v in values)
 
-        return F.element_at(F.aggregate(ca, F.array_repeat(F.lit(0), F.size(cb) + 1), row), -1)
 
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), let(characters(b), lambda cb: over(characters(a), cb))).otherwise(0)
+def common_lengths(a: Column, b: Column) -> Column:
+    """The same for the strings at equal places of two arrays: an array as long as the shorter one; null where a string is null."""
+
+    def lengths(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        pair = lambda s, t: None if s is None or t is None else _common(s, t)
+        for x, y in batches:
+            yield pa.array((None if s is None or t is None else [*map(pair, s, t)] for s, t in zip(_each(x), _each(y), strict=True)), pa.list_(pa.int32()), size=len(x))
+
+    return F.arrow_udf(lengths, "array<int>")(a, b)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (both lengths), 1 for two empty strings: expressions up to SHORT characters, a vectorised UDF beyond."""
-
-    @F.pandas_udf("int")
-    def long_common(s, t):
-        def one(x: str, y: str) -> int:
-            v = np.frombuffer(y.encode("utf-32-le"), np.uint32)
-            last = np.zeros(len(v) + 1, np.int64)
-            for c in x:
-                new = np.maximum(last[1:], last[:-1] + (v == ord(c)))
-                last[1:] = np.maximum.accumulate(new)
-            return int(last[-1])
-
-        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(s, t, strict=True)])
-
-    short = (F.length(a) <= SHORT) & (F.length(b) <= SHORT)
-    cut = lambda c: F.when(short, "").otherwise(c)
+    """2 * LCS / (both lengths), 1 for two empty strings, null if one is null."""
     both = F.length(a) + F.length(b)
-    common = F.when(short, common_length(F.when(short, a), F.when(short, b))).otherwise(long_common(cut(a), cut(b)))
-    return F.when(both == 0, 1.0).otherwise(2 * common / both)
+    return F.when(both == 0, 1.0).otherwise(2 * common_length(a, b) / both)
 
 
 def blend_score(kana: Column, latin: Column, word: Column, gap: Column) -> Column:
@@ -153,9 +160,14 @@ def blend_score(kana: Column, latin: Column, word: Column, gap: Column) -> Colum
 
 
 def word_status(target: Column, heard: Column) -> Column:
-    """Statuses of two word arrays by position: perfect, similar (edit ratio 0.6 or more), wrong, missing or extra. Words are short."""
-    ratio = lambda a, b: 2 * common_length(a, b) / (F.length(a) + F.length(b))
-    return F.zip_with(target, heard, lambda a, b: F.when(b.isNull(), "missing").when(a.isNull(), "extra").when(a == b, "perfect").when(ratio(a, b) >= 0.6, "similar").otherwise("wrong"))
+    """Statuses of two word arrays by position: perfect, similar (edit ratio 0.6 or more), wrong, missing or extra."""
+    words = F.arrays_zip(target.alias("a"), heard.alias("b"), common_lengths(target, heard).alias("n"))
+
+    def status(x: Column) -> Column:
+        ratio = 2 * x["n"] / (F.length(x["a"]) + F.length(x["b"]))
+        return F.when(x["b"].isNull(), "missing").when(x["a"].isNull(), "extra").when(x["a"] == x["b"], "perfect").when(ratio >= 0.6, "similar").otherwise("wrong")
+
+    return F.transform(words, status)
 
 
 def word_band(score: Column) -> Column:

@@ -188,16 +188,27 @@ def mentions(pages: DataFrame, cards: DataFrame, strip: str = ",.", widest: int
     return met.join(c, "card_id").join(p, "page_id").filter(F.contains("_t", "_c")).select("page_id", "card_id").distinct()
 
 
-def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame, width: int = 100) -> DataFrame:
+#: Levels of aligned page ranges: a range of 2 ** 40 pages is the widest.
+LEVELS = 40
+
+
+def pages_in_sections(pages: DataFrame, sections: DataFrame, last: DataFrame) -> DataFrame:
     """Pages with the sections of their file that hold them, and the index of the page in its section.
 
-    Joined by file and bucket of `width` pages, so a page meets only the sections near it.
+    A section of any width is cut into aligned ranges of 2 ** level pages, two a level at most, so they are as many as its width
+    has bits. A page looks up the range that holds it on each level that its file uses, and meets only sections that hold it. A row
+    without a file or page is in no section.
     """
     s = sections.join(last, "pdf").withColumn("stop", F.least("end_page", "last_page")).filter("start_page <= stop")
-    bucket = lambda x: F.floor(F.col(x) / width)
-    s = s.withColumn("_bucket", F.explode(F.sequence(bucket("start_page"), bucket("stop"))))
-    df = pages.withColumn("_bucket", bucket("page")).join(s, ["pdf", "_bucket"]).filter("page between start_page and stop")
-    return df.withColumn("page_index", F.col("page") - F.col("start_page")).drop("stop", "last_page", "_bucket")
+    first = lambda i: F.ceil(F.col("start_page") / F.pow(F.lit(2.0), i)).cast("long")
+    end = lambda i: F.floor((F.col("stop") + 1) / F.pow(F.lit(2.0), i)).cast("long")
+    some = lambda i, n, odd: F.when((first(i) < end(i)) & (odd % 2 != 0), F.struct(i.cast("int").alias("level"), n.alias("node")))
+    nodes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.array(some(i, first(i), first(i)), some(i, end(i) - 1, end(i)))))
+    s = s.withColumn("_node", F.explode(F.array_compact(nodes)))
+    levels = s.groupBy("pdf").agg(F.collect_set("_node.level").alias("_levels"))
+    at = F.transform("_levels", lambda i: F.struct(i.alias("level"), F.floor(F.col("page") / F.pow(F.lit(2.0), i)).cast("long").alias("node")))
+    df = pages.join(levels, "pdf").withColumn("_node", F.explode(at)).drop("_levels").join(s, ["pdf", "_node"])
+    return df.withColumn("page_index", F.col("page") - F.col("start_page")).drop("stop", "last_page", "_node")
 
 
 def section_lines(lines: DataFrame, sections: DataFrame, least: int = 3, skip: tuple = ()) -> DataFrame:

@@ -217,6 +217,19 @@ def _(v):
     return rel.mentions(v("documents").select(c("doc_id").alias("page_id"), "text"), v("benchmark").select(c("item_id").alias("card_id"), "text"))
 
 
+@query("j7_any_width", """WITH p AS (SELECT DISTINCT pdf, page FROM lines_v), l AS (SELECT pdf, max(page) AS last_page FROM p GROUP BY pdf),
+s AS (SELECT pdf, last_page, k, k * 7 AS start, k * 7 + (1 << (k % 18)::INT) - 1 AS stop FROM (SELECT pdf, last_page, unnest(range(0, last_page // 7 + 1)) AS k FROM l) WHERE k % 5 = 0)
+SELECT p.pdf, p.page, count(*) AS sections, sum(p.page - start)::BIGINT AS indexes, max(s.k) AS latest FROM p JOIN s ON p.pdf = s.pdf AND p.page BETWEEN start AND least(stop, last_page) GROUP BY ALL""")
+def _(v):
+    """Sections from 1 to 131,072 pages wide."""
+    pages = v("lines_v").select("pdf", "page").distinct()
+    last = pages.groupBy("pdf").agg(F.max("page").alias("last_page"))
+    s = last.select("pdf", F.explode(F.sequence(lit(0).cast("long"), F.floor(c("last_page") / 7).cast("long"))).alias("section")).filter("section % 5 = 0")
+    s = s.withColumns({"start_page": c("section") * 7, "end_page": F.expr("section * 7 + shiftleft(1L, cast(section % 18 AS int)) - 1")})
+    got = rel.pages_in_sections(pages, s, last).groupBy("pdf", "page")
+    return got.agg(F.count("*").alias("sections"), F.sum("page_index").alias("indexes"), F.max("section").alias("latest"))
+
+
 _SECTIONS = """WITH p AS (SELECT DISTINCT pdf, page FROM lines_v), l AS (SELECT pdf, max(page) AS last_page FROM p GROUP BY pdf),
 s AS (SELECT pdf, last_page, unnest(range(0, last_page // 100 + 1)) AS k FROM l)
 SELECT p.pdf, p.page, s.k AS section, p.page - s.k * 100 AS page_index FROM p JOIN s ON p.pdf = s.pdf AND p.page BETWEEN s.k * 100 AND least(s.k * 100 + 150, last_page)"""
