@@ -249,6 +249,15 @@ def effective_permission(users: DataFrame, folders: DataFrame, members: DataFram
     return df.withColumns({"can_edit": F.col("permission").isin("edit", "admin"), "can_admin": F.col("permission") == "admin"})
 
 
+def permission_rules(users: DataFrame, members: DataFrame) -> DataFrame:
+    """The same without a row for each folder of those who may do all: they have one row without a folder, flagged `sees_all`."""
+    admins = users.filter("level <= 10").select(F.col("id").alias("user_id"))
+    plain = members.join(admins, "user_id", "left_anti").select("user_id", "folder_id", "permission", F.lit(False).alias("sees_all"))
+    kind = members.schema["folder_id"].dataType
+    df = plain.unionByName(admins.select("user_id", F.lit(None).cast(kind).alias("folder_id"), F.lit("admin").alias("permission"), F.lit(True).alias("sees_all")))
+    return df.withColumns({"can_edit": F.col("permission").isin("edit", "admin"), "can_admin": F.col("permission") == "admin"})
+
+
 # aggregates
 
 
@@ -264,8 +273,10 @@ def study_stats(records: DataFrame, now: str, cards: DataFrame | None = None, ow
         F.count_if("is_starred").alias("starred"),
         F.count_if(today).alias("today"),
     )
-    if cards is None:
-        return got
+    return got if cards is None else _with_total_cards(got, cards, owner, shared)
+
+
+def _with_total_cards(got: DataFrame, cards: DataFrame, owner: str = "user_id", shared: tuple = SHARED) -> DataFrame:
     is_shared = F.coalesce(F.col("category").isin(*shared), F.lit(False))
     own = cards.filter(~is_shared & F.col(owner).isNotNull()).groupBy(F.col(owner).alias("user_id")).agg(F.count("*").alias("_own"))
     every = cards.agg(F.count_if(is_shared).alias("_shared"))  # one row
@@ -348,8 +359,31 @@ def recent_attempts(records: DataFrame, cards: DataFrame, n: int) -> DataFrame:
     return df.join(cards.select(F.col("id").alias("card_id"), "chinese", "subject"), "card_id", "left")
 
 
-def dashboard(records: DataFrame, cards: DataFrame, now: str, days: int = 7, n: int = 20) -> DataFrame:
-    """One row a user: statistics (with the visible cards, if cards have owners), and arrays of its last days and attempts (both bounded)."""
-    daily = daily_stats(records, days).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day", "n", "avg_score", "max_score")), False).alias("daily"))
-    recent = recent_attempts(records, cards, n).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "card_id", "chinese", "score")), False).alias("recent"))
-    return study_stats(records, now, cards if "user_id" in cards.columns else None).join(daily, "user_id", "left").join(recent, "user_id", "left")
+def dashboard(records: DataFrame, cards: DataFrame, now: str, days: int = 7, n: int = 20, salts: int = 64) -> DataFrame:
+    """One row a user: statistics (with the visible cards, if cards have owners), and arrays of its last days and attempts (both bounded).
+
+    Records are scanned once and shuffled once: each salt of a user's day keeps its `n` latest, a day merges these, a user its days.
+    A day has an attempt, so the `n` latest attempts lie in the `n` latest days. A user without a record has nulls for both arrays; a record without a time comes last.
+    """
+    attempt = F.struct("created_at", "id", "card_id", "score")
+    df = records.select("user_id", "created_at", "id", "card_id", "score", "is_starred", local_day(F.col("created_at")).alias("day"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("_salt"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "day", "_salt").orderBy(F.desc("created_at"), F.desc("id")))
+    latest = lambda c: F.slice(F.sort_array(c, False), 1, n)
+    df = df.withColumn("_r", rank).groupBy("user_id", "day").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("avg_score"), F.max("score").alias("max_score"), F.count_if("is_starred").alias("starred"),
+        F.count_if(F.col("score") > 0).alias("above"), F.sum(F.when(F.col("score") > 0, F.col("score"))).alias("points"),
+        latest(F.collect_list(F.when(F.col("_r") <= n, attempt))).alias("latest"),
+    )
+    df = df.withColumn("_d", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day"))))
+    today = F.col("day") == local_day(F.to_timestamp_ntz(F.lit(now)))
+    df = df.groupBy("user_id").agg(
+        F.sum("n").alias("attempts"), F.round(F.coalesce(F.sum("points") / F.when(F.sum("above") > 0, F.sum("above")), F.lit(0.0)), 1).alias("avg_score"),
+        F.sum("starred").alias("starred"), F.coalesce(F.sum(F.when(today, F.col("n"))), F.lit(0)).alias("today"),
+        F.sort_array(F.collect_list(F.when(F.col("_d") <= days, F.struct("day", "n", "avg_score", "max_score"))), False).alias("daily"),
+        latest(F.flatten(F.collect_list(F.when(F.col("_d") <= n, F.col("latest"))))).alias("latest"),
+    )
+    texts = cards.select(F.col("id").alias("card_id"), "chinese")
+    named = df.select("user_id", F.explode("latest").alias("a")).select("user_id", "a.*").join(texts, "card_id", "left")
+    named = named.groupBy(F.col("user_id").alias("_user")).agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "card_id", "chinese", "score")), False).alias("recent"))
+    df = df.drop("latest").join(named, F.col("user_id").eqNullSafe(F.col("_user")), "left").drop("_user")
+    return _with_total_cards(df, cards) if "user_id" in cards.columns else df

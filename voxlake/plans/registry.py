@@ -265,6 +265,11 @@ def _(v):
     return rel.effective_permission(v("users_v"), v("folders_v"), v("members_v")).select("user_id", "folder_id", "permission")
 
 
+@query("j11_rules", "SELECT id AS user_id, NULL::INT AS folder_id, 'admin' AS permission, true AS sees_all, true AS can_edit, true AS can_admin FROM users_v WHERE level <= 10 UNION ALL SELECT user_id, folder_id, permission, false, permission IN ('edit', 'admin'), permission = 'admin' FROM members_v WHERE user_id NOT IN (SELECT id FROM users_v WHERE level <= 10)")
+def _(v):
+    return rel.permission_rules(v("users_v"), v("members_v"))
+
+
 # aggregates
 
 
@@ -343,6 +348,28 @@ def _(v):
     return rel.dashboard(v("records_v"), v("cards_v"), NOW)
 
 
+_DASH = f"""WITH k AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'textbook' ELSE category END AS kind, id % 170 AS owner FROM cards_v), r AS (SELECT *, (created_at + INTERVAL 9 HOURS)::DATE AS day FROM records_v),
+t AS (SELECT user_id, count(*) AS attempts, round(coalesce(avg(score) FILTER (score > 0), 0), 1) AS avg_score, count(*) FILTER (is_starred) AS starred, count(*) FILTER (day = (TIMESTAMP '{NOW}' + INTERVAL 9 HOURS)::DATE) AS today FROM r GROUP BY 1),
+d AS (SELECT user_id, string_agg(concat_ws('/', day, n, a, m), ' ' ORDER BY day DESC) AS daily FROM (SELECT user_id, day, count(*) AS n, round(avg(score), 1) AS a, max(score) AS m FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) <= 7) GROUP BY 1),
+l AS (SELECT r.user_id, string_agg(concat_ws('/', epoch_us(created_at), r.id, card_id, chinese, score), ' ' ORDER BY created_at DESC, r.id DESC) AS recent FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 20) r LEFT JOIN k ON k.id = card_id GROUP BY 1),
+o AS (SELECT owner AS user_id, count(*) AS own FROM k WHERE kind NOT IN ('textbook', 'pronunciation') GROUP BY 1)
+SELECT coalesce(t.user_id, o.user_id)::BIGINT AS user_id, coalesce(attempts, 0) AS attempts, coalesce(avg_score, 0) AS avg_score, coalesce(starred, 0) AS starred, coalesce(today, 0) AS today,
+  coalesce(own, 0) + (SELECT count(*) FROM k WHERE kind IN ('textbook', 'pronunciation')) AS total_cards, coalesce(daily, '') AS daily, coalesce(recent, '') AS recent
+FROM t FULL JOIN o ON o.user_id = t.user_id LEFT JOIN d ON d.user_id = t.user_id LEFT JOIN l ON l.user_id = t.user_id"""
+
+
+@query("a14_dashboard_text", _DASH)
+def _(v):
+    """The dashboard with owned and shared cards; its arrays as text, so that all of it is compared."""
+    cards = v("cards_v").withColumns({"category": F.when(c("id") % 4 == 0, "textbook").otherwise(c("category")), "user_id": (c("id") % 170).cast("long")})
+    df = rel.dashboard(v("records_v"), cards, NOW)
+    joined = lambda name, *parts: F.coalesce(F.array_join(F.transform(name, lambda x: F.concat_ws("/", *(p(x) for p in parts))), " "), lit("")).alias(name)
+    field = lambda k: lambda x: x[k].cast("string")
+    micros = lambda x: F.unix_micros(x["created_at"].cast("timestamp")).cast("string")
+    daily, recent = joined("daily", *map(field, ("day", "n", "avg_score", "max_score"))), joined("recent", micros, *map(field, ("id", "card_id", "chinese", "score")))
+    return df.select("user_id", "attempts", "avg_score", "starred", "today", "total_cards", daily, recent)
+
+
 # ordering
 
 
@@ -1070,6 +1097,21 @@ def _(spark, v, d, path):
     return src.read_sections(spark, path).select("pdf", "title", "week", "start_page", "end_page")
 
 
+@_written("s1_read_table", "SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def _(spark, v, d, path):
+    return src.read_table(spark, d, "nation", "n_name string, n_regionkey bigint")
+
+
+@_written("s8_manifest", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, sum(n_chars)::BIGINT AS chars, true AS total_ok, true AS both FROM documents")
+def _(spark, v, d, path):
+    """The two parts as written, read back."""
+    out = src.write_manifest(v("documents").select("doc_id", "n_chars"), path, "doc_id", "n_chars")
+    part = lambda k: spark.read.schema("doc_id bigint, n_chars bigint").csv(out[k], header=True).withColumn("part", lit(k))
+    df = part("train_csv").unionByName(part("eval_csv"))
+    both = F.count_distinct("part") == 2
+    return df.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.sum("n_chars").alias("chars"), (F.sum("n_chars") == lit(int(out["total_duration"]))).alias("total_ok"), both.alias("both"))
+
+
 @_written("s5_dictionary", "SELECT '' AS part, n_name AS term, n_regionkey::VARCHAR AS gloss FROM nation UNION ALL SELECT 'syllable', r_name, r_regionkey::VARCHAR FROM region")
 def _(spark, v, d, path):
     pairs = lambda df, k, x: df.agg(F.map_from_entries(F.collect_list(F.struct(c(k), c(x).cast("string")))).alias("m"))
@@ -1116,6 +1158,25 @@ def _(spark, v, d, path):
     return spark.read.parquet(f"{path}/out")
 
 
+@_written("r2_closed_days", """WITH a AS (SELECT *, least(4, date_diff('day', (SELECT min(created_at) FROM records_v), created_at) // 6) + CASE WHEN id % 10 = 0 THEN 2 ELSE 0 END AS load, (created_at + INTERVAL 9 HOURS)::DATE AS day FROM records_v),
+m AS (SELECT load, max(max(created_at)) OVER (ORDER BY load) - INTERVAL 1 DAY AS mark FROM a GROUP BY load),
+x AS (SELECT a.*, day + INTERVAL 15 HOURS AS stop, coalesce(m.mark, TIMESTAMP '1970-01-01') AS mark FROM a LEFT JOIN m ON m.load = a.load - 1)
+SELECT user_id, day, count(*) FILTER (stop > mark) AS n, round(avg(score) FILTER (stop > mark), 1) AS avg_score, max(score) FILTER (stop > mark) AS max_score, count(*) FILTER (stop <= mark) AS late
+FROM x WHERE stop <= (SELECT max(mark) FROM m) GROUP BY 1, 2 HAVING n > 0""")
+def _(spark, v, d, path):
+    """The attempts arrive in loads of six days, a tenth of them two loads late; a run of the stream for each load, as a scheduled job. Days go out once, when the watermark has passed them."""
+    r = v("records_v").select("id", "user_id", "score", "created_at")
+    first = r.agg(F.min("created_at").alias("m")).first()["m"]
+    load = F.least(lit(4), F.floor(F.datediff("created_at", lit(first)) / 6)) + F.when(c("id") % 10 == 0, 2).otherwise(0)
+    r.withColumn("load", load).write.partitionBy("load").parquet(f"{path}/loads")
+    for i in range(7):
+        arrived = spark.read.parquet(f"{path}/loads").filter(c("load") == i).drop("load")
+        arrived.write.mode("append").parquet(f"{path}/arrived")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{path}/arrived")
+        _ran(running.running_days(stream, "1 day").writeStream.outputMode("append").format("parquet").option("path", f"{path}/days"), path)
+    return running.late_attempts(r, spark.read.parquet(f"{path}/days"))
+
+
 @_written("r3_upserts", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def _(spark, v, d, path):
     _ran(running.upsert_sink(_stream(spark, d, "events").select("user_id", "event_type", "event_id"), f"{path}/table", ["user_id"], "event_id"), path)

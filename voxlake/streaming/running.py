@@ -22,6 +22,13 @@ def running_days(records: DataFrame, late: str = "2 days") -> DataFrame:
     return df.select("user_id", F.to_date(F.col("window.start") + F.expr("INTERVAL 9 HOURS")).alias("day"), "n", "avg_score", "max_score")
 
 
+def late_attempts(records: DataFrame, days: DataFrame) -> DataFrame:
+    """`days` as an append sink holds them, with `late`: the attempts of `records` on that day that came after the watermark and are not in it."""
+    day = F.to_date(F.col("created_at").cast("timestamp") + F.expr("INTERVAL 9 HOURS"))
+    seen = records.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("_seen"))
+    return days.join(seen, ["user_id", "day"]).withColumn("late", F.col("_seen") - F.col("n")).drop("_seen")
+
+
 def upsert_sink(changes: DataFrame, path: str, keys: list[str], order: str, buckets: int = 32) -> DataStreamWriter:
     """Keeps the last change of each key in a table under `path`; a batch that is played again changes nothing.
 
