@@ -1,11 +1,13 @@
+import datetime
 import json
+import random
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.operators import maintenance, sequence, signal
+from voxlake.operators import maintenance, relational, sequence, signal
 from voxlake.sources import tables
 from voxlake.streaming import running
 
@@ -111,3 +113,35 @@ def test_streams_equal_batch(spark, tmp_path):
     q = running.running_days(s).writeStream.outputMode("update").format("memory").queryName("days").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination()
     assert sorted((str(r["day"]), r["n"]) for r in spark.table("days").collect()) == [("2024-01-01", 1), ("2024-01-02", 1)]
+
+
+def test_late_attempts_are_left_out_and_told(spark, tmp_path):
+    """A day goes out once, when the watermark has passed it; what comes later is dropped and counted."""
+    kind = "user_id int, score int, at string"
+    loads = [[(1, 10, "2024-01-01 01:00:00"), (1, 20, "2024-01-01 02:00:00"), (2, 5, "2024-01-05 01:00:00")], [(1, 99, "2024-01-01 03:00:00"), (2, 7, "2024-01-05 02:00:00"), (2, 9, "2024-01-09 01:00:00")]]
+    for i, rows in enumerate(loads):
+        part = spark.createDataFrame(rows, kind).select("user_id", "score", F.to_timestamp_ntz("at").alias("created_at"))
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        out = running.running_days(stream, "1 day").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+        out.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    got = running.late_attempts(spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "out")))
+    assert sorted((r["user_id"], str(r["day"]), r["n"], r["avg_score"], r["max_score"], r["late"]) for r in got.collect()) == [(1, "2024-01-01", 2, 15.0, 20, 1), (2, "2024-01-05", 2, 6.0, 7, 0)]
+
+
+def test_dashboard_of_a_hot_day(spark):
+    """One user's day with most rows, ties in time, a record without a time, a user with cards alone: as told by a plain version."""
+    rng = random.Random(9)
+    at = lambda day, s: datetime.datetime(2024, 1, day, 3) + datetime.timedelta(seconds=s)
+    rows = [(1, i, rng.randrange(5), rng.randrange(-1, 9), at(9, rng.randrange(40))) for i in range(300)] + [(1, 300 + i, 1, 4, at(1 + i % 8, i)) for i in range(12)] + [(2, 900, 3, None, None), (2, 901, 77, 0, at(3, 1))]
+    rec = spark.createDataFrame([(*r, False) for r in rows], "user_id long, id long, card_id long, score int, created_at timestamp_ntz, is_starred boolean")
+    cards = spark.createDataFrame([(i, f"c{i}", "own", u) for i, u in enumerate([1, 1, 3, None, 2])] + [(9, "c9", "textbook", 1)], "id long, chinese string, category string, user_id long")
+    for salts in (1, 5, 64):
+        got = {r["user_id"]: r for r in relational.dashboard(rec, cards, "2024-01-09 05:00:00", 3, 4, salts).collect()}
+        assert set(got) == {1, 2, 3} and got[3]["recent"] is None and [got[u]["total_cards"] for u in (1, 2, 3)] == [3, 2, 2]
+        for u in (1, 2):
+            own = sorted((r for r in rows if r[0] == u), key=lambda r: (r[4] is not None, r[4] or at(1, 0), r[1]), reverse=True)
+            assert [(a["id"], a["created_at"], a["chinese"]) for a in got[u]["recent"]] == [(r[1], r[4], f"c{r[2]}" if r[2] < 5 else None) for r in own[:4]]
+            assert got[u]["attempts"] == len(own) and got[u]["today"] == sum(r[4] is not None and r[4].day == 9 for r in own)
+            days = sorted({r[4].date() for r in own if r[4]}, reverse=True)[:3]
+            assert [(d["day"], d["n"]) for d in got[u]["daily"]][: len(days)] == [(d, sum(r[4] is not None and r[4].date() == d for r in own)) for d in days]
