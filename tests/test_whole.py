@@ -1,7 +1,9 @@
 """Queries over whole texts and files, and ways that differ from the SQL, against plain versions."""
 
+import pickle
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import segmentation, text
@@ -173,3 +175,45 @@ def test_scopes_and_pairs_agree(spark):
     found = relational.scopes(rows, viewers, "voice_id").select("viewer_id", "sees_all", "id").collect()
     assert {(v, i) for v, every, x in found for i in (range(9) if every else [x])} == pairs
     assert sum(r["sees_all"] for r in found) == 2
+
+
+def plain_walk(units, gloss, window, other):
+    out, i = [], 0
+    while i < len(units):
+        k = max((k for k in range(1, window + 1) if i + k <= len(units) and "".join(units[i : i + k]) in gloss), default=0)
+        out.append(gloss["".join(units[i : i + k])] if k else other(units[i]))
+        i += k or 1
+    return out
+
+
+def test_terms_walk():
+    """Against the plain walk: random texts of few letters, empty and null ones, chunks of any size, hashes that fall together, a shipped copy."""
+    rng = random.Random(5)
+    for trial in range(60):
+        letters = "ab好𝄞"[: rng.randint(1, 4)]
+        word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))  # noqa: E731, B023
+        gloss = {word(6): rng.choice(["", "x", "long gloss"]) for _ in range(rng.choice([0, 1, 5, 40]))}
+        terms = pickle.loads(pickle.dumps(segmentation.Terms(list(gloss), list(gloss.values()))))
+        if trial % 3 == 0:
+            terms.table[:] = True
+        texts = [rng.choice([None, "", " ".join(word(3) for _ in range(rng.randint(1, 40)))]) for _ in range(8)]
+        window = rng.randint(1, 6)
+        for units in (list, str.split):
+            want = [None if t is None else "|".join(plain_walk(units(t), gloss, window, str.upper)) for t in texts]
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(segmentation, "CHUNK", rng.choice([1, 7, 1000]))
+                assert terms.read(texts, units, window, "|", str.upper) == want
+
+
+def test_chunks(spark):
+    """Limits hold but for long words, nothing but white space is lost, null and empty texts, a long text in linear time."""
+    rng = random.Random(6)
+    text_of = lambda n: "".join(rng.choice(["word", "a", "x" * 30, " ", ", ", ". ", "! ", "é", "\x85"]) for _ in range(n))
+    texts = [text_of(rng.randint(0, 200)) for _ in range(100)]
+    for t in texts:
+        got = text.chunks_of(t, 40)
+        assert all(len(c) <= 40 or " " not in c for c in got) and all(c.strip(text.ASCII_SPACE) == c != "" for c in got)
+        squeeze = lambda s: "".join(s.split(" "))
+        assert squeeze("".join(got)) == squeeze(t)
+    rows = spark.createDataFrame([(None,), ("",), (text_of(300_000),)], "t string").select(F.size(text.pack_chunks(F.col("t"))).alias("n"), F.col("t").isNull().alias("gone")).collect()
+    assert rows[0].n in (None, -1) and rows[1].n == 0 and rows[2].n > 1000

@@ -1,7 +1,7 @@
 """Longest-match segmentation of texts with dictionaries (term, gloss) of any size.
 
 A dictionary of up to `BOUND` characters, which are counted first, goes to each worker once; a walk over a text
-looks a run up only if terms that begin like it have its length. Beyond that bound the runs of each distinct text, told apart by the MD5 of the text, are joined
+looks a run of several units up only if the table of hashes has it. Beyond that bound the runs of each distinct text, told apart by the MD5 of the text, are joined
 with the terms by hash partitions, and the same walk takes what the text holds as its dictionary: no text is part of a join key.
 Of several glosses of a term the smallest counts; null terms and glosses count as absent; a null text stays null.
 """
@@ -9,9 +9,10 @@ Of several glosses of a term the smallest counts; null terms and glosses count a
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,32 +25,89 @@ BOUND = 12_000_000
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Units that are walked together.
+CHUNK = 1 << 20
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its polynomial hash, and the power by which a hash is moved when the word is put behind another."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    ends = sizes.cumsum()
+    powers = np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), BASE)]).cumprod(dtype=np.uint64)
+    behind = np.repeat(ends, sizes) - 1 - np.arange(len(codes))
+    return np.add.reduceat(codes * powers[behind], ends - sizes), powers[sizes]
+
+
 class Terms:
-    """A trie of two levels: by the first character of a term the lengths that its terms have, then the terms by themselves."""
-
-    def __init__(self, terms: Iterable[tuple[str, str]]):
-        self.gloss = dict(terms)
-        lengths: dict[str, set[int]] = defaultdict(set)
-        for term in self.gloss:
-            lengths[term[0]].add(len(term))
-        self.lengths = {ch: (max(n), frozenset(n)) for ch, n in lengths.items()}
-
-    def walk(self, units: list[str], window: int, other: Callable[[str], str]) -> list[str]:
-        """Glosses of the longest terms of up to `window` units, from left to right; `other` reads a unit that begins none."""
-        out, i, n = [], 0, len(units)
-        gloss, lengths = self.gloss.get, self.lengths.get
-        while i < n:
-            length, word, run = 1, None, ""
-            if known := lengths(units[i][0]):
-                most, fits = known
-                for k in range(i, min(i + window, n)):
-                    run += units[k]
-                    if (size := len(run)) > most:
-                        break
-                    if size in fits and (found := gloss(run)) is not None:
-                        length, word = k + 1 - i, found
-            out.append(other(units[i]) if word is None else word)
-            i += length
+    """Terms with their glosses, and a table of their hashes, by which nearly all runs are ruled out before their string is made."""
+
+    def __init__(self, terms: Sequence[str], glosses: Sequence[str]):
+        self.terms, self.glosses = terms, glosses
+
+    def __reduce__(self) -> tuple:
+        return Terms, (self.terms, self.glosses)
+
+    @cached_property
+    def gloss(self) -> dict[str, str]:
+        return dict(zip(self.terms, self.glosses, strict=True))
+
+    @cached_property
+    def shift(self) -> np.uint64:
+        return np.uint64(64 - min(26, max(10, (32 * len(self.terms)).bit_length())))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        table = np.zeros(1 << (64 - int(self.shift)), bool)
+        if len(self.terms):
+            table[self._slots(_hashes(self.terms)[0])] = True
+        return table
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * MIX) >> self.shift
+
+    def walk(self, texts: list[list[str]], window: int, other: Callable[[str], str]) -> list[list[str]]:
+        """For each text the glosses of the longest terms of up to `window` units, from left to right; `other` reads a unit that begins none."""
+        flat = [u for t in texts for u in t]
+        n, sizes = len(flat), np.array([len(t) for t in texts], np.int64)
+        if not n:
+            return [[] for _ in texts]
+        ids, units = pd.factorize(np.array(flat, dtype=object))
+        value, power = (x[ids] for x in _hashes(list(units)))
+        ends, run, gloss, longest = sizes.cumsum(), value, self.gloss.get, {}
+        left = np.repeat(ends, sizes) - np.arange(n)
+        for k in range(2, min(window, n) + 1):
+            run = run[: n - k + 1] * power[k - 1 :] + value[k - 1 :]
+            for i in np.flatnonzero(self.table[self._slots(run)] & (left[: n - k + 1] >= k)).tolist():
+                if (found := gloss("".join(flat[i : i + k]))) is not None:
+                    longest[i] = k, found
+        out, kept, free = np.array([other(u) if (w := gloss(u)) is None else w for u in units], dtype=object)[ids], np.ones(n, bool), 0
+        for i in sorted(longest):
+            if i >= free:
+                k, out[i] = longest[i]
+                free = i + k
+                kept[i + 1 : free] = False
+        return [out[a:b][kept[a:b]].tolist() for a, b in zip(ends - sizes, ends, strict=True)]
+
+    def read(self, texts: Iterable[str | None], units: Callable[[str], list[str]], window: int, joined: str, other: Callable[[str], str]) -> list[str | None]:
+        """Texts as `walk` gives them, a chunk of units at a time; a null text stays null."""
+        out: list[str | None] = []
+        held: list[list[str] | None] = []
+        size = 0
+
+        def close() -> None:
+            done = iter(self.walk([t for t in held if t is not None], window, other))
+            out.extend(None if t is None else joined.join(next(done)) for t in held)
+            held.clear()
+
+        for text in texts:
+            held.append(None if text is None else units(text))
+            size += len(held[-1] or ())
+            if size >= CHUNK:
+                close()
+                size = 0
+        close()
         return out
 
 
@@ -58,7 +116,8 @@ def _units(by: str) -> Callable[[str], list[str]]:
 
 
 def _clean(dictionary: DataFrame) -> DataFrame:
-    return dictionary.filter("term is not null and term <> '' and gloss is not null").groupBy("term").agg(F.min("gloss").alias("gloss"))
+    # the filter on the gloss comes last, so that glosses that are computed are not computed for it on every row
+    return dictionary.filter("term is not null and term <> ''").groupBy("term").agg(F.min("gloss").alias("gloss")).filter("gloss is not null")
 
 
 def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "characters", window: int = 6, joined: str = "; ", syllables: dict[str, str] | None = None, bound: int = BOUND) -> DataFrame:
@@ -66,21 +125,20 @@ def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "ch
     words, other, units = _clean(words).persist(), syllables or {}, _units(by)
     size = words.agg(F.sum(F.length("term") + F.length("gloss"))).first()[0] or 0
     if size <= bound:
-        rows = words.toPandas()  # bounded
+        rows = words.toArrow()  # bounded
         words.unpersist()
-        shared = df.sparkSession.sparkContext.broadcast(Terms(zip(rows["term"], rows["gloss"], strict=True)))
+        shared = df.sparkSession.sparkContext.broadcast(Terms(rows["term"].to_pylist(), rows["gloss"].to_pylist()))
 
         @F.pandas_udf("string")
         def walk(text: pd.Series) -> pd.Series:
-            known = shared.value
-            return text.map(lambda t: None if t is None else joined.join(known.walk(units(t), window, lambda u: other.get(u, u))))
+            return pd.Series(shared.value.read(text, units, window, joined, lambda u: other.get(u, u)), dtype=object)
 
         return df.withColumn(out, walk(F.col(col)))
 
     @F.pandas_udf("string")
     def walk_own(text: pd.Series, terms: pd.Series, glosses: pd.Series) -> pd.Series:
-        own = lambda a, b: Terms(zip(a, b, strict=True)) if a is not None else Terms(())
-        return pd.Series([None if t is None else joined.join(own(a, b).walk(units(t), window, lambda u: other.get(u, u))) for t, a, b in zip(text, terms, glosses, strict=True)], dtype=object)
+        own = lambda a, b: Terms((), ()) if a is None else Terms(list(a), list(b))
+        return pd.Series([own(a, b).read([t], units, window, joined, lambda u: other.get(u, u))[0] for t, a, b in zip(text, terms, glosses, strict=True)], dtype=object)
 
     @F.pandas_udf("array<string>")
     def runs(text: pd.Series) -> pd.Series:
@@ -100,5 +158,5 @@ def toned(col: Column) -> Column:
 
 def words_of_syllables(df: DataFrame, col: str, words: DataFrame, out: str, syllables: dict[str, str] | None = None, bound: int = BOUND) -> DataFrame:
     """Adds `out`: toned syllables replaced by the longest known word of up to four, else syllable by syllable; other texts stay."""
-    df = segmented(df, col, words, "_walked", "tokens", 4, "", syllables, bound)
-    return df.withColumn(out, F.when(toned(F.col(col)), F.col("_walked")).otherwise(F.col(col))).drop("_walked")
+    df = segmented(df.withColumn("_toned", F.when(toned(F.col(col)), F.col(col))), "_toned", words, "_walked", "tokens", 4, "", syllables, bound)
+    return df.withColumn(out, F.coalesce("_walked", F.col(col))).drop("_walked", "_toned")

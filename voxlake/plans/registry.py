@@ -1075,7 +1075,8 @@ SELECT doc_id, coalesce(segmented, t) AS segmented FROM d LEFT JOIN back USING (
 def _(v):
     """Words with an accent of one turn, toned or not, replaced by their language-free form."""
     df = v("documents").select("doc_id", F.translate("text", "áéíóú", "áéíóǔ").alias("text"))
-    words = df.select(F.explode(text.tokens(c("text"))).alias("term")).distinct().select("term", plain(c("term")).alias("gloss"))
+    # the count is looked at, so words are told apart before their glosses are made; a distinct alone would be dropped under the minimum
+    words = df.select(F.explode(text.tokens(c("text"))).alias("term")).groupBy("term").count().filter("count > 0").select("term", plain(c("term")).alias("gloss"))
     return segmentation.words_of_syllables(df, "text", words, "segmented").select("doc_id", "segmented")
 
 
