@@ -1,7 +1,7 @@
 """Longest-match segmentation of texts with dictionaries (term, gloss) of any size.
 
 A dictionary of up to `BOUND` characters, which are counted first, goes to each worker once; a walk over a text
-looks a run of several units up only if the table of hashes has it. Beyond that bound the runs of each distinct text, told apart by the MD5 of the text, are joined
+looks a run of several units up only if the table of hashes has it. Beyond that bound those runs of each distinct text, told apart by the MD5 of the text, that a bit table of all terms doesn't rule out are joined
 with the terms by hash partitions, and the same walk takes what the text holds as its dictionary: no text is part of a join key.
 Of several glosses of a term the smallest counts; null terms and glosses count as absent; a null text stays null.
 """
@@ -120,6 +120,38 @@ def _clean(dictionary: DataFrame) -> DataFrame:
     return dictionary.filter("term is not null and term <> ''").groupBy("term").agg(F.min("gloss").alias("gloss")).filter("gloss is not null")
 
 
+def _marked(words: DataFrame) -> tuple[np.ndarray, np.uint64]:
+    """A bit for each slot that the hash of a term falls in, at most 2 ** 26 of them (8 MB), gathered by Spark in blocks of 32,768; and the shift of the slots."""
+    shift = np.uint64(64 - min(26, max(16, (32 * words.count()).bit_length())))
+
+    @F.pandas_udf("long")
+    def slot(term: pd.Series) -> pd.Series:
+        return pd.Series(((_hashes(list(term))[0] * MIX) >> shift).astype(np.int64) + 1 if len(term) else [], dtype=np.int64)
+
+    slots = words.select(slot("term").alias("slot"))
+    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    table = np.zeros((1 << (64 - int(shift))) // 8, np.uint8)
+    for block, bits in blocks.collect():  # at most 2,048 rows
+        table[(block - 1) * 4096 : block * 4096] = np.frombuffer(bits, np.uint8)
+    return table, shift
+
+
+def _unruled(units: list[str], window: int, table: np.ndarray, shift: np.uint64) -> list[str]:
+    """The distinct runs of up to `window` units that the bits don't rule out."""
+    if not units:
+        return []
+    value, power = _hashes(units)
+    run = value
+    out: set[str] = set()
+    for k in range(1, min(window, len(units)) + 1):
+        if k > 1:
+            run = run[:-1] * power[k - 1 :] + value[k - 1 :]
+        slots = (run * MIX) >> shift
+        bit = (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
+        out.update("".join(units[i : i + k]) for i in np.flatnonzero(bit).tolist())
+    return list(out)
+
+
 def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "characters", window: int = 6, joined: str = "; ", syllables: dict[str, str] | None = None, bound: int = BOUND) -> DataFrame:
     """Adds `out`: the text's units ("characters" or "tokens") replaced by the glosses of the longest known runs, the others by `syllables` or as they are."""
     words, other, units = _clean(words).persist(), syllables or {}, _units(by)
@@ -140,9 +172,12 @@ def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "ch
         own = lambda a, b: Terms((), ()) if a is None else Terms(list(a), list(b))
         return pd.Series([own(a, b).read([t], units, window, joined, lambda u: other.get(u, u))[0] for t, a, b in zip(text, terms, glosses, strict=True)], dtype=object)
 
+    marked, shift = _marked(words)
+    table = df.sparkSession.sparkContext.broadcast(marked)
+
     @F.pandas_udf("array<string>")
     def runs(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: list({"".join(u[i:k]) for u in [units(t or "")] for i in range(len(u)) for k in range(i + 1, min(i + window, len(u)) + 1)}))
+        return text.map(lambda t: _unruled(units(t or ""), window, table.value, shift))
 
     texts = df.select(F.md5(F.col(col).cast("binary")).alias("_key"), F.col(col).alias("_t")).filter("_t is not null")
     found = texts.select("_key", F.explode(runs("_t")).alias("term")).join(words, "term").dropDuplicates(["_key", "term"])
