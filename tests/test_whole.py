@@ -3,6 +3,7 @@
 import pickle
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,18 @@ def test_chunks(spark):
         assert squeeze("".join(got)) == squeeze(t)
     rows = spark.createDataFrame([(None,), ("",), (text_of(300_000),)], "t string").select(F.size(text.pack_chunks(F.col("t"))).alias("n"), F.col("t").isNull().alias("gone")).collect()
     assert rows[0].n in (None, -1) and rows[1].n == 0 and rows[2].n > 1000
+
+
+def test_terms_that_all_texts_hold(spark):
+    """A large dictionary: a term is a row for some texts together, not for each; groups without a term, long texts, copies and null ones; all columns stay."""
+    bits, one = np.full(1 << 13, 255, np.uint8), np.uint64(48)
+    assert segmentation._unruled([["a", "b"]] * 100 + [[], ["c"]], 2, bits, one) == {"a", "b", "ab", "c"}
+    rng = random.Random(8)
+    gloss = {"a": "1", "ab": "2", "bca": "3", "dd": "4"}
+    texts = [*("".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(40)), *["abca"] * 20, None, "", *["ee"] * 30, "abcd" * 30]
+    df = spark.createDataFrame([(i, t, [i]) for i, t in enumerate(texts)], "id long, t string, more array<long>").repartition(3, "id")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(segmentation, "TOGETHER", 4)
+        m.setattr(segmentation, "ALONE", 100)
+        got = segmentation.segmented(df, "t", spark.createDataFrame([*gloss.items()], "term string, gloss string"), "s", window=3, joined="|", bound=0).orderBy("id").collect()
+    assert [(r["t"], r["s"], r["more"]) for r in got] == [(t, None if t is None else "|".join(plain_walk(list(t), gloss, 3, str)), [i]) for i, t in enumerate(texts)]

@@ -1,21 +1,25 @@
 """Longest-match segmentation of texts with dictionaries (term, gloss) of any size.
 
 A dictionary of up to `BOUND` characters, which are counted first, goes to each worker once; a walk over a text
-looks a run of several units up only if the table of hashes has it. Beyond that bound those runs of each distinct text, told apart by the MD5 of the text, that a bit table of all terms doesn't rule out are joined
-with the terms by hash partitions, and the same walk takes what the text holds as its dictionary: no text is part of a join key.
+looks a run of several units up only if the table of hashes has it. Beyond that bound the distinct runs of `TOGETHER` texts at a time that a bit table of all terms doesn't rule out are joined
+with the terms by hash partitions, and the same walk over these texts takes what they hold as its dictionary. A term is at most a row for each such group, and no text is part of a join key.
 Of several glosses of a term the smallest counts; null terms and glosses count as absent; a null text stays null.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from voxlake.sources.tables import new_folder
 
 from .text import HAN, TONE_VOWELS, has_script
 
@@ -24,7 +28,8 @@ BOUND = 12_000_000
 #: White space as the text expressions have it.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-
+#: Texts that are looked up together in a large dictionary, and the length from which on a text is looked up alone.
+TOGETHER, ALONE = 512, 1 << 16
 #: Units that are walked together.
 CHUNK = 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -121,8 +126,8 @@ def _clean(dictionary: DataFrame) -> DataFrame:
 
 
 def _marked(words: DataFrame) -> tuple[np.ndarray, np.uint64]:
-    """A bit for each slot that the hash of a term falls in, at most 2 ** 26 of them (8 MB), gathered by Spark in blocks of 32,768; and the shift of the slots."""
-    shift = np.uint64(64 - min(26, max(16, (32 * words.count()).bit_length())))
+    """A bit for each slot that the hash of a term falls in, at most 2 ** 28 of them (32 MB), gathered by Spark in blocks of 32,768; and the shift of the slots."""
+    shift = np.uint64(64 - min(28, max(16, (32 * words.count()).bit_length())))
 
     @F.pandas_udf("long")
     def slot(term: pd.Series) -> pd.Series:
@@ -131,29 +136,64 @@ def _marked(words: DataFrame) -> tuple[np.ndarray, np.uint64]:
     slots = words.select(slot("term").alias("slot"))
     blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     table = np.zeros((1 << (64 - int(shift))) // 8, np.uint8)
-    for block, bits in blocks.collect():  # at most 2,048 rows
+    for block, bits in blocks.collect():  # at most 8,192 rows
         table[(block - 1) * 4096 : block * 4096] = np.frombuffer(bits, np.uint8)
     return table, shift
 
 
-def _unruled(units: list[str], window: int, table: np.ndarray, shift: np.uint64) -> list[str]:
-    """The distinct runs of up to `window` units that the bits don't rule out."""
-    if not units:
-        return []
-    value, power = _hashes(units)
-    run = value
-    out: set[str] = set()
-    for k in range(1, min(window, len(units)) + 1):
-        if k > 1:
-            run = run[:-1] * power[k - 1 :] + value[k - 1 :]
-        slots = (run * MIX) >> shift
-        bit = (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1
-        out.update("".join(units[i : i + k]) for i in np.flatnonzero(bit).tolist())
-    return list(out)
-
-
-def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "characters", window: int = 6, joined: str = "; ", syllables: dict[str, str] | None = None, bound: int = BOUND) -> DataFrame:
-    """Adds `out`: the text's units ("characters" or "tokens") replaced by the glosses of the longest known runs, the others by `syllables` or as they are."""
+def _unruled(texts: list[list[str]], window: int, table: np.ndarray, shift: np.uint64) -> set[str]:
+    """The distinct runs of up to `window` units of some texts that the bits don't rule out."""
+    flat = [u for t in texts for u in t]
+    n, ends = len(flat), np.array([len(t) for t in texts], np.int64).cumsum()
+    if not n:
+        return set()
+
+    def marked(runs: np.ndarray) -> np.ndarray:
+        slots = (runs * MIX) >> shift
+        return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    ids, units = pd.factorize(np.array(flat, dtype=object))
+    value, power = _hashes(list(units))
+    out = set(units[marked(value)])
+    value, power = value[ids], power[ids]
+    left, run = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), value
+    for k in range(2, min(window, n) + 1):
+        run = run[:-1] * power[k - 1 :] + value[k - 1 :]
+        out.update("".join(flat[i : i + k]) for i in np.flatnonzero(marked(run) & (left[: n - k + 1] >= k)).tolist())
+    return out
+
+
+def _looked_up(df: DataFrame, col: str, words: DataFrame, out: str, units: Callable, window: int, joined: str, other: dict[str, str], only: Column) -> DataFrame:
+    """`segmented` for a dictionary of any size: texts are looked up `TOGETHER`, so a frequent term is one row for as many texts, and copies of a text are no key."""
+    spark, marks = df.sparkSession, _marked(words)
+    table, shift = spark.sparkContext.broadcast(marks[0]), marks[1]
+    path = new_folder(spark, "segmented")  # written, since numbers of rows must stay the same
+    df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_on", F.coalesce(only, F.lit(False))).write.parquet(path)
+    held = spark.read.parquet(path)
+    held = held.withColumn("_at", F.when(F.length(col) > ALONE, -1 - F.col("_id")).otherwise(F.floor(F.col("_id") / TOGETHER))).drop("_id")
+    texts, rest = held.filter("_on").drop("_on"), held.filter("not _on").drop("_on", "_at")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                found = list(_unruled([units(t) for t in batch.column(1)[a:b].to_pylist()], window, table.value, shift)) if b > a else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at[a] if b > a else 0)), pa.array(found, pa.string())], ["_at", "term"])
+
+    def walk(rows: pa.Table, terms: pa.Table) -> pa.Table:
+        own = Terms(terms["term"].to_pylist(), terms["gloss"].to_pylist()) if len(terms) else Terms((), ())
+        said = own.read(rows[col].to_pylist(), units, window, joined, lambda u: other.get(u, u))
+        return rows.drop_columns(["_at"]).append_column(out, pa.array(said, pa.string()))
+
+    found = texts.select("_at", col).mapInArrow(runs, "_at long, term string").join(words, "term").select("_at", "term", "gloss")
+    schema = StructType(rest.schema.fields).add(out, "string")
+    walked = texts.groupBy("_at").cogroup(found.groupBy("_at")).applyInArrow(walk, schema)
+    return walked.unionByName(rest.withColumn(out, F.col(col)))
+
+
+def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "characters", window: int = 6, joined: str = "; ", syllables: dict[str, str] | None = None, bound: int = BOUND, only: Column | None = None) -> DataFrame:
+    """Adds `out`: the text's units ("characters" or "tokens") replaced by the glosses of the longest known runs, the others by `syllables` or as they are; texts for which `only` is not true stay."""
     words, other, units = _clean(words).persist(), syllables or {}, _units(by)
     size = words.agg(F.sum(F.length("term") + F.length("gloss"))).first()[0] or 0
     if size <= bound:
@@ -165,33 +205,16 @@ def segmented(df: DataFrame, col: str, words: DataFrame, out: str, by: str = "ch
         def walk(text: pd.Series) -> pd.Series:
             return pd.Series(shared.value.read(text, units, window, joined, lambda u: other.get(u, u)), dtype=object)
 
-        return df.withColumn(out, walk(F.col(col)))
-
-    @F.pandas_udf("string")
-    def walk_own(text: pd.Series, terms: pd.Series, glosses: pd.Series) -> pd.Series:
-        own = lambda a, b: Terms((), ()) if a is None else Terms(list(a), list(b))
-        return pd.Series([own(a, b).read([t], units, window, joined, lambda u: other.get(u, u))[0] for t, a, b in zip(text, terms, glosses, strict=True)], dtype=object)
-
-    marked, shift = _marked(words)
-    table = df.sparkSession.sparkContext.broadcast(marked)
-
-    @F.pandas_udf("array<string>")
-    def runs(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _unruled(units(t or ""), window, table.value, shift))
+        return df.withColumn(out, walk(F.col(col)) if only is None else F.coalesce(walk(F.when(only, F.col(col))), F.col(col)))
 
-    texts = df.select(F.md5(F.col(col).cast("binary")).alias("_key"), F.col(col).alias("_t")).filter("_t is not null")
-    found = texts.select("_key", F.explode(runs("_t")).alias("term")).join(words, "term").dropDuplicates(["_key", "term"])
-    found = found.groupBy("_key").agg(F.collect_list(F.struct("term", "gloss")).alias("_found"))
-    df = df.withColumn("_key", F.md5(F.col(col).cast("binary"))).join(found, "_key", "left")
-    return df.withColumn(out, walk_own(F.col(col), F.col("_found.term"), F.col("_found.gloss"))).drop("_key", "_found")
+    return _looked_up(df, col, words, out, units, window, joined, other, F.col(col).isNotNull() if only is None else only & F.col(col).isNotNull())
 
 
 def toned(col: Column) -> Column:
     """Whether a text is in toned syllables."""
-    return ~has_script(col, HAN) & col.rlike(f"[{TONE_VOWELS}]")
+    return (F.octet_length(col) > F.length(col)) & ~has_script(col, HAN) & col.rlike(f"[{TONE_VOWELS}]")  # most texts without are ASCII
 
 
 def words_of_syllables(df: DataFrame, col: str, words: DataFrame, out: str, syllables: dict[str, str] | None = None, bound: int = BOUND) -> DataFrame:
     """Adds `out`: toned syllables replaced by the longest known word of up to four, else syllable by syllable; other texts stay."""
-    df = segmented(df.withColumn("_toned", F.when(toned(F.col(col)), F.col(col))), "_toned", words, "_walked", "tokens", 4, "", syllables, bound)
-    return df.withColumn(out, F.coalesce("_walked", F.col(col))).drop("_walked", "_toned")
+    return segmented(df, col, words, out, "tokens", 4, "", syllables, bound, toned(F.col(col)))
