@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.functions import segmentation, text
+from voxlake.functions import scoring, segmentation, text
 from voxlake.operators import relational, sequence
 from voxlake.plans.registry import ACCENTS, PLAIN, QUERIES
 
@@ -233,3 +233,27 @@ def test_terms_that_all_texts_hold(spark):
         m.setattr(segmentation, "ALONE", 100)
         got = segmentation.segmented(df, "t", spark.createDataFrame([*gloss.items()], "term string, gloss string"), "s", window=3, joined="|", bound=0).orderBy("id").collect()
     assert [(r["t"], r["s"], r["more"]) for r in got] == [(t, None if t is None else "|".join(plain_walk(list(t), gloss, 3, str)), [i]) for i, t in enumerate(texts)]
+
+
+def test_batches_of_texts_are_read_one_at_a_time(spark, monkeypatch):
+    """Neither chunks nor comparisons make all texts of a batch strings of Python at once; nulls, empty texts and many chunks come out as they should."""
+
+    def none(*_):
+        raise AssertionError("a batch of texts in pandas")
+
+    monkeypatch.setattr(F, "pandas_udf", none)
+    texts = [None, "", "a b. c!", "word, " * 70_000, None, "x" * 100]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    assert [r["c"] for r in rows.select("i", text.pack_chunks(F.col("t"), 10).alias("c")).orderBy("i").collect()] == [None if t is None else text.chunks_of(t, 10) for t in texts]
+    pairs = spark.createDataFrame([("aébc", "aexc"), (None, "a"), ("a", None), ("", ""), ("ab", "a")], "a string, b string").coalesce(1)
+    got = pairs.select(scoring.compare_texts(F.col("a"), F.col("b"), {"é": "e"}).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [(2, 1, "é", "b"), (None,) * 4, (None,) * 4, (0, 0, "", ""), (1, 0, "", "b")]
+
+
+def test_acronyms_in_one_pass(spark):
+    """Words of the table stand alone, in any case, longest first as a word each; the text is searched once for all of them."""
+    said = {"ai IT wifi": "人工智能 信息技术 无线网络", "AIIT xAI aix": "诶爱爱替 x诶爱 aix", "AI/IT,USB3 ok": "人工智能/信息技术,优盘接口三 好的", "éAI中it": "é人工智能中信息技术", "": ""}
+    zh = text.normalize_zh_ja(F.col("t"), "zh-cn")
+    assert str(zh).count("(?i)") <= 3
+    got = spark.createDataFrame([*said.items()], "t string, want string").select("want", zh.alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,8 +90,10 @@ def align_texts(target: Column, heard: Column, toned: dict[str, str]) -> Column:
 def compare_texts(target: Column, heard: Column, toned: dict[str, str]) -> Column:
     """Struct (perfect, tone_wrong, tones, wrong) of `align_texts`: two numbers, and the first three characters of each kind."""
 
-    @F.pandas_udf("perfect long, tone_wrong long, tones string, wrong string")
-    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("perfect", pa.int64()), ("tone_wrong", pa.int64()), ("tones", pa.string()), ("wrong", pa.string())])
+
+    @F.arrow_udf("perfect long, tone_wrong long, tones string, wrong string")
+    def compared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         base = _base(toned)
 
         def one(a: str | None, b: str | None) -> tuple:
@@ -102,9 +103,9 @@ def compare_texts(target: Column, heard: Column, toned: dict[str, str]) -> Colum
             first = lambda at: "".join(a[i] for i in np.flatnonzero(at)[:3])
             return int((codes == 0).sum()), int((codes == 1).sum()), first(codes == 1), first((codes == 2) | (codes == 3))
 
-        for pairs in batches:
-            rows = pd.DataFrame([one(a, b) for a, b in zip(*pairs, strict=True)], columns=["perfect", "tone_wrong", "tones", "wrong"])
-            yield rows.astype({"perfect": "Int64", "tone_wrong": "Int64"})
+        for pairs in batches:  # a text at a time becomes a string of Python
+            rows = [one(a, b) for a, b in zip(*map(_each, pairs), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
 
     return compared(target, heard)
 
