@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -544,3 +545,23 @@ def test_sql(spark, name):
     order = sorted(df.columns)
     assert order == sorted(rel.columns)
     assert sorted(str([r[x] for x in order]) for r in df.collect()) == sorted(str([r[rel.columns.index(x)] for x in order]) for r in rel.fetchall())
+
+
+def test_near_copies_give_no_more_pairs_than_texts(spark):
+    """Near copies share most of their buckets: each is paired in its own bucket alone, and who is left over in a group, with one text of another."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(w if rng.random() > 0.003 else f"x{i}" for w in base) for i in range(60)]
+    found = [near_dups.shingles(t) for t in texts]
+    corpus = near_dups.Corpus(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    bands, wide = near_dups.signatures(found, corpus), near_dups.sketches(found, corpus)
+    rows = [(int(k), i, i, 0, b.tobytes() + w.tobytes()) for i, (b, w) in enumerate(zip(bands, wide, strict=True)) for k in b]
+    df = spark.createDataFrame(rows, "key long, id long, root long, side int, marks binary")
+    sizes = df.groupBy("key").count()
+    df = df.join(sizes, "key").withColumn("own", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "key")) == 1)
+    df = df.withColumn("left", F.lit(0)).withColumn("right", F.lit(0))
+    pairs = near_dups.agreeing(df, 0.8, "own").collect()
+    assert 40 < len(pairs) < len(texts) and len({r.a for r in pairs}) == len(pairs)
+    two = df.withColumn("root", F.when(F.col("id") < 58, 0).otherwise(F.col("id")))
+    rest = near_dups.agreeing(two, 0.8, "rest").collect()
+    assert rest and all(r.a >= 58 for r in rest) and len(rest) <= 2 * near_dups.BANDS

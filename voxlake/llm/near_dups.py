@@ -13,8 +13,8 @@
    shingles than rows a sample is a min-hash among those of its best row, and two samples depend on each other only if they
    have the same best row.
 3. Equal texts collapse to the one with the smallest id. Texts that share a band bucket with another get a sketch of `WIDE`
-   further samples. In blocks of at most `BLOCK` texts of a bucket, every text is paired with the earlier one that its
-   sketch agrees with most; what is verified joins groups. Then every pair of a bucket whose texts are in different groups
+   further samples. In blocks of at most `BLOCK` texts of its largest bucket, every text is paired with the earlier one that its
+   sketch agrees with most; what is verified joins groups, and texts that are left over are paired so in all their buckets. Then every pair of a bucket whose texts are in different groups
    and whose sketches agree as those of a link do (to `SIGMAS` standard deviations) is verified as well. Pairs within a
    group change no class, so a bucket of copies is not expanded into all its pairs.
 4. Candidates are verified by exact weighted Jaccard similarity on whole texts; links give classes by large-star/small-star.
@@ -37,7 +37,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_hot, written
@@ -202,7 +202,9 @@ class Sampler:
         self.beta = rng.random((TABLE, n)).astype(np.float32)
         # the order of ln a for every idf step and table row at tf = 1, so that most shingles need one look-up
         every = np.arange(TABLE)
-        self.usual = np.concatenate([self._draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), every) for s in range(STEPS + 1)])
+        self.usual = np.empty(((STEPS + 1) * TABLE, n), np.int32)  # filled in place: 71 MB for a sketch
+        for s in range(STEPS + 1):
+            self.usual[s * TABLE : (s + 1) * TABLE] = self._draw(_log_weight(np.ones(1), np.full((TABLE, 1), s)), every)
 
     def _draw(self, log_w: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The samples' order, a row for each shingle, as integers whose last bits are free; log_w is a column."""
@@ -310,7 +312,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shared, scratch: Scratch) -> Da
 
 
 def sketched(buckets: DataFrame, docs: DataFrame, shared, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), marks (band keys, then the sketch); their texts."""
+    """The members of buckets of two texts or more: key, id, n (of the bucket), lead (its smallest id), own (whether it is the text's largest bucket), marks (band keys, then the sketch); their texts."""
     buckets = scratch.table(buckets, "buckets")
     first = scratch.table(buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "leads")
     pool = scratch.table(join_hot(buckets, first, "key", "n", buckets.count()), "pool")
@@ -324,22 +326,30 @@ def sketched(buckets: DataFrame, docs: DataFrame, shared, scratch: Scratch) -> t
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), "text")
     texts = texts.join(pool.select("id", "digest").distinct(), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     texts = scratch.table(texts.withColumn("marks", marks("text")), "sketches")
-    return pool.join(texts.drop("text"), ["id", "digest"]).select("key", "id", "n", "lead", "marks"), texts
+    largest = Window.partitionBy("id", "digest").orderBy(F.desc("n"), "key")
+    pool = pool.withColumn("own", F.row_number().over(largest) == 1)
+    return pool.join(texts.drop("text"), ["id", "digest"]).select("key", "id", "n", "lead", "own", "marks"), texts
 
 
-def _agreeing(group: pd.DataFrame, need: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs of a block whose sketches agree in `need` samples: for each text the best earlier one, or all of different roots and sides."""
+def _agreeing(group: pd.DataFrame, need: int, pick: str) -> list[tuple[int, int]]:
+    """Pairs of a block whose sketches agree in `need` samples.
+
+    "own": for each text, in its own bucket, the best earlier one; "rest": for each text of another root than the lead's the
+    best one of another root; "all": all of different roots and sides.
+    """
     raw = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), -1)
     bands, wide = np.ascontiguousarray(raw[:, : 8 * BANDS]).view(np.int64), np.ascontiguousarray(raw[:, 8 * BANDS :])
     ids, roots, sides, key = group["id"].to_numpy(), group["root"].to_numpy(), group["side"].to_numpy(), group["key"].iloc[0]
-    found = []
-    for i in range(1, len(group)):
-        other = roots[:i] != roots[i]
+    every, found = pick == "all", []
+    mine = group["own"].to_numpy() if pick == "own" else roots != roots[0] if pick == "rest" else np.ones(len(group), bool)
+    for i in np.flatnonzero(mine).tolist():
+        to = len(group) if pick == "rest" else i
+        other = roots[:to] != roots[i]
         if every:
             other &= (sides[:i] != sides[i]) | (sides[i] == 2)
         if not other.any():
             continue
-        same = np.where(other, (wide[:i] == wide[i]).sum(1), -1)
+        same = np.where(other, (wide[:to] == wide[i]).sum(1), -1)
         if not every:
             if same[j := int(same.argmax())] >= need:
                 found.append((ids[i], ids[j]))
@@ -351,7 +361,7 @@ def _agreeing(group: pd.DataFrame, need: int, every: bool) -> list[tuple[int, in
     return found
 
 
-def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
+def agreeing(blocks: DataFrame, least: float, pick: str) -> DataFrame:
     """Pairs (a, b) of texts of a block (key, left, right), a > b; blocks are of bounded size, and read one after the other."""
     need = int(WIDE * least - SIGMAS * (WIDE * least * (1 - least)) ** 0.5)
 
@@ -362,9 +372,9 @@ def agreeing(blocks: DataFrame, least: float, every: bool) -> DataFrame:
             at = pdf[["key", "left", "right"]].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1])
             rest = pdf.iloc[cuts[-1] :]
-            yield frame([x for a, b in zip(cuts, cuts[1:]) for x in _agreeing(pdf.iloc[a:b], need, every)])
+            yield frame([x for a, b in zip(cuts, cuts[1:]) for x in _agreeing(pdf.iloc[a:b], need, pick)])
         if rest is not None and len(rest):
-            yield frame(_agreeing(rest, need, every))
+            yield frame(_agreeing(rest, need, pick))
 
     def frame(found: list) -> pd.DataFrame:
         x = np.array(found, np.int64).reshape(-1, 2)
@@ -383,23 +393,35 @@ def links(buckets: DataFrame, docs: DataFrame, shared, least: float, scratch: Sc
 
     # a block of every text, the lead in each of its bucket's blocks
     home = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), of(F.col("n")) - 1)).otherwise(F.array(part(of(F.col("n")))))
-    blocks = pool.select("key", "id", F.col("id").alias("root"), F.lit(0).alias("side"), "marks", F.explode(home).alias("left")).withColumn("right", F.col("left"))
-    found = verified(agreeing(blocks, least, False).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
+
+    def joined(members: DataFrame, pick: str) -> DataFrame:
+        blocks = members.select("key", "id", "root", F.lit(0).alias("side"), "own", "marks", F.explode(home).alias("left")).withColumn("right", F.col("left"))
+        return verified(agreeing(blocks, least, pick).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
+
+    def apart(groups: DataFrame) -> DataFrame:
+        """The members of buckets whose texts are in several groups: `root`, the bucket's smallest one (`main`), and how many texts it has and the others have."""
+        roots = pool.select("key", "id").distinct().join(groups.withColumnRenamed("root", "group"), "id", "left")
+        roots = scratch.table(roots.select("key", "id", F.coalesce("group", "id").alias("root")), "roots")
+        several = scratch.table(roots.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("most")).filter("main < most").drop("most"), "several")
+        roots = scratch.table(roots.join(several, "key"), "apart")
+        sizes = roots.groupBy("key").agg(F.count_if(F.col("root") == F.col("main")).alias("mains"), F.count_if(F.col("root") != F.col("main")).alias("others"))
+        return pool.join(roots.join(scratch.table(sizes, "sizes"), "key"), ["key", "id"])
+
+    # each text in its own bucket alone, so no group gives more pairs than it has texts; then those that are left over in all of theirs
+    found = joined(pool.withColumn("root", F.col("id")), "own")
+    found = found.unionByName(joined(apart(components(found, scratch)), "rest"))
 
     # the rest: between the group of a bucket's smallest root and the others (side 0 against 1), and among the others (side 2, or blocks of them)
     groups = components(found, scratch)
-    pool = pool.join(groups.withColumnRenamed("root", "group"), "id", "left").withColumn("root", F.coalesce("group", "id")).drop("group")
-    sizes = pool.groupBy("key").agg(F.min("root").alias("main")).join(pool.select("key", "root"), "key")
-    sizes = sizes.groupBy("key", "main").agg(F.count_if(F.col("root") == F.col("main")).alias("mains"), F.count_if(F.col("root") != F.col("main")).alias("others"))
-    pool = pool.join(sizes.filter("others > 0"), "key")
+    rest = apart(groups)
     mains, others = of(F.col("mains")), of(F.col("others"))
     mine = part(others)
     main_blocks = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct((-1 - part(mains)).alias("left"), k.alias("right"), F.lit(0).alias("side")))
     to_mains = F.transform(F.sequence(F.lit(0), mains - 1), lambda k: F.struct((-1 - k).alias("left"), mine.alias("right"), F.lit(1).alias("side")))
     to_others = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least(k, mine).alias("left"), F.greatest(k, mine).alias("right"), F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side")))
     at = F.explode(F.when(F.col("root") == F.col("main"), main_blocks).otherwise(F.concat(to_mains, to_others))).alias("at")
-    blocks = pool.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
-    more = verified(agreeing(blocks, least, True).distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
+    blocks = rest.select("key", "id", "root", "marks", at).select("key", "id", "root", "at.side", "marks", "at.left", "at.right")
+    more = verified(agreeing(blocks, least, "all").distinct(), texts, shared, scratch).filter(F.col("sim") >= least).select("a", "b")
     return groups.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
@@ -449,7 +471,9 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     first = classes(docs, least).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_n_id")).agg(F.count("*").alias("_n"))
     first = written(first, "kept")
     row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_n_id"), F.md5("text").alias("_md5"))
-    row = row.join(first, "_n_id")
-    once = row.filter("_n = 1").select("_row.*")
-    more = row.filter("_n > 1").groupBy("_n_id").agg(F.min_by("_row", F.struct("_md5", F.to_json("_row"))).alias("_row")).select("_row.*")
-    return once.unionByName(more).unionByName(docs.filter("doc_id is null"))
+    # rows meet the kept ids by a shuffle at every size: a broadcast of these would grow with the table
+    kept = row.select("_row", "_n_id").join(first.filter("_n = 1").hint("merge"), "_n_id").select("_row.*").unionByName(docs.filter("doc_id is null"))
+    if (again := first.filter("_n > 1")).isEmpty():
+        return kept
+    more = row.join(again, "_n_id").groupBy("_n_id").agg(F.min_by("_row", F.struct("_md5", F.to_json("_row"))).alias("_row")).select("_row.*")
+    return kept.unionByName(more)
