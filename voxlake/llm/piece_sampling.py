@@ -8,7 +8,7 @@ row's segmentation is the same on every run, partitioning, batch size and retry.
 
 No piece has a blank after another character, so the lattice falls into units (blanks and the word after them). A task
 builds the lattice of each distinct unit once, for all of them side by side, and samples all occurrences together. Texts
-go through in slices of about a million characters, long ones cut between units.
+go through in slices of about 260,000 characters, long ones cut between units.
 
 Characters without a piece become byte pieces, as does a literal U+2581; so decoding gives the text back exactly.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK, LITERAL = 0x2581, 0x120000
-SLICE, SOME = 1 << 20, 18
+SLICE, SOME = 1 << 18, 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -237,8 +237,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(SparkFiles.get(name), alpha)
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
                 texts = batch.column(1).to_pylist()
                 parts: list[list[np.ndarray]] = [[] for _ in texts]
                 for row, ids in _encoded(p, batch.column(2).to_pylist(), texts, seed):
@@ -260,12 +260,16 @@ def decode(column: Column, model: str) -> Column:
     @F.arrow_udf("string")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spelled = pa.array(pieces(SparkFiles.get(name), 1.0).text, pa.large_binary())
-        for rows in batches:
-            flat = spelled.take(rows.flatten())
-            _, starts, data = flat.buffers()
-            sizes = rows.value_lengths().fill_null(0).to_numpy()
-            at = np.frombuffer(starts, np.int64)[np.concatenate([[0], sizes.cumsum()])]
-            data = memoryview(data or b"")
-            yield pa.array([str(data[a + 1 : b], "utf-8", "replace") if r else None for a, b, r in zip(at[:-1], at[1:], rows.is_valid().to_pylist(), strict=True)], pa.string())
+        for batch in batches:
+            texts = []
+            for low in range(0, len(batch), 500):
+                rows = batch.slice(low, 500)
+                flat = spelled.take(rows.flatten())
+                _, starts, data = flat.buffers()
+                sizes = rows.value_lengths().fill_null(0).to_numpy()
+                at = np.frombuffer(starts, np.int64)[np.concatenate([[0], sizes.cumsum()])]
+                data = memoryview(data or b"")
+                texts.append(pa.array([str(data[a + 1 : b], "utf-8", "replace") if r else None for a, b, r in zip(at[:-1], at[1:], rows.is_valid().to_pylist(), strict=True)], pa.string()))
+            yield pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
     return udf(column)
