@@ -86,3 +86,22 @@ def test_long_texts_are_cut_alike(monkeypatch):
         if len(ends) == 1:
             whole = of
         assert all(whole[i] == a for i, a in of.items())
+
+
+def test_shards_grow_in_number(spark, monkeypatch):
+    """A shard's text stays about as large when the input grows, and the spans stay the same."""
+    rng = np.random.default_rng(4)
+    base = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(6)]
+    rows = [(i, base[i % 6][: 150 + 5 * i] + str(rng.integers(10**9)) * 8 + base[(i * 5 + 1) % 6][i:]) for i in range(40)]
+    got = {}
+    for size in (1 << 30, 2000):
+        monkeypatch.setattr(suffix_dedup, "SHARD", size)
+        scratch, parts = Scratch(spark, "test"), []
+        monkeypatch.setattr(suffix_dedup, "_sorted", lambda stream, run=suffix_dedup._sorted: run(stream))
+        table = Scratch.table
+        monkeypatch.setattr(Scratch, "table", lambda self, df, name, table=table, parts=parts: (parts.append((name, df.rdd.getNumPartitions())) if name == "by_suffix" else None, table(self, df, name))[1])
+        df = table(scratch, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "docs")
+        got[size] = sorted((r.doc_id, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.without_repeats(df, scratch).collect())
+        monkeypatch.undo()
+        assert (dict(parts)["by_suffix"] > 4) == (size == 2000)
+    assert got[1 << 30] == got[2000] and sum(len(x[1]) for x in got[2000]) > 10

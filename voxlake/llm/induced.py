@@ -305,6 +305,7 @@ def suffixes(text: np.ndarray, n: int, symbols: int, cap: int, memory: int = 1 <
     names = disk_array(np.int64, m)
     names[which] = np.cumsum(name)
     kinds = int(name.sum()) + 1
+    del which, ends, size, name
     order, equal = disk_array(np.int64, m), np.zeros(m, np.int64)
     if kinds == m:
         order[names[:m]] = np.arange(m)

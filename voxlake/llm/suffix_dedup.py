@@ -31,6 +31,8 @@ WIDE = LENGTH - ANCHOR + 1
 MANY = 2000
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
+#: Bytes of a shard, on average: their suffix array takes some 60 times as much memory.
+SHARD = 1 << 21
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(ODD), -1, 2**64))
 BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
@@ -261,7 +263,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     order = Window.partitionBy("anchor", "digest").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "at")
     first = scratch.table(found.filter("not again").withColumn("again", F.row_number().over(order) > 1), "first")
     scratch.free()
-    by_suffix = scratch.table(_by_suffix(docs, first), "by_suffix")
+    by_suffix = scratch.table(_by_suffix(docs, first, scratch), "by_suffix")
     scratch.free()
     spans = found.filter("again").unionByName(first.filter("again")).select("rid", "at", "n").unionByName(by_suffix)
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
@@ -279,12 +281,14 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return pieces.select("anchor", "digest", "doc_id", "rid", "at", "n", "twice", ((F.col("kind") == 0) | F.col("_again")).alias("again"))
 
 
-def _by_suffix(docs: DataFrame, first: DataFrame) -> DataFrame:
+def _by_suffix(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """Windows (rid, at, n) of first pieces that come earlier, by the suffix arrays of the shards."""
     # an anchor of one piece that holds it once has no more to compare
     anchors = first.filter("not again").groupBy("anchor").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice")).filter("_n > 1 or _twice")
     sent = first.filter("not again").join(anchors.select("anchor", (F.col("_n") > MANY).alias("many")), "anchor")
+    sent = scratch.table(sent.select("rid", "anchor", "at", "n", "many"), "sent")
+    size = sent.agg(F.sum(F.when(F.col("many"), F.col("n") * F.lit(LENGTH)).otherwise(F.col("n") + (LENGTH - 1)))).first()[0] or 0
     sent = sent.groupBy("rid").agg(F.collect_list(F.struct("anchor", "at", "n", "many")).alias("pieces"))
     sliced = docs.join(sent, "rid").mapInArrow(_sliced, "key long, data binary, doc_id long, rid long, at long, n int")
-    shards = sliced.repartition(F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid", "at")
+    shards = sliced.repartition(max(1, -(-size // SHARD)), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid", "at")
     return shards.mapInArrow(_sorted, "rid long, at long, n int")
