@@ -105,3 +105,41 @@ def test_shards_grow_in_number(spark, monkeypatch):
         monkeypatch.undo()
         assert (dict(parts)["by_suffix"] > 4) == (size == 2000)
     assert got[1 << 30] == got[2000] and sum(len(x[1]) for x in got[2000]) > 10
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_windows_are_sorted_in_memory(seed, monkeypatch):
+    """A shard that fits into memory sorts its windows alone, without queues of all suffixes, and marks the same ones."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(98, 98 + rng.choice([1, 2, 20]), 400).astype(np.uint8)
+    parts = [base[a : a + 100 + rng.integers(0, 69)] for a in rng.integers(0, 232, 60)]
+    parts += [np.append(base[a : a + rng.choice([8, 50, 99])], rng.integers(98, 100, 100).astype(np.uint8)) for a in rng.integers(0, 300, 20)] if seed % 2 else []
+    text = np.concatenate([np.append(p, np.uint8(0)) for p in parts])
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    counts = np.array([len(p) - 99 for p in parts])
+    at = np.concatenate([s + np.arange(c) for s, c in zip(starts, counts, strict=True)])
+    pos, same = induced.sparse(text, at, 100)
+    got = [text[p : p + 100].tobytes() for p in pos]
+    assert sorted(pos) == at.tolist() and got == sorted(got) and same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "IN_MEMORY", 0)
+        queued = suffix_dedup.repeated_starts(text, len(text), starts, counts)
+    monkeypatch.setattr(induced, "suffixes", None)
+    assert (suffix_dedup.repeated_starts(text, len(text), starts, counts) == queued).all() and queued.any()
+
+
+def test_no_windows_to_sort():
+    assert [len(x) for x in induced.sparse(np.zeros(100, np.uint8), np.empty(0, np.int64), 100)] == [0, 0]
+
+
+def test_windows_that_equal_none_stay_out(spark, monkeypatch):
+    """Of an anchor with many pieces only the windows that come again go to the shards, so a common line costs no text for each of its contexts."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 10)
+    rng = random.Random(8)
+    line, word = "a line that many texts have, shorter than one hundred bytes, " + "z" * 20, lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, word(90) + line + word(90)) for i in range(60)] + [(60, word(90) + (same := word(15) + line + word(15)) + word(90)), (61, word(90) + same + word(90))]
+    counts, table = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (t := table(self, df, name), counts.update({name: t.count()}))[0])
+    df = table(Scratch(spark, "s"), spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+    assert sorted(result(suffix_dedup.without_repeats(df, Scratch(spark, "s")))) == plain(rows)
+    assert counts["windows"] > 1000 and counts["alike"] <= 100

@@ -7,6 +7,8 @@ shares one symbol more than the least that was shared since the last tuple with
 with (leftmost S) are sorted by one round over their substrings, and by recursion on the text of the
 substrings' ranks where these repeat, which ends with a text of up to `short` symbols, sorted in memory.
 Rounds are numpy over blocks of tuples: a block ends before the first symbol for which it makes a tuple itself.
+
+A text that fits into memory needs no queues: `sparse` sorts the suffixes at given places alone, by words of 8 symbols.
 """
 
 from __future__ import annotations
@@ -258,6 +260,47 @@ def in_memory(text: np.ndarray, n: int, cap: int, block: int) -> tuple[np.ndarra
     return order, lcp
 
 
+def sparse(text: np.ndarray, at: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `at` (each of `cap` bytes at least, 8 or more) upwards by their first `cap` bytes, and whether each shares all of these with the one before.
+
+    Ties are sorted by the first word in which neighbours of their group differ, so what a group shares is read once.
+    """
+    words = np.ndarray(len(text) - 7, ">u8", np.ascontiguousarray(text), strides=(1,)).astype(np.uint64)
+    steps = np.append(np.arange(0, cap - 8, 8), cap - 8)  # the last word overlaps the one before, which is shared by then
+    key = words[at]
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    same = np.zeros(len(at), bool)
+    first = np.append(True, key[1:] != key[:-1])[: len(at)]
+    slot, depth = np.arange(len(at)), np.ones(len(at), np.int64)  # place in the order, words that a group shares
+    while True:
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+        slot, first, depth = slot[tied], first[tied], depth[tied]
+        if not len(slot):
+            return at, same
+        pos = at[slot]
+        alike = depth.copy()
+        open_ = np.flatnonzero(~first & (depth < len(steps)))
+        while len(open_):
+            step = steps[alike[open_]]
+            open_ = open_[words[pos[open_] + step] == words[pos[open_ - 1] + step]]
+            alike[open_] += 1
+            open_ = open_[alike[open_] < len(steps)]
+        alike[first] = len(steps)
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, len(pos)))
+        least = np.repeat(np.minimum.reduceat(alike, begin), size)
+        same[slot[(least == len(steps)) & ~first]] = True
+        rest = np.flatnonzero(least < len(steps))
+        slot, pos, depth = slot[rest], pos[rest], least[rest]
+        group = np.cumsum(first[rest])
+        key = words[pos + steps[depth]]
+        order = np.lexsort((key, group))
+        at[slot], key = pos[order], key[order]
+        first = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))[: len(slot)]
+        depth += 1
+
+
 def suffixes(text: np.ndarray, n: int, symbols: int, cap: int, memory: int = 1 << 26, block: int = 1 << 16, short: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Suffixes of a text of `n` symbols, the last of which is 0, downwards in blocks (pos, symbols shared with the one before up to `cap`, type S)."""
     if n < 2:
